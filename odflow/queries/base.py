@@ -31,7 +31,12 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def settle(df: DataFrame, digits: int = 6) -> DataFrame:
+# Means over 24 values of two decimals end after up to seven decimals, so that
+# rounding them to six would decide exact ties.
+DIGITS = {"duration_rolling_mean_3h": 8, "duration_rolling_mean_24h": 8}
+
+
+def settle(df: DataFrame) -> DataFrame:
     """Results in comparable types: small integers as int, doubles rounded."""
     columns = []
     for field in df.schema.fields:
@@ -39,7 +44,7 @@ def settle(df: DataFrame, digits: int = 6) -> DataFrame:
         if isinstance(field.dataType, (T.ByteType, T.ShortType)):
             column = column.cast("int")
         elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            column = F.round(column.cast("double"), digits)
+            column = F.round(column.cast("double"), DIGITS.get(field.name, 6))
         columns.append(column.alias(field.name))
     return df.select(*columns)
 
@@ -107,12 +112,12 @@ TABLES = {
         SELECT DISTINCT CAST(ts AS DATE) + CAST(json_extract_string(props, '$.k') AS INTEGER) AS event_date
         FROM events WHERE event_id % 4 IN (2, 3)""",
     "edges": """
-        WITH c(i, ax, ay, bx, by) AS (VALUES
+        WITH c(i, ax, ay, bx, b_y) AS (VALUES
             (1, 0.0, 0.0, 1.0, 0.0), (2, 1.0, 0.0, 1.0, 0.5), (3, 1.0, 0.5, 0.5, 0.5),
             (4, 0.5, 0.5, 0.5, 1.0), (5, 0.5, 1.0, 0.0, 1.0), (6, 0.0, 1.0, 0.0, 0.0))
         SELECT n_nationkey AS zone_id,
                CAST(n_nationkey % 5 + ax AS DOUBLE) AS x1, CAST(n_nationkey // 5 + ay AS DOUBLE) AS y1,
-               CAST(n_nationkey % 5 + bx AS DOUBLE) AS x2, CAST(n_nationkey // 5 + by AS DOUBLE) AS y2
+               CAST(n_nationkey % 5 + bx AS DOUBLE) AS x2, CAST(n_nationkey // 5 + b_y AS DOUBLE) AS y2
         FROM nation, c""",
     "positions": """
         SELECT event_id, ts, (event_id * 7919 % 500) / 100.0 AS longitude,
@@ -179,7 +184,7 @@ def sql_flag(column: str = "travel_time_var", key: str = "zone_id") -> str:
 
 
 def rounded(expr: str, name: str) -> str:
-    return f"round({expr}, 6) AS {name}"
+    return f"round({expr}, {DIGITS.get(name, 6)}) AS {name}"
 
 
 DEMAND_COLUMNS = {
