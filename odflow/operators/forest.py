@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from odflow.operators.validation import QUANTILES
@@ -97,18 +98,18 @@ class QuantileForest:
             raise RuntimeError("call fit before predict")
         placed = self._model.transform(_assembled(df, self.features))
         leaves = vector_to_array("_leaf")
-        table = self._leaf_array(df.sparkSession)
+        table = self._leaf_array()
         found = F.transform(leaves, lambda leaf, tree: table[tree][leaf.cast("int")])
         placed = placed.withColumn("_found", found)
-        means = {
-            name: F.aggregate("_found", F.lit(0.0), lambda total, q, i=i: total + q[i]) / self.trees
-            for i, name in enumerate(QUANTILES)
-        }
+        means = {name: self._mean("_found", i) for i, name in enumerate(QUANTILES)}
         return placed.withColumns(means).select(*df.columns, *means)
 
-    def _leaf_array(self, spark: SparkSession):
-        one = spark.createDataFrame([(self._leaves,)], "leaves array<array<array<double>>>")
-        return one.scalar()
+    def _mean(self, found: str, quantile: int) -> Column:
+        return F.aggregate(found, F.lit(0.0), lambda total, q: total + q[quantile]) / self.trees
+
+    def _leaf_array(self) -> Column:
+        """The leaf table as one constant, parsed while the plan is optimised."""
+        return F.from_json(F.lit(json.dumps(self._leaves)), "array<array<array<double>>>")
 
     def save(self, path: str, spark: SparkSession) -> None:
         self._model.write().overwrite().save(f"{path}/trees")

@@ -125,8 +125,12 @@ def nearest_zones(
     limit: float = NEAREST_LIMIT,
     size: float = 0.02,
 ) -> DataFrame:
-    """Nearest zone at most ``limit`` away per point, ties to the smaller id."""
-    gap = F.array_min(F.transform("edges", lambda e: _distance(e, F.col(x), F.col(y))))
+    """Nearest zone at most ``limit`` away per point, ties to the smaller id.
+
+    Distances are rounded to 12 digits, so that a tie is not decided by the last
+    bit of a floating-point result.
+    """
+    gap = F.round(F.array_min(F.transform("edges", lambda e: _distance(e, F.col(x), F.col(y)))), 12)
     near = _at_cells(points, x, y, zone_cells(edges, size, pad=limit), size)
     return (
         near.select(key, "zone_id", gap.alias("distance"))

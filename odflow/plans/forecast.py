@@ -28,6 +28,11 @@ def forecast_steps(
     )
 
 
+def _in_order(step: Column, quantile: str) -> Column:
+    pairs = F.array_sort(F.collect_list(F.struct(step.alias("step"), F.col(quantile))))
+    return F.transform(pairs, lambda pair: pair[quantile])
+
+
 def answer_requests(
     requests: DataFrame,
     model: QuantileForest,
@@ -66,12 +71,7 @@ def answer_requests(
     matrix = serving.horizon_matrix(static, (F.col("_days") * 24).cast("int"), as_of, events, single=False)
     scored = model.predict(serving.training_view(matrix))
     step = F.col("horizon_hours").cast("int")
-    lists = [
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(step, F.col(q)))), lambda s, q=q: s[q]
-        ).alias(q)
-        for q in ("p10", "p50", "p90")
-    ]
+    lists = [_in_order(step, q).alias(q) for q in ("p10", "p50", "p90")]
     answered = (
         keyed.join(scored.select("route_id", "horizon_hours", "p10", "p50", "p90"), "route_id")
         .filter(step <= F.col("horizon") * 24)

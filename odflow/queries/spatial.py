@@ -71,7 +71,7 @@ NEAR = """
         """SELECT stop_id, CAST(min(zone_id) AS INTEGER) AS zone_id FROM inner_zone GROUP BY 1
            UNION ALL
            SELECT stop_id, CAST(arg_min(zone_id, (round(d, 12), zone_id)) AS INTEGER) FROM near
-           WHERE d <= 0.125 GROUP BY 1""",
+           WHERE round(d, 12) <= 0.125 GROUP BY 1""",
         {**WITHIN, "near": NEAR},
     ),
 )

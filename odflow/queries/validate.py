@@ -1 +1,306 @@
-"""Queries."""
+"""Splits, folds, metrics and models."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from odflow.functions.scalars import zero_fill
+from odflow.functions.windows import series
+from odflow.operators import validation as val
+from odflow.operators.forest import QuantileForest, leaf_quantiles
+from odflow.operators.seasonal import seasonal_forecast
+from odflow.plans.training import ablation, train_forest
+from odflow.queries.base import query, sql_lag, with_tables
+from odflow.queries.features import features
+from odflow.session import materialise, scratch_path
+from odflow.sources import driver_tables as src
+
+INDEXED = "SELECT *, dense_rank() OVER (ORDER BY hour) - 1 AS time_idx FROM demand"
+
+
+@query(
+    "time_index",
+    with_tables("demand", f"SELECT DISTINCT hour, CAST(time_idx AS INTEGER) AS time_idx FROM ({INDEXED})"),
+)
+def time_index(spark, folder):
+    return val.hour_index(src.demand(spark, folder))
+
+
+CUT = {
+    "idx": INDEXED,
+    "n": "SELECT max(time_idx) + 1 AS n FROM idx",
+    "cut": "SELECT DISTINCT hour AS c FROM idx, n WHERE time_idx = least(greatest(1, floor(n * 0.8)), n - 1)",
+}
+
+
+def split_demand(spark, folder):
+    return val.time_split(src.demand(spark, folder), features=["route_id", "volume"])
+
+
+@query(
+    "time_split",
+    with_tables(
+        "demand",
+        """SELECT route_id, hour, volume, CASE WHEN hour < c THEN 'train' ELSE 'valid' END AS side
+           FROM demand, cut WHERE hour <> c""",
+        CUT,
+    ),
+)
+def time_split(spark, folder):
+    train, valid = split_demand(spark, folder)
+    both = train.withColumn("side", F.lit("train")).union(valid.withColumn("side", F.lit("valid")))
+    return both.select("route_id", "hour", "volume", "side")
+
+
+@query(
+    "dense_time_index",
+    with_tables(
+        "demand",
+        """SELECT route_id, d.hour, CAST(time_idx - CASE WHEN d.hour > c THEN 1 ELSE 0 END AS INTEGER) AS time_idx,
+                  CASE WHEN d.hour < c THEN 'train' ELSE 'valid' END AS side
+           FROM idx d, cut WHERE d.hour <> c""",
+        CUT,
+    ),
+)
+def dense_time_index(spark, folder):
+    """Training hours count from 0, validation hours go on behind them."""
+    train, valid = val.dense_time_index(*split_demand(spark, folder))
+    both = train.withColumn("side", F.lit("train")).union(valid.withColumn("side", F.lit("valid")))
+    return both.select("route_id", "hour", "time_idx", "side")
+
+
+ROWS = {
+    "numbered": "SELECT *, row_number() OVER (ORDER BY hour, route_id) - 1 AS row_idx FROM demand",
+    "folds": """SELECT CAST(f AS INTEGER) AS fold, n - (5 - f) * (n // 6) AS start, n // 6 AS size
+                FROM range(0, 5) t(f), (SELECT count(*) AS n FROM demand)""",
+    "roles": """SELECT m.*, fold, CASE WHEN row_idx < start - 24 THEN 'train'
+                                       WHEN row_idx >= start AND row_idx < start + size THEN 'test' END AS role
+                FROM numbered m, folds""",
+}
+
+
+@query(
+    "walk_forward_folds",
+    with_tables(
+        "demand", "SELECT route_id, hour, row_idx, fold, role FROM roles WHERE role IS NOT NULL", ROWS
+    ),
+)
+def walk_forward_folds(spark, folder):
+    folds = val.walk_forward(src.demand(spark, folder), folds=5, gap=24)
+    return folds.select("route_id", "hour", "row_idx", "fold", "role")
+
+
+@query(
+    "walk_forward_hours",
+    with_tables(
+        "demand",
+        """, r AS (SELECT route_id, hour, CAST(f AS INTEGER) AS fold,
+                   CASE WHEN time_idx < n - (5 - f) * (n // 6) - 24 THEN 'train'
+                        WHEN time_idx >= n - (5 - f) * (n // 6)
+                             AND time_idx < n - (5 - f) * (n // 6) + n // 6 THEN 'test' END AS role
+                   FROM idx, n, range(0, 5) t(f))
+           SELECT route_id, hour, fold, role FROM r WHERE role IS NOT NULL""",
+        {"idx": INDEXED, "n": "SELECT max(time_idx) + 1 AS n FROM idx"},
+    ),
+)
+def walk_forward_hours(spark, folder):
+    """The split counted in hours instead of rows."""
+    folds = val.walk_forward_hours(src.demand(spark, folder), folds=5, gap=24)
+    return folds.select("route_id", "hour", "fold", "role")
+
+
+def naive_forecast(demand, rows: int):
+    """The value ``rows`` rows back as median, half and one and a half of it as limits."""
+    base = F.lag("volume", rows).over(series("route_id"))
+    return (
+        demand.withColumn("p50", base.cast("double"))
+        .withColumns({"p10": F.col("p50") * 0.5, "p90": F.col("p50") * 1.5})
+        .filter(F.col("p50").isNotNull())
+    )
+
+
+NAIVE = """SELECT *, 0.5 * p50 AS p10, 1.5 * p50 AS p90 FROM (
+               SELECT *, CAST(%s AS DOUBLE) AS p50 FROM demand) WHERE p50 IS NOT NULL"""
+
+
+def naive_sql(rows: int) -> str:
+    return NAIVE % sql_lag("volume", rows)
+
+
+def loss_sql(name: str, q: float) -> str:
+    return f"avg(CASE WHEN volume >= {name} THEN {q} * (volume - {name}) ELSE ({q} - 1) * (volume - {name}) END)"
+
+
+LOSSES = {"p10": loss_sql("p10", 0.1), "p50": loss_sql("p50", 0.5), "p90": loss_sql("p90", 0.9),
+          "coverage_80pct": "avg(CASE WHEN volume BETWEEN p10 AND p90 THEN 1.0 ELSE 0.0 END)"}
+LOSS_LIST = ", ".join(f"round({e}, 6) AS {n}" for n, e in LOSSES.items())
+
+
+@query(
+    "pinball_and_coverage",
+    with_tables("demand", f"SELECT route_id, {LOSS_LIST} FROM naive GROUP BY 1", {"naive": naive_sql(24)}),
+)
+def pinball_and_coverage(spark, folder):
+    return val.quantile_metrics(naive_forecast(src.demand(spark, folder), 24), ["route_id"])
+
+
+@query(
+    "point_errors",
+    with_tables(
+        "demand",
+        """SELECT route_id, round(avg(abs(p50 - volume)), 6) AS mae,
+                  round(sqrt(avg((p50 - volume) * (p50 - volume))), 6) AS rmse FROM naive GROUP BY 1""",
+        {"naive": naive_sql(24)},
+    ),
+)
+def point_errors(spark, folder):
+    return val.point_metrics(naive_forecast(src.demand(spark, folder), 24), ["route_id"])
+
+
+@query(
+    "calibration",
+    with_tables(
+        "demand",
+        " UNION ALL ".join(
+            f"SELECT CAST({q} AS DOUBLE) AS nominal, round(avg(CASE WHEN volume <= {n} THEN 1.0 ELSE 0.0 END), 6) AS observed FROM naive"
+            for n, q in val.QUANTILES.items()
+        ),
+        {"naive": naive_sql(24)},
+    ),
+)
+def calibration(spark, folder):
+    return val.calibration(naive_forecast(src.demand(spark, folder), 24))
+
+
+def fold_sql() -> str:
+    parts = []
+    for model, rows in (("day", 24), ("week", 168)):
+        for name, loss in LOSSES.items():
+            parts.append(
+                f"""SELECT '{model}' AS model, '{name}' AS metric, round(avg(v), 6) AS mean_value
+                    FROM (SELECT fold, {loss} AS v FROM (
+                        SELECT r.fold, p.* FROM ({naive_sql(rows)}) p
+                        JOIN roles r ON r.route_id = p.route_id AND r.hour = p.hour WHERE role = 'test')
+                        GROUP BY fold)"""
+            )
+    return " UNION ALL ".join(parts)
+
+
+@query("fold_means", with_tables("demand", fold_sql(), ROWS))
+def fold_means(spark, folder):
+    """Fold means of two naive forecasts over the walk-forward test rows."""
+    demand = src.demand(spark, folder)
+    tests = val.walk_forward(demand, 5, 24).filter("role = 'test'").select("route_id", "hour", "fold")
+    parts = [
+        val.quantile_metrics(naive_forecast(demand, rows).join(tests, ["route_id", "hour"]), ["fold"]).withColumn(
+            "model", F.lit(model)
+        )
+        for model, rows in (("day", 24), ("week", 168))
+    ]
+    return val.fold_means(parts[0].union(parts[1]), list(LOSSES))
+
+
+@query(
+    "prediction_parity",
+    with_tables(
+        "demand",
+        """SELECT 'p50' AS "column", round(max(abs(a.p50 - b.p50)), 6) AS max_abs_diff,
+                  max(abs(a.p50 - b.p50)) <= 0.001 AS ok
+           FROM day a JOIN week b ON a.route_id = b.route_id AND a.hour = b.hour""",
+        {"day": naive_sql(24), "week": naive_sql(168)},
+    ),
+)
+def prediction_parity(spark, folder):
+    """Largest difference between two prediction sets."""
+    demand = src.demand(spark, folder)
+    gaps = val.max_difference(
+        naive_forecast(demand, 24), naive_forecast(demand, 168), ["route_id", "hour"], ["p50"]
+    )
+    return val.within(gaps)
+
+
+SEASONAL = {
+    "t": f"""SELECT *, CASE WHEN count(volume) OVER w = 168 THEN avg(volume) OVER w END AS trend,
+                    date_diff('hour', min(hour) OVER (PARTITION BY route_id), hour) AS x
+             FROM demand
+             WINDOW w AS (PARTITION BY route_id ORDER BY hour ROWS BETWEEN 84 PRECEDING AND 83 FOLLOWING)""",
+    "u": "SELECT *, volume - trend AS de, (isodow(hour) - 1) * 24 + hour(hour) AS how FROM t",
+    "daily": "SELECT route_id, hour(hour) AS hod, avg(de) AS day_mean FROM u GROUP BY 1, 2",
+    "weekly": """SELECT u.route_id, how, avg(de - day_mean) AS residual
+                 FROM u JOIN daily d ON d.route_id = u.route_id AND hod = hour(hour) GROUP BY 1, 2""",
+    "lines": """SELECT route_id, regr_slope(trend, x) AS b, regr_intercept(trend, x) AS a,
+                       max(hour) AS last_hour, max(x) AS last_x FROM u GROUP BY 1""",
+    "ahead": """SELECT *, last_hour + to_hours(CAST(k AS INTEGER)) AS hour FROM lines, range(1, 169) s(k)""",
+}
+
+
+@query(
+    "seasonal_baseline",
+    with_tables(
+        "demand",
+        """SELECT p.route_id, p.hour,
+                  round(a + b * (last_x + k) + coalesce(day_mean, 0) + coalesce(residual, 0), 6) AS forecast
+           FROM ahead p LEFT JOIN daily d ON d.route_id = p.route_id AND hod = hour(p.hour)
+                LEFT JOIN weekly w ON w.route_id = p.route_id
+                     AND how = (isodow(p.hour) - 1) * 24 + hour(p.hour)""",
+        SEASONAL,
+    ),
+)
+def seasonal_baseline(spark, folder):
+    return seasonal_forecast(src.demand(spark, folder), 168)
+
+
+def training_data(spark, folder):
+    """Filled feature table, materialised once, split by time."""
+    return val.time_split(materialise(zero_fill(features(spark, folder))))
+
+
+@query(
+    "leaf_quantiles",
+    """SELECT CAST(l_linenumber AS INTEGER) AS tree, l_suppkey % 16 AS leaf, """
+    + ", ".join(f"round(quantile_cont(l_quantity, {q}), 6) AS {n}" for n, q in val.QUANTILES.items())
+    + " FROM lineitem GROUP BY 1, 2",
+)
+def grouped_quantiles(spark, folder):
+    """Quantiles of the line quantities in the leaves of a made-up partition into trees."""
+    rows = src.table(spark, folder, "lineitem").select(
+        F.col("l_linenumber").alias("tree"), F.pmod("l_suppkey", F.lit(16)).alias("leaf"), "l_quantity"
+    )
+    return leaf_quantiles(rows, "l_quantity")
+
+
+@query("quantile_forest")
+def quantile_forest(spark, folder):
+    """p10, p50 and p90 of the validation hours."""
+    train, valid = training_data(spark, folder)
+    return train_forest(train).predict(valid).select("route_id", "hour", "volume", "p10", "p50", "p90")
+
+
+@query("forest_metrics")
+def forest_metrics(spark, folder):
+    """Pinball losses and coverage of the forest on the validation hours."""
+    train, valid = training_data(spark, folder)
+    predictions = train_forest(train).predict(valid).withColumn("model", F.lit("forest"))
+    return val.quantile_metrics(predictions, ["model"])
+
+
+@query("covariate_ablation")
+def covariate_ablation(spark, folder):
+    """Cross-validated losses with and without the congestion features."""
+    train, _ = training_data(spark, folder)
+    return ablation(train, folds=3, trees=10, depth=5)
+
+
+@query("model_parity")
+def model_parity(spark, folder):
+    """Predictions of a model and of its stored copy."""
+    train, valid = training_data(spark, folder)
+    model = train_forest(train, trees=10, depth=5)
+    path = scratch_path(spark, "model")
+    model.save(path, spark)
+    again = QuantileForest.load(path, spark)
+    keys, columns = ["route_id", "hour"], ["p10", "p50", "p90"]
+    gaps = val.max_difference(
+        model.predict(valid).select(*keys, *columns), again.predict(valid).select(*keys, *columns), keys, columns
+    )
+    return val.within(gaps)
