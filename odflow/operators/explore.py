@@ -214,8 +214,8 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     values = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
     low, high = values.agg(F.min("v")).scalar(), values.agg(F.max("v")).scalar()
     width = (high - low) / F.lit(bins)
-    number = F.least(F.floor(F.try_divide(F.col("v") - low, width)), F.lit(bins - 1))
-    return values.groupBy(F.coalesce(number, F.lit(0)).cast("int").alias("bin")).agg(
+    place = F.coalesce(F.floor(F.try_divide(F.col("v") - low, width)), F.lit(0))
+    return values.groupBy(F.least(place, F.lit(bins - 1)).cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("count")
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from odflow.operators import congestion as signals
 from odflow.operators import demand as od
 from odflow.operators.spatial import zones_of_points
+from odflow.session import materialise
 from odflow.sources import trips as trip_files
 from odflow.sources import upserts
 from odflow.sources.tables import read_table
@@ -63,7 +64,8 @@ def ingest_positions(
 def refresh_flags(spark: SparkSession, warehouse: str) -> DataFrame:
     """Recompute the trailing disruption flags and store those that changed."""
     stored = spark.read.parquet(f"{warehouse}/congestion").drop("day")
-    updates = upserts.flag_updates(stored, signals.congestion_features(stored))
+    # The table is rewritten below, so the updates must not depend on its old files.
+    updates = materialise(upserts.flag_updates(stored, signals.congestion_features(stored)))
     rows = stored.drop("disruption_flag").join(updates, ["zone_id", "hour"])
     upserts.upsert(spark, f"{warehouse}/congestion", rows, ["zone_id", "hour"], F.col("hour"))
     return updates
