@@ -153,59 +153,72 @@ def exact_quantiles(
 
     A quantile sketch first brackets every level; its rank error is at most
     ``rows / accuracy``, so the bracket ends four such steps away surely enclose
-    the two order statistics wanted. One pass then counts the rows below each
-    bracket, and only the distinct values inside the brackets are ordered.
+    the two order statistics wanted. A second pass counts the rows below each
+    bracket on the map side and shuffles only the values inside the brackets.
     """
     values = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
     margin = 4.0 / accuracy
     lows = [max(0.0, p - margin) for p in levels]
     highs = [min(1.0, p + margin) for p in levels]
-    sketch = F.percentile_approx("v", lows + highs, accuracy)
-    # Sketches never return a value outside the data, but the end levels must
-    # reach the true extremes.
-    brackets = values.agg(
-        sketch.alias("q"), F.min("v").alias("least"), F.max("v").alias("most"),
+    stats = values.agg(
+        F.percentile_approx("v", lows + highs, accuracy).alias("q"),
+        F.min("v").alias("least"),
+        F.max("v").alias("most"),
         F.count(F.lit(1)).alias("n"),
-    ).select(
-        "n",
-        F.posexplode(
-            F.array(*[
-                F.struct(
-                    F.lit(p).alias("quantile"),
-                    (F.col("least") if low == 0.0 else F.col("q")[i]).alias("low"),
-                    (F.col("most") if high == 1.0 else F.col("q")[len(levels) + i]).alias("high"),
-                )
-                for i, (p, low, high) in enumerate(zip(levels, lows, highs))
-            ])
-        ).alias("level", "b"),
     )
-    return _interpolate(values, brackets.select("level", "n", "b.*"), len(levels))
-
-
-def _interpolate(values: DataFrame, brackets: DataFrame, levels: int) -> DataFrame:
-    # The handful of brackets travels as one array constant.
-    bounds = brackets.agg(
-        F.array_sort(F.collect_list(F.struct("level", "quantile", "n", "low", "high"))).alias("b")
-    ).scalar()
-    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    tagged = counts.select(
-        "v", "c", F.explode(bounds).alias("b")
-    ).select("v", "c", "b.*").filter(F.col("v") <= F.col("high"))
-    # Below the bracket only the number of rows matters; inside it every value.
-    reduced = tagged.groupBy(
-        "level", "quantile", "n",
-        F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v"),
-    ).agg(F.sum("c").alias("c"))
-    w = Window.partitionBy("level").orderBy(F.asc_nulls_first("v"))
-    upto = F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    # The end levels must reach the true extremes.
+    brackets = [
+        F.struct(
+            F.lit(i).alias("level"),
+            F.lit(p).alias("quantile"),
+            F.col("n"),
+            (F.col("least") if low == 0.0 else F.col("q")[i]).alias("low"),
+            (F.col("most") if high == 1.0 else F.col("q")[len(levels) + i]).alias("high"),
+        )
+        for i, (p, low, high) in enumerate(zip(levels, lows, highs))
+    ]
+    bounds = stats.select(F.array(*brackets)).scalar()
+    return _order_statistics(values, bounds)
+
+
+# Equal slices of a bracket that are ordered apart from each other.
+SLICES = 1024
+
+
+def _order_statistics(values: DataFrame, bounds: Column) -> DataFrame:
+    inside = F.when(F.col("v") >= F.col("low"), F.col("v"))
+    slice_of = F.floor(F.try_divide(inside - F.col("low"), F.col("high") - F.col("low")) * SLICES)
+    counts = (
+        values.select("v", F.explode(bounds).alias("b"))
+        .select("v", "b.*")
+        .filter(F.col("v") <= F.col("high"))
+        .groupBy(
+            "level", "quantile", "n",
+            F.when(inside.isNull(), -1).otherwise(F.coalesce(slice_of, F.lit(0))).alias("slice"),
+            inside.alias("v"),
+        )
+        .agg(F.count(F.lit(1)).alias("c"))
+    )
+    # Slices are numbered as a whole (at most 1,026 per level), values inside their slice.
+    earlier = Window.partitionBy("level").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (
+        counts.groupBy("level", "slice")
+        .agg(F.sum("c").alias("c"))
+        .select("level", "slice", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("start"))
+    )
+    within = Window.partitionBy("level", "slice").orderBy("v")
+    upto = F.col("start") + F.sum("c").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.join(starts, ["level", "slice"]).withColumn("upto", upto)
     place = F.col("quantile") * (F.col("n") - 1)
-    ranked = reduced.withColumn("upto", upto).withColumn("first", F.col("upto") - F.col("c"))
-    at = lambda rank: F.max(F.when((rank >= F.col("first")) & (rank < F.col("upto")), F.col("v")))
-    low_rank, high_rank = F.floor(place), F.ceil(place)
+    below, above = F.floor(place), F.ceil(place)
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("upto") - F.col("c")) & (rank < F.col("upto")), F.col("v")))
+
     return (
         ranked.groupBy("level", "quantile", "n")
-        .agg(at(low_rank).alias("a"), at(high_rank).alias("z"))
-        .select("quantile", (F.col("a") + (F.col("z") - F.col("a")) * (place - low_rank)).alias("value"))
+        .agg(at(below).alias("a"), at(above).alias("z"))
+        .select("quantile", (F.col("a") + (F.col("z") - F.col("a")) * (place - below)).alias("value"))
     )
 
 

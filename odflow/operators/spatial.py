@@ -4,8 +4,8 @@ Each zone is cut into the grid cells of its bounding box, and every cell keeps
 only the edges that can matter inside it. A point then meets the few zones of
 its own cell, and the exact test runs inside the row: no cross join, no
 explosion of points by edges, no shuffle by point. The cell table grows with
-the polygons, never with the points, and crowded cells of the point side are
-left to the planner's broadcast or skew-join handling.
+the polygons, never with the points; it is counted and broadcast if small, so
+that crowded cells cost nothing, else adaptive execution splits them.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from odflow.session import small_side
+
 # Fixed value: farthest zone a stop may be assigned to, in degrees.
 NEAREST_LIMIT = 0.01
 
@@ -94,7 +96,7 @@ def _distance(e: Column, x: Column, y: Column) -> Column:
 
 def _at_cells(points: DataFrame, x: str, y: str, cells: DataFrame, size: float) -> DataFrame:
     placed = points.withColumns({"cx": _cell(F.col(x), size), "cy": _cell(F.col(y), size)})
-    return placed.join(cells, ["cx", "cy"]).drop("cx", "cy")
+    return placed.join(small_side(cells, "size(edges)"), ["cx", "cy"]).drop("cx", "cy")
 
 
 def zones_of_points(

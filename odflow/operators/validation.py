@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odflow.functions.windows import ordered_index
+from odflow.session import small_side
 
 # The 31 training features in their order.
 TRAINING_FEATURES = [
@@ -66,7 +67,7 @@ def dense_time_index(train: DataFrame, valid: DataFrame) -> tuple[DataFrame, Dat
     """``time_idx`` counts the training hours from 0; validation goes on behind them."""
     offset = train.agg(F.count_distinct("hour")).scalar()
     later = hour_index(valid).withColumn("time_idx", (F.col("time_idx") + offset).cast("int"))
-    return train.join(hour_index(train), "hour"), valid.join(later, "hour")
+    return train.join(small_side(hour_index(train)), "hour"), valid.join(small_side(later), "hour")
 
 
 def cutoff_hour(df: DataFrame) -> Column:
@@ -139,7 +140,7 @@ def walk_forward_hours(df: DataFrame, folds: int = 5, gap: int = 24) -> DataFram
         .filter(F.col("role").isNotNull())
         .select("hour", "fold", "role")
     )
-    return df.join(roles, "hour")
+    return df.join(small_side(roles), "hour")
 
 
 def pinball(actual: Column, forecast: Column, level: float) -> Column:

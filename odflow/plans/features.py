@@ -31,7 +31,7 @@ def feature_table(
         congestion.select("zone_id", "hour", "travel_time_var", "sample_count")
     )
     joined = join_congestion(join_zones(demand, routes), zones)
-    windowed = duration_features(demand_features(joined, year_rows))
+    windowed = demand_features(duration_features(joined), year_rows)
     return calendar_features(windowed, events)
 
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(
@@ -63,14 +64,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the checkpoint folder and go on from the files.
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from the files.
 
     For tables that several jobs read (model fits, multi-branch reports): the
-    lineage is cut, and a lost executor costs a re-read, not a recomputation.
+    lineage is cut, a lost executor costs a re-read and not a recomputation, and
+    each reader takes only the columns and row groups it needs.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Largest table sent to every executor by choice, in rows.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, weight: str | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Materialise a derived lookup table and mark it for broadcast if it is small.
+
+    The planner cannot know the size of an aggregate before running it, and by
+    then the other side has been shuffled. Here the size is counted first (rows,
+    or the sum of ``weight``); above ``limit`` the join is left to the planner.
+    """
+    table = materialise(df, "lookup")
+    size = table.agg(F.coalesce(F.sum(F.expr(weight or "1")), F.lit(0))).first()[0]
+    return F.broadcast(table) if size <= limit else table

@@ -37,9 +37,10 @@ def order_trips(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = table(spark, folder, "customer").select("c_custkey", "c_nationkey")
     suppliers = table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
+    # The line items join last, so that they move as seldom as possible.
+    origins = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
     return (
-        lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-        .join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        lines.join(origins, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
             F.col("o_orderdate").alias("pickup_datetime"),

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from odflow.session import materialise
+
 
 def last_wins(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Stored rows, replaced by the incoming row wherever the key is the same."""
@@ -115,13 +117,15 @@ def upsert(
     same batch again gives the same table. A day holds at most 24 rows per key,
     so one file per day is written.
     """
-    batch = incoming.withColumn("day", day.cast("date"))
+    batch = materialise(incoming.withColumn("day", day.cast("date")), "batch")
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     exists = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
     merged = batch
     if exists:
-        stored = spark.read.parquet(path).join(batch.select("day").distinct(), "day", "left_semi")
+        # A batch has at most one day per calendar day; the list prunes the partitions.
+        days = [row["day"] for row in batch.select("day").distinct().collect()]
+        stored = spark.read.parquet(path).filter(F.col("day").isin(days))
         merged = last_wins(stored.select(*batch.columns), batch, keys)
     (
         merged.repartition("day")

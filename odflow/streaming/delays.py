@@ -66,14 +66,40 @@ def start_delay_log(
     )
 
 
-def read_delays(spark: SparkSession, path: str) -> DataFrame:
-    """The delay table: mean and count over all batches of the log."""
-    sums = spark.read.parquet(path).groupBy(*KEYS).agg(
+def _parts(spark: SparkSession, path: str, base: str | None, upto: int | None) -> DataFrame:
+    parts = spark.read.parquet(path)
+    if base is None:
+        return parts.drop("batch_id")
+    folded = spark.read.parquet(f"{base}/upto={upto}")
+    return parts.filter(F.col("batch_id") > upto).drop("batch_id").unionByName(folded)
+
+
+def read_delays(
+    spark: SparkSession, path: str, base: str | None = None, upto: int | None = None
+) -> DataFrame:
+    """The delay table: mean and count over all batches of the log.
+
+    With ``base`` the batches up to ``upto`` are taken from :func:`fold_log`.
+    """
+    sums = _parts(spark, path, base, upto).groupBy(*KEYS).agg(
         F.sum("delay_sum").alias("s"), F.sum("trip_count").alias("trip_count")
     )
     return sums.select(*KEYS, (F.col("s") / F.col("trip_count")).alias("mean_delay"), "trip_count")
 
 
+def fold_log(spark: SparkSession, path: str, base: str, upto: int) -> None:
+    """Add up the batches up to ``upto`` into one table below ``base``.
+
+    Keeps reads short after many batches. The log itself is left alone, so a
+    repeated fold, or a batch replayed later, gives the same table.
+    """
+    parts = spark.read.parquet(path).filter(F.col("batch_id") <= upto)
+    sums = parts.groupBy(*KEYS).agg(
+        F.sum("delay_sum").alias("delay_sum"), F.sum("trip_count").alias("trip_count")
+    )
+    sums.write.mode("overwrite").parquet(f"{base}/upto={upto}")
+
+
 def windowed_delays(stream: DataFrame, stop_map: DataFrame, lateness: str) -> DataFrame:
     """Continuous aggregate with hourly event-time windows, for update mode.
 

@@ -59,6 +59,9 @@ def test_log_equals_batch_and_survives_replay(spark, feed, tmp_path):
     live.start_delay_log(stream, stops, path, f"{tmp_path}/again").awaitTermination()
     whole = zone_delays(spark.read.parquet(source), stops, hour_of(F.col("polled_at")))
     assert rows(live.read_delays(spark, path)) == rows(whole) != rows(batch)
+    for _ in range(2):
+        live.fold_log(spark, path, f"{tmp_path}/base", 1)
+    assert rows(live.read_delays(spark, path, f"{tmp_path}/base", 1)) == rows(whole)
 
 
 def test_windows_equal_batch(spark, feed, tmp_path):
