@@ -26,12 +26,6 @@ def full_mean(value: str, rows: int, w: WindowSpec) -> Column:
     return F.when(F.count(value).over(frame) == rows, F.avg(value).over(frame))
 
 
-def full_stddev(value: str, rows: int, w: WindowSpec) -> Column:
-    """Sample deviation of the previous ``rows`` values, null until all exist."""
-    frame = w.rowsBetween(-rows, -1)
-    return F.when(F.count(value).over(frame) == rows, F.stddev_samp(value).over(frame))
-
-
 def is_integral(df: DataFrame, column: str) -> bool:
     return isinstance(df.schema[column].dataType, T.IntegralType)
 
@@ -53,6 +47,54 @@ def full_mean_from_totals(rows: int, w: WindowSpec) -> Column:
     return F.when(count == rows, total / F.lit(rows))
 
 
+def add_trailing(
+    df: DataFrame,
+    key: str,
+    value: str,
+    rows: int,
+    mean: str,
+    spread: str | None = None,
+    order: str = "hour",
+) -> DataFrame:
+    """Mean (and sample deviation) of the previous ``rows`` values, null until all exist.
+
+    The series is cut into blocks of ``rows`` rows, so that a trailing window is
+    the end of one block and the start of the next. Both parts come from running
+    aggregates, once forwards and once backwards, and are combined by their
+    counts, means and variances. Linear in rows whatever the window length, and
+    without the cancellation of differences of running sums.
+    """
+    place, block = F.col("_place"), "_part"
+    numbered = df.withColumn("_place", F.row_number().over(series(key, order)) - 1).withColumn(
+        block, (place / rows).cast("int")
+    )
+    for name, by in (("_head", F.asc(order)), ("_tail", F.desc(order))):
+        w = Window.partitionBy(key, block).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
+        parts = [F.count(value).over(w).alias("n"), F.avg(value).over(w).alias("mean")]
+        if spread:
+            parts.append(F.var_pop(value).over(w).alias("var"))
+        numbered = numbered.withColumn(name, F.struct(*parts))
+    w = Window.partitionBy(key).orderBy(block, order)
+    both = numbered.withColumns(
+        {
+            "_head": F.when(place % rows > 0, F.lag("_head", 1).over(w)),
+            "_tail": F.lag("_tail", rows).over(w),
+        }
+    )
+
+    def get(part: str, name: str) -> Column:
+        return F.coalesce(F.col(f"{part}.{name}"), F.lit(0))
+
+    a, b = get("_head", "n"), get("_tail", "n")
+    step = get("_head", "mean") - get("_tail", "mean")
+    full = a + b == rows
+    out = {mean: F.when(full, get("_tail", "mean") + step * a / rows)}
+    if spread:
+        squares = a * get("_head", "var") + b * get("_tail", "var") + step * step * a * b / rows
+        out[spread] = F.when(full, F.sqrt(squares / (rows - 1)))
+    return both.withColumns(out).drop("_place", block, "_head", "_tail")
+
+
 def ewm_block(span: int) -> tuple[float, int]:
     """Decay factor and the block length after which a value has no weight left.
 

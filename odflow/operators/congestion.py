@@ -86,17 +86,15 @@ def congestion_features(congestion: DataFrame, key: str = "zone_id") -> DataFram
     the previous 168 rows, and null until there are that many.
     """
     w = win.series(key)
-    mean = win.full_mean("travel_time_var", FLAG_ROWS, w)
-    spread = win.full_stddev("travel_time_var", FLAG_ROWS, w)
+    trailing = win.add_trailing(
+        standard_columns(congestion), key, "travel_time_var", FLAG_ROWS, "_mean", "_spread"
+    )
     return (
-        standard_columns(congestion)
-        .withColumns(
+        trailing.withColumns(
             {
                 "delay_index_lag1": F.lag("travel_time_var", 1).over(w),
                 "delay_index_rolling3h": win.full_mean("travel_time_var", 3, w),
                 "low_confidence_flag": low_confidence(F.col("sample_count")),
-                "_mean": mean,
-                "_spread": spread,
             }
         )
         .withColumn(

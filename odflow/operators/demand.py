@@ -13,6 +13,7 @@ PAIR_HOUR = ["PULocationID", "DOLocationID", "hour"]
 # Row offsets and window lengths of the training features.
 DEMAND_LAGS = [1, 2, 3, 24, 48, 72, 96, 120, 144, 168]
 DEMAND_WINDOWS = [3, 24, 168, 336]
+WEEK = 168
 TREND_SPAN = 24
 YEAR_ROWS = 8760
 RATIO_RANGE = (0.01, 100.0)
@@ -105,13 +106,21 @@ def demand_features(demand: DataFrame, year_rows: int = YEAR_ROWS, key: str = "r
     One exchange on the key serves every feature. ``year_rows`` is the row
     offset of "one year ago".
     """
+    whole = win.is_integral(demand, "volume")
+    if not whole:
+        demand = win.add_trailing(demand, key, "volume", WEEK, "_week_mean")
     blocked = win.add_block(demand, key, TREND_SPAN)
-    w = win.series(key, "_block").orderBy("_block", "hour")
-    if win.is_integral(demand, "volume"):
+    w = win.series(key).orderBy("_block", "hour")
+    if whole:
         blocked = win.running_totals(blocked, "volume", w)
         means = {f"rolling_mean_{n}h": win.full_mean_from_totals(n, w) for n in DEMAND_WINDOWS}
     else:
-        means = {f"rolling_mean_{n}h": win.full_mean("volume", n, w) for n in DEMAND_WINDOWS}
+        week = F.col("_week_mean")
+        means = {
+            **{f"rolling_mean_{n}h": win.full_mean("volume", n, w) for n in DEMAND_WINDOWS if n < WEEK},
+            f"rolling_mean_{WEEK}h": week,
+            f"rolling_mean_{2 * WEEK}h": (week + F.lag(week, WEEK).over(w)) / 2,
+        }
     trended = win.add_ewm(blocked, key, "volume", TREND_SPAN, "_trend")
     year_ago = F.lag("volume", year_rows).over(w)
     return (
@@ -124,7 +133,7 @@ def demand_features(demand: DataFrame, year_rows: int = YEAR_ROWS, key: str = "r
             }
         )
         .withColumn("yoy_ratio", bounded_ratio(F.col("volume"), F.col("_year_ago")))
-        .drop("_row", "_block", "_sum", "_n", "_trend", "_year_ago")
+        .drop("_row", "_block", "_sum", "_n", "_week_mean", "_trend", "_year_ago")
     )
 
 

@@ -22,17 +22,17 @@ def feature_table(
 ) -> DataFrame:
     """All features, unfilled.
 
-    Routes and zone signals are joined while the demand rows are narrow; the
-    windows come last, so the wide rows are shuffled once, by route. The joins
-    keep every row of a known route, hence the row-based windows see the same
-    series either way.
+    Calendar, routes and zone signals are added while the demand rows are narrow;
+    the windows come last, so the wide rows are shuffled once, by route. Nothing
+    before drops or repeats a row of a known route, hence the row-based windows
+    see the same series either way.
     """
     zones = congestion_features(
         congestion.select("zone_id", "hour", "travel_time_var", "sample_count")
     )
-    joined = join_congestion(join_zones(demand, routes), zones)
-    windowed = demand_features(duration_features(joined), year_rows)
-    return calendar_features(windowed, events)
+    dated = calendar_features(demand, events)
+    joined = join_congestion(join_zones(dated, routes), zones)
+    return demand_features(duration_features(joined), year_rows)
 
 
 def build_features(
