@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,12 +72,16 @@ def dense_time_index(train: DataFrame, valid: DataFrame) -> tuple[DataFrame, Dat
     return train.join(small_side(hour_index(train)), "hour"), valid.join(small_side(later), "hour")
 
 
-def cutoff_hour(df: DataFrame) -> Column:
-    """The boundary hour: 80 % of the distinct hours lie before it."""
+def cutoff_hour(df: DataFrame) -> dt.datetime | None:
+    """The boundary hour: 80 % of the distinct hours lie before it.
+
+    Fetched once, so that the split is a filter on a constant in every later job.
+    """
     index = hour_index(df)
     n = index.agg(F.count(F.lit(1))).scalar()
     place = F.least(F.greatest(F.lit(1), F.floor(n * F.lit(TRAIN_SHARE))), n - 1)
-    return index.filter(F.col("time_idx") == place).agg(F.max("hour")).scalar()
+    row = index.filter(F.col("time_idx") == place).agg(F.max("hour"), F.max(n)).first()
+    return row[0] if row[1] and row[1] > 1 else None
 
 
 def time_split(
@@ -83,20 +89,19 @@ def time_split(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows without nulls, before and after the boundary hour; that hour is dropped.
 
-    ``check`` runs two small jobs to refuse a table with fewer than two hours or
-    an empty side.
+    ``check`` also refuses a split with an empty side.
     """
     missing = sorted(set(features or TRAINING_FEATURES) - set(df.columns))
     if missing:
         raise ValueError(f"missing feature columns: {missing}")
     complete = df.dropna("any")
-    cutoff = cutoff_hour(complete)
+    boundary = cutoff_hour(complete)
+    if boundary is None:
+        raise ValueError("need at least two distinct hours to split")
+    cutoff = F.lit(boundary).cast("timestamp_ntz")
     train, valid = complete.filter(F.col("hour") < cutoff), complete.filter(F.col("hour") > cutoff)
-    if check:
-        if complete.select("hour").distinct().limit(2).count() < 2:
-            raise ValueError("need at least two distinct hours to split")
-        if train.isEmpty() or valid.isEmpty():
-            raise ValueError("the split leaves the training or validation side empty")
+    if check and (train.isEmpty() or valid.isEmpty()):
+        raise ValueError("the split leaves the training or validation side empty")
     return train, valid
 
 
@@ -105,22 +110,58 @@ def row_index(df: DataFrame, out: str = "row_idx") -> DataFrame:
     return ordered_index(df, "hour", ["route_id"], out)
 
 
+def fold_bounds(df: DataFrame, folds: int = 5, gap: int = 24) -> DataFrame:
+    """Where each fold begins and ends in the order (hour, route): one row per fold.
+
+    Columns ``train_before``, ``test_from`` and ``test_before`` are keys
+    ``(hour, route_id)``; the last is null for the newest fold, the first when
+    the gap leaves nothing to train on. Only the two key columns are numbered,
+    so the feature rows never move.
+    """
+    index = row_index(df.select("hour", "route_id")).withColumn(
+        "_n", df.agg(F.count(F.lit(1))).scalar()
+    )
+    n = F.col("_n")
+    size = F.floor(n / F.lit(folds + 1))
+
+    def key_at(place: Column) -> Column:
+        return F.max(F.when(F.col("row_idx") == place, F.struct("hour", "route_id")))
+
+    bounds = []
+    for fold in range(folds):
+        start = n - F.lit(folds - fold) * size
+        bounds.append(
+            F.struct(
+                F.lit(fold).alias("fold"),
+                key_at(start - gap).alias("train_before"),
+                key_at(start).alias("test_from"),
+                key_at(start + size).alias("test_before"),
+            )
+        )
+    return index.agg(F.array(*bounds).alias("b")).select(F.explode("b").alias("b")).select("b.*")
+
+
+def fold_role(train_before: Column, test_from: Column, test_before: Column) -> Column:
+    """'train', 'test' or null for a row with ``hour`` and ``route_id``."""
+    key = F.struct("hour", "route_id")
+    return F.when(key < train_before, "train").when(
+        (key >= test_from) & (test_before.isNull() | (key < test_before)), "test"
+    )
+
+
 def walk_forward(df: DataFrame, folds: int = 5, gap: int = 24) -> DataFrame:
     """Rows with ``fold`` and ``role`` ('train' or 'test') of an expanding-window split.
 
     Every fold tests ``n // (folds + 1)`` rows, the last fold the newest ones, and
     trains on all rows that end ``gap`` rows before its test rows begin.
     """
-    indexed = row_index(df)
-    n = df.agg(F.count(F.lit(1))).scalar()
-    size = F.floor(n / F.lit(folds + 1))
-    start = n - (F.lit(folds) - F.col("fold")) * size
-    role = F.when(F.col("row_idx") < start - gap, "train").when(
-        (F.col("row_idx") >= start) & (F.col("row_idx") < start + size), "test"
-    )
+    ordered = F.array_sort(F.collect_list(F.struct("fold", "train_before", "test_from", "test_before")))
+    bounds = fold_bounds(df, folds, gap).agg(ordered).scalar()
+    role = fold_role(F.col("_b.train_before"), F.col("_b.test_from"), F.col("_b.test_before"))
     return (
-        indexed.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-        .withColumn("role", role)
+        df.withColumn("_b", F.explode(bounds))
+        .withColumns({"fold": F.col("_b.fold"), "role": role})
+        .drop("_b")
         .filter(F.col("role").isNotNull())
     )
 

@@ -14,12 +14,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
-    """Register ``fn(spark, folder)`` under ``name``, with its SQL."""
+def query(name: str, sql: str | None = None, digits: int = 6):
+    """Register ``fn(spark, folder)`` under ``name``, with its SQL.
+
+    Doubles are rounded to ``digits`` places on both sides.
+    """
 
     def register(fn: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return settle(fn(use_utc(spark), folder))
+            return settle(fn(use_utc(spark), folder), digits)
 
         run.__name__ = name
         run.__doc__ = fn.__doc__
@@ -36,7 +39,7 @@ def query(name: str, sql: str | None = None):
 DIGITS = {"duration_rolling_mean_3h": 8, "duration_rolling_mean_24h": 8}
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, digits: int = 6) -> DataFrame:
     """Results in comparable types: small integers as int, doubles rounded."""
     columns = []
     for field in df.schema.fields:
@@ -44,7 +47,7 @@ def settle(df: DataFrame) -> DataFrame:
         if isinstance(field.dataType, (T.ByteType, T.ShortType)):
             column = column.cast("int")
         elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            column = F.round(column.cast("double"), DIGITS.get(field.name, 6))
+            column = F.round(column.cast("double"), DIGITS.get(field.name, digits))
         columns.append(column.alias(field.name))
     return df.select(*columns)
 

@@ -200,7 +200,8 @@ def price_quantiles(spark, folder):
 
 
 def bins_sql(table: str, column: str, bins: int) -> str:
-    return f"""SELECT CAST(least(floor((v - lo) / ((hi - lo) / {bins})), {bins - 1}) AS INTEGER) AS bin,
+    return f"""SELECT CASE WHEN hi = lo THEN 0
+                           ELSE CAST(least(floor((v - lo) / ((hi - lo) / {bins})), {bins - 1}) AS INTEGER) END AS bin,
                       count(*) AS count
                FROM (SELECT CAST({column} AS DOUBLE) AS v, min(CAST({column} AS DOUBLE)) OVER () AS lo,
                             max(CAST({column} AS DOUBLE)) OVER () AS hi FROM {table}) GROUP BY 1"""

@@ -42,10 +42,11 @@ def points_in_zones(spark, folder):
     with_tables(
         "edges positions",
         """SELECT zone_id, date_trunc('hour', ts) AS hour,
-                  round(coalesce(var_samp(value), 0.0), 6) AS travel_time_var, count(value) AS sample_count
+                  round(coalesce(var_samp(value), 0.0), 8) AS travel_time_var, count(value) AS sample_count
            FROM placed JOIN positions USING (event_id) GROUP BY 1, 2""",
         PLACED,
     ),
+    digits=8,
 )
 def position_variance(spark, folder):
     """Vehicle positions to travel-time variance per zone and hour."""

@@ -82,12 +82,18 @@ ROWS = {
 @query(
     "walk_forward_folds",
     with_tables(
-        "demand", "SELECT route_id, hour, row_idx, fold, role FROM roles WHERE role IS NOT NULL", ROWS
+        "demand", "SELECT route_id, hour, fold, role FROM roles WHERE role IS NOT NULL", ROWS
     ),
 )
 def walk_forward_folds(spark, folder):
     folds = val.walk_forward(src.demand(spark, folder), folds=5, gap=24)
-    return folds.select("route_id", "hour", "row_idx", "fold", "role")
+    return folds.select("route_id", "hour", "fold", "role")
+
+
+@query("row_index", with_tables("demand", "SELECT route_id, hour, row_idx FROM numbered", {"numbered": ROWS["numbered"]}))
+def row_index(spark, folder):
+    """Position of each row in the order of hour and route."""
+    return val.row_index(src.demand(spark, folder)).select("route_id", "hour", "row_idx")
 
 
 @query(

@@ -74,10 +74,13 @@ def scan(
 
     One read per colour takes all its files at once. The file's month comes from
     the file name; the span of all months is also given as a plain range on the
-    raw pickup column, which the Parquet reader uses to skip row groups. Missing
-    files are skipped, unreadable ones only on request.
+    raw pickup column, which the Parquet reader uses to skip row groups. Numbers
+    are read in their widest type, as it differs between files. Missing files are
+    skipped, unreadable ones only on request.
     """
     frames = []
+    widest = {"PULocationID": "bigint", "DOLocationID": "bigint", "trip_distance": "double",
+              "fare_amount": "double"}
     first, last = min(months), max(months)
     lower = dt.datetime(first[0], first[1], 1)
     upper = dt.datetime(last[0] + last[1] // 12, last[1] % 12 + 1, 1)
@@ -86,8 +89,12 @@ def scan(
         paths = _existing(spark, wanted)
         if not paths:
             continue
+        reader = spark.read.option("ignoreCorruptFiles", str(skip_unreadable).lower())
+        known = [*TIME_ALIASES.get(color, {}), *TRIP_COLUMNS]
+        found = [f for f in reader.parquet(*paths).schema.fields if f.name in known]
+        schema = ", ".join(f"`{f.name}` {widest.get(f.name, f.dataType.simpleString())}" for f in found)
         raw = (
-            spark.read.option("ignoreCorruptFiles", str(skip_unreadable).lower())
+            reader.schema(schema)
             .parquet(*paths)
             .withColumn("_month", F.to_date(
                 F.concat(F.regexp_extract("_metadata.file_name", r"(\d{4}-\d{2})\.parquet$", 1),

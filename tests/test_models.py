@@ -15,7 +15,7 @@ from odflow.operators.seasonal import seasonal_forecast
 from odflow.operators.sequences import sequence_windows
 from odflow.plans.features import build_features, feature_table
 from odflow.plans.forecast import answer_requests
-from odflow.plans.training import ablation, cross_validate, train_forest
+from odflow.plans.training import _part, ablation, cross_validate, train_forest
 from odflow.sources import tables
 
 START = dt.datetime(2024, 1, 1)
@@ -74,7 +74,7 @@ def test_split_drops_the_boundary_hour(spark):
 def test_folds_are_expanding_with_a_gap_in_rows(spark):
     rows = [(r, at(i), 1.0) for i in range(50) for r in (1, 2)]
     df = spark.createDataFrame(rows, "route_id int, hour timestamp_ntz, volume double").orderBy(F.rand(1))
-    got = val.walk_forward(df, folds=3, gap=5).toPandas()
+    got = val.walk_forward(val.row_index(df), folds=3, gap=5).toPandas()
     size = 100 // 4
     for fold in range(3):
         part, start = got[got.fold == fold], 100 - (3 - fold) * size
@@ -82,6 +82,23 @@ def test_folds_are_expanding_with_a_gap_in_rows(spark):
         assert sorted(part[part.role == "train"].row_idx) == list(range(start - 5))
 
 
+def test_gap_longer_than_the_first_fold(spark):
+    df = spark.createDataFrame([(1, at(i), 1.0) for i in range(40)], "route_id int, hour timestamp_ntz, volume double")
+    got = val.walk_forward(df, folds=3, gap=15).groupBy("fold", "role").count().collect()
+    assert {(r["fold"], r["role"]): r["count"] for r in got} == {
+        (0, "test"): 10, (1, "train"): 5, (1, "test"): 10, (2, "train"): 15, (2, "test"): 10
+    }
+
+
+def test_fold_filters_match_the_labelled_rows(noisy):
+    labelled = val.walk_forward(noisy, folds=3, gap=7)
+    for bounds in val.fold_bounds(noisy, folds=3, gap=7).collect():
+        for role in ("train", "test"):
+            want = labelled.filter((F.col("fold") == bounds["fold"]) & (F.col("role") == role)).drop("fold", "role")
+            assert _part(noisy, bounds, role).exceptAll(want).count() == 0
+            assert want.exceptAll(_part(noisy, bounds, role)).count() == 0
+
+
 def test_metrics_by_hand(spark):
     df = spark.createDataFrame(
         [("m", 10.0, 8.0, 10.0, 12.0), ("m", 20.0, 8.0, 10.0, 12.0)], "model string, volume double, p10 double, p50 double, p90 double"

@@ -9,6 +9,7 @@ from odflow.functions import scalars
 from odflow.operators import congestion as signals
 from odflow.operators import demand as od
 from odflow.plans import ingest
+from odflow.session import small_side
 from odflow.sources import tables, trips, upserts
 
 T = dt.datetime
@@ -92,6 +93,20 @@ def test_scan_keeps_each_files_month(spark, trip_folder):
     assert "tip_amount" not in plan(got)
 
 
+def test_scan_reads_narrow_and_wide_ids(spark, tmp_path):
+    rows = [(T(2024, 1, 5), T(2024, 1, 5, 1), 7)]
+    columns = "tpep_pickup_datetime timestamp_ntz, tpep_dropoff_datetime timestamp_ntz, PULocationID {0}"
+    for month, kind in ((1, "int"), (2, "bigint")):
+        df = spark.createDataFrame(rows, columns.format(kind)).withColumn("DOLocationID", F.lit(8).cast(kind))
+        if month == 2:
+            df = df.withColumn("tpep_pickup_datetime", F.lit("2024-02-05").cast("timestamp_ntz"))
+        df.coalesce(1).write.parquet(f"{tmp_path}/yellow_tripdata_2024-{month:02d}.parquet")
+    folder = pinned_names(str(tmp_path))
+    got = trips.scan(spark, folder, ["yellow"], [(2024, 2), (2024, 1)])
+    assert dict(got.dtypes)["PULocationID"] == "bigint" and got.count() == 2
+    assert {r["PULocationID"] for r in got.collect()} == {7}
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -214,6 +229,26 @@ def test_zone_variance(spark):
     assert [tuple(r)[2:] for r in signals.zone_variance(df).orderBy("zone_id").collect()] == [(25.0, 3), (0.0, 1)]
 
 
+def test_positions_to_congestion(spark, tmp_path):
+    square = [(0.0, 0.0, 1.0, 0.0), (1.0, 0.0, 1.0, 1.0), (1.0, 1.0, 0.0, 1.0), (0.0, 1.0, 0.0, 0.0)]
+    edges = [(z, a + dx, b, c + dx, d) for z, dx in ((1, 0.0), (2, 5.0)) for a, b, c, d in square]
+    zones = spark.createDataFrame(edges, "zone_id int, x1 double, y1 double, x2 double, y2 double")
+    data = [("2024-01-01 10:05:00", 0.5, 0.5, 120), ("2024-01-01 10:15:00", 0.5, 0.6, 130),
+            ("2024-01-01 10:25:00", 0.4, 0.5, 125), ("2024-01-01 11:00:00", 0.5, 5.5, 200),
+            ("2024-01-01 11:00:00", 0.5, 9.5, 999)]
+    positions = spark.createDataFrame(data, "timestamp string, latitude double, longitude double, segment_travel_time int")
+    got = ingest.ingest_positions(spark, positions, zones, str(tmp_path))
+    want = [(1, T(2024, 1, 1, 10), 25.0, 3), (2, T(2024, 1, 1, 11), 0.0, 1)]
+    assert rows(got, "zone_id") == want
+    assert rows(tables.read_table(spark, str(tmp_path), "congestion"), "zone_id") == want
+
+
+def test_small_side_leaves_large_tables_to_the_planner(spark):
+    big, small = small_side(spark.range(50), limit=49), small_side(spark.range(50), limit=50)
+    assert "ResolvedHint" in small._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in big._jdf.queryExecution().analyzed().toString()
+
+
 def test_position_fallbacks(spark):
     base = spark.createDataFrame([("2024-01-01 10:20:00", 1.0, 2.0, 7)], "time string, latitude double, longitude double, travel_time int")
     got = signals.position_samples(base).first()
