@@ -17,6 +17,8 @@ from odflow.session import small_side
 
 # Fixed value: farthest zone a stop may be assigned to, in degrees.
 NEAREST_LIMIT = 0.01
+# Largest cell table sent to every executor, in cells and edges (about 100 MB).
+CELL_LIMIT = 2_000_000
 
 
 def _cell(value: Column, size: float) -> Column:
@@ -28,8 +30,9 @@ def zone_cells(edges: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
 
     ``edges`` has one row ``(zone_id, x1, y1, x2, y2)`` per polygon edge, holes
     and parts alike. With ``pad`` 0 a cell keeps the edges level with or right
-    of it (a ray towards +x can only meet those); otherwise the edges within
-    ``pad`` of the cell.
+    of it (a ray towards +x can only meet those); a cell that no edge reaches is
+    either dropped or ``whole``, and then needs no edges. Otherwise a cell keeps
+    the edges within ``pad`` of it.
     """
     x_low, x_high = F.least("x1", "x2"), F.greatest("x1", "x2")
     y_low, y_high = F.least("y1", "y2"), F.greatest("y1", "y2")
@@ -52,14 +55,25 @@ def zone_cells(edges: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
     slack = pad + size * 1e-6  # cell borders are rounded, so keep a little more
     left, bottom = F.col("cx") * size - slack, F.col("cy") * size - slack
     right, top = (F.col("cx") + 1) * size + slack, (F.col("cy") + 1) * size + slack
-    near = (y_low <= top) & (y_high >= bottom) & (x_high >= left)
-    if pad:
-        near = near & (x_low <= right)
-    return (
+    level = (y_low <= top) & (y_high >= bottom) & (x_high >= left)
+    touching = level & (x_low <= right)
+    shaped = (
         cells.join(edges, "zone_id")
-        .filter(near)
+        .filter(touching if pad else level)
         .groupBy("zone_id", "cx", "cy")
-        .agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"))
+        .agg(
+            F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"),
+            F.max(touching).alias("cut"),
+        )
+    )
+    if pad:
+        return shaped.drop("cut")
+    middle = [(F.col(c) + 0.5) * size for c in ("cx", "cy")]
+    return (
+        shaped.withColumn("whole", ~F.col("cut") & inside(F.col("edges"), *middle))
+        .filter(F.col("cut") | F.col("whole"))
+        .withColumn("edges", F.when(F.col("cut"), F.col("edges")).otherwise(F.slice("edges", 1, 0)))
+        .drop("cut")
     )
 
 
@@ -96,7 +110,7 @@ def _distance(e: Column, x: Column, y: Column) -> Column:
 
 def _at_cells(points: DataFrame, x: str, y: str, cells: DataFrame, size: float) -> DataFrame:
     placed = points.withColumns({"cx": _cell(F.col(x), size), "cy": _cell(F.col(y), size)})
-    return placed.join(small_side(cells, "size(edges)"), ["cx", "cy"]).drop("cx", "cy")
+    return placed.join(small_side(cells, "1 + size(edges)", limit=CELL_LIMIT), ["cx", "cy"]).drop("cx", "cy")
 
 
 def zones_of_points(
@@ -104,7 +118,7 @@ def zones_of_points(
     edges: DataFrame,
     x: str = "longitude",
     y: str = "latitude",
-    size: float = 0.02,
+    size: float = 0.005,
     boundary: bool = True,
 ) -> DataFrame:
     """Points with each zone that contains them; points in no zone are dropped.
@@ -114,8 +128,9 @@ def zones_of_points(
     """
     px, py, shape = F.col(x), F.col(y), F.col("edges")
     on_edge = on_boundary(shape, px, py)
-    test = (on_edge | inside(shape, px, py)) if boundary else (~on_edge & inside(shape, px, py))
-    return _at_cells(points, x, y, zone_cells(edges, size), size).filter(test).drop("edges")
+    within = inside(shape, px, py)
+    test = F.col("whole") | ((within | on_edge) if boundary else (within & ~on_edge))
+    return _at_cells(points, x, y, zone_cells(edges, size), size).filter(test).drop("edges", "whole")
 
 
 def nearest_zones(
@@ -125,7 +140,7 @@ def nearest_zones(
     x: str,
     y: str,
     limit: float = NEAREST_LIMIT,
-    size: float = 0.02,
+    size: float = 0.005,
 ) -> DataFrame:
     """Nearest zone at most ``limit`` away per point, ties to the smaller id.
 
@@ -146,7 +161,7 @@ def map_stops(
     stops: DataFrame,
     edges: DataFrame,
     limit: float = NEAREST_LIMIT,
-    size: float = 0.02,
+    size: float = 0.005,
 ) -> DataFrame:
     """``stop_id`` to zone: the zone around the stop, else the nearest within ``limit``.
 

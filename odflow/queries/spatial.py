@@ -32,7 +32,7 @@ WITHIN = {"inner_zone": containment("stops", "stop_id", "stop_lon", "stop_lat",
 def points_in_zones(spark, folder):
     """Positions with every zone that contains or touches them."""
     found = spatial.zones_of_points(
-        src.positions(spark, folder), src.zone_edges(spark, folder), size=0.25
+        src.positions(spark, folder), src.zone_edges(spark, folder), size=0.05
     )
     return found.select("event_id", "zone_id")
 
@@ -52,7 +52,7 @@ def position_variance(spark, folder):
     """Vehicle positions to travel-time variance per zone and hour."""
     samples = signals.position_samples(src.positions(spark, folder))
     return signals.zone_variance(
-        spatial.zones_of_points(samples, src.zone_edges(spark, folder), size=0.25)
+        spatial.zones_of_points(samples, src.zone_edges(spark, folder), size=0.05)
     )
 
 
