@@ -1,7 +1,7 @@
 """Calendar, holiday and event features as plain column expressions.
 
 Holidays are computed from their rules inside the projection, so the calendar
-costs no join and no shuffle whatever the table size.
+costs no shuffle whatever the table size; only published event dates are joined.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from odflow.session import small_side
+
 # Recurring city events as month-day.
 CITY_EVENT_DAYS = ["01-01", "03-17", "07-04", "11-01", "12-31"]
 
@@ -73,7 +75,8 @@ def with_event_flag(df: DataFrame, day: Column, events: DataFrame | None, out: s
     """0/1 flag of recurring event days and of the dates in ``events(event_date)``."""
     if events is None:
         return df.withColumn(out, recurring_event(day).cast("byte"))
-    dates = events.select(F.col("event_date").alias("_event")).distinct()
+    # At most one row per calendar day, so the table itself is not moved by day.
+    dates = small_side(events.select(F.col("event_date").alias("_event")).distinct())
     flag = (recurring_event(day) | F.col("_event").isNotNull()).cast("byte")
     return df.join(dates, day == F.col("_event"), "left").withColumn(out, flag).drop("_event")
 

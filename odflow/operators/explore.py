@@ -225,8 +225,9 @@ def _order_statistics(values: DataFrame, bounds: Column) -> DataFrame:
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Counts in ``bins`` equal-width bins between minimum and maximum."""
     values = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
-    low, high = values.agg(F.min("v")).scalar(), values.agg(F.max("v")).scalar()
-    width = (high - low) / F.lit(bins)
+    ends = values.agg(F.struct(F.min("v").alias("low"), F.max("v").alias("high"))).scalar()
+    low = ends.getField("low")
+    width = (ends.getField("high") - low) / F.lit(bins)
     place = F.coalesce(F.floor(F.try_divide(F.col("v") - low, width)), F.lit(0))
     return values.groupBy(F.least(place, F.lit(bins - 1)).cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("count")
