@@ -71,6 +71,12 @@ def ragged(lengths: np.ndarray, picks: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(offsets - (ends - sizes), sizes)
 
 
+def distinct_of(values: np.ndarray) -> np.ndarray:
+    """Distinct values in order, by sorting."""
+    v = np.sort(values)
+    return v[np.concatenate([[True], v[1:] != v[:-1]])] if len(v) else v
+
+
 def run_sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Sum of each run of ``counts`` values; empty runs give 0."""
     totals = np.concatenate([[0], np.cumsum(values)])

@@ -12,6 +12,8 @@ from odflow.llm.language import identify_language
 from odflow.llm.mixing import pareto_mix
 from odflow.llm.oracles import MIXING
 from odflow.llm.packing import pack_power_of_two
+from odflow.llm.quality import score_quality
+from odflow.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {"op9_pareto_mixing": MIXING}
@@ -28,11 +30,25 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query
+def op1_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))
+    return scored.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
 @query
 def op2_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_power_of_two(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+@query
+def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 5, 0))
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
 @query
 def op9_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(table(spark, sf_dir, "documents")).select(
