@@ -13,6 +13,7 @@ from odflow.llm.mixing import pareto_mix
 from odflow.llm.oracles import MIXING
 from odflow.llm.packing import pack_power_of_two
 from odflow.llm.quality import score_quality
+from odflow.llm.search import top_k
 from odflow.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +50,11 @@ def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
+@query
+def op5_kd_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op9_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(table(spark, sf_dir, "documents")).select(
