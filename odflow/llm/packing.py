@@ -7,12 +7,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from odflow.llm.common import SLICE_BYTES, ragged, slices, starts_of, words
+from odflow.llm.common import ragged, slices, starts_of, words
 
 CACHE_WORDS = 400_000
+ENCODED_AT_ONCE = 20_000
 SEQUENCE_BITS = 40
 PIECES = (
     "start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -22,8 +24,8 @@ PIECES = (
 class WordEncoder:
     """Token ids of texts, each distinct word encoded once.
 
-    Right for vocabularies whose pre-tokeniser never joins text across ASCII white space and
-    drops it, as those with word ends do; the ids are then those of the whole text.
+    Right for vocabularies that lower-case, never join text across ASCII white space and drop it, and
+    cut letters from punctuation, as those with word ends do; the ids are then those of the whole text.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -31,23 +33,45 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
-        self.known: dict[str, list[int]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Start the store of known words anew: a run of ids for each, laid end to end."""
+        self.place: dict[str, int] = {}
+        self.cores: dict[str, list[int]] = {}
+        self.ids, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.keep([[self.end_id]])
+
+    def keep(self, lists: list[list[int]]) -> None:
+        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
+        fresh = np.fromiter((i for ids in lists for i in ids), np.int32, int(lengths.sum()))
+        self.ids = np.concatenate([self.ids, fresh])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths)])
+
+    def learn(self, fresh: list[str]) -> None:
+        """Encode new words; a comma or full stop behind a letter is a token of its own."""
+        cut = [w[:-1] if len(w) > 1 and w[-1] in ",." and w[-2].isalpha() else w for w in fresh]
+        new = [w for w in dict.fromkeys([*cut, ",", "."]) if w not in self.cores]
+        for i in range(0, len(new), ENCODED_AT_ONCE):
+            some = new[i : i + ENCODED_AT_ONCE]
+            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.cores[word] = got.ids
+        known = self.cores
+        self.keep([known[c] if len(c) == len(w) else known[c] + known[w[-1]] for w, c in zip(fresh, cut, strict=True)])
+        first = len(self.place) + 1  # place 0 is the end id
+        self.place.update(zip(fresh, range(first, first + len(fresh)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids laid end to end and the number of ids of each text, end id included."""
-        codes, distinct, counts = words(texts)
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        fresh = [w for w in distinct if w not in self.known]
-        for word, got in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False), strict=True):
-            self.known[word] = got.ids
-        lists = [self.known[w] for w in distinct]
-        lists.append([self.end_id])
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        pool = np.fromiter((i for ids in lists for i in ids), np.int32, int(lengths.sum()))
-        picks = np.insert(codes.astype(np.int64), starts_of(counts)[1:], len(lists) - 1)
+        codes, distinct, counts = words(pc.ascii_lower(pc.fill_null(texts, "")))
+        if len(self.place) > CACHE_WORDS:
+            self.forget()
+        self.learn([w for w in distinct if w not in self.place])
+        places = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
+        picks = np.insert(places[codes], starts_of(counts)[1:], 0)
+        lengths = np.diff(self.bounds)
         ends = np.cumsum(lengths[picks])[starts_of(counts + 1)[1:] - 1]
-        return pool[ragged(lengths, picks)], np.diff(ends, prepend=0)
+        return self.ids[ragged(lengths, picks)], np.diff(ends, prepend=0)
 
 
 def binary_lengths(total: int, longest: int) -> list[int]:
@@ -81,7 +105,7 @@ def pack_power_of_two(
         encoder = WordEncoder(tokenizer_path, end_id)
         sequence = TaskContext.get().partitionId() << SEQUENCE_BITS
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES // 4):
+            for part in slices(batch, "text"):
                 ids, totals = encoder.encode(part.column("text"))
                 cuts = [binary_lengths(int(n), longest) for n in totals]
                 pieces = np.fromiter(map(len, cuts), np.int64, len(cuts))

@@ -13,6 +13,8 @@ from odflow.llm.mixing import pareto_mix
 from odflow.llm.oracles import MIXING
 from odflow.llm.packing import pack_power_of_two
 from odflow.llm.quality import score_quality
+from odflow.llm.rules import outlier_rules
+from odflow.llm.scoring import score_texts
 from odflow.llm.search import top_k
 from odflow.llm.toxicity import score_toxicity
 
@@ -55,6 +57,19 @@ def op5_kd_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op7_mcd_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outlier_rules(table(spark, sf_dir, "documents")).drop("distance")
+
+
+@query
+def op8_log_bilinear_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7, 2))
+    return scored.select(
+        "doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 @query
 def op9_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(table(spark, sf_dir, "documents")).select(
