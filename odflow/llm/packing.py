@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -13,8 +14,8 @@ from pyspark.sql import DataFrame
 
 from odflow.llm.common import ragged, slices, starts_of, words
 
-CACHE_WORDS = 400_000
-ENCODED_AT_ONCE = 20_000
+CACHE_WORDS = 300_000
+ENCODED_AT_ONCE = 4_000
 SEQUENCE_BITS = 40
 PIECES = (
     "start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -102,6 +103,7 @@ def pack_power_of_two(
     id_type = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
         encoder = WordEncoder(tokenizer_path, end_id)
         sequence = TaskContext.get().partitionId() << SEQUENCE_BITS
         for batch in batches:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from odflow.llm.common import held_out, table
+from odflow.llm.extraction import extract_main_text
 from odflow.llm.language import identify_language
 from odflow.llm.mixing import pareto_mix
 from odflow.llm.oracles import MIXING
@@ -16,6 +17,7 @@ from odflow.llm.quality import score_quality
 from odflow.llm.rules import outlier_rules
 from odflow.llm.scoring import score_texts
 from odflow.llm.search import top_k
+from odflow.llm.similarity import jaccard_join
 from odflow.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +47,12 @@ def op2_power_of_two_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_power_of_two(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+@query
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join(docs).select("doc_id", "class_id", "n_links")
+
+
 @query
 def op4_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -57,6 +65,11 @@ def op5_kd_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op6_block_labeller_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op7_mcd_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outlier_rules(table(spark, sf_dir, "documents")).drop("distance")
