@@ -184,9 +184,9 @@ def roots_of(links: np.ndarray) -> np.ndarray:
 
 
 def checked_links(work: DataFrame, width: int, threshold: float) -> DataFrame:
-    """(mark, root, linked): each text's component within a piece of work, and the rows it links to there.
+    """(node, root, linked): each text's component within a piece of work, and the rows it links to there.
 
-    ``work``: unit, comp, i, j, block, mark, copies, text. A piece is a candidate group or a tile
+    ``work``: unit, comp, i, j, block, node, copies, text. A piece is a candidate group or a tile
     of one, and a unit holds one tile or some whole small groups. Tile (i, j) compares block i
     with block j, so every pair of a group is compared once.
     """
@@ -195,7 +195,7 @@ def checked_links(work: DataFrame, width: int, threshold: float) -> DataFrame:
         rows = table.combine_chunks()
         shingles, sizes = shingle_sets(rows.column("text").combine_chunks(), width)
         sets = np.split(shingles, starts_of(sizes)[1:-1])
-        marks, copies = rows.column("mark").to_pylist(), rows.column("copies").to_numpy()
+        nodes, copies = rows.column("node").to_pylist(), rows.column("copies").to_numpy()
         block, i, j = (rows.column(c).to_numpy() for c in ("block", "i", "j"))
         pieces: dict[tuple, list[int]] = {}
         for k, key in enumerate(zip(rows.column("comp").to_pylist(), i.tolist(), j.tolist(), strict=True)):
@@ -212,13 +212,11 @@ def checked_links(work: DataFrame, width: int, threshold: float) -> DataFrame:
             np.fill_diagonal(full, False)
             total = full @ copies[at]
             root = roots_of(full)
-            out += [(marks[k], marks[members[r]], int(n)) for k, r, n in zip(members, root, total, strict=True)]
+            out += [(nodes[k], nodes[members[r]], int(n)) for k, r, n in zip(members, root, total, strict=True)]
         cols = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table({
-            "mark": pa.array(cols[0], pa.binary()), "root": pa.array(cols[1], pa.binary()), "linked": pa.array(cols[2], pa.int64())
-        })
+        return pa.table([pa.array(c, pa.int64()) for c in cols], names=["node", "root", "linked"])
 
-    return work.groupBy("unit").applyInArrow(run, "mark binary, root binary, linked long")
+    return work.groupBy("unit").applyInArrow(run, "node long, root long, linked long")
 
 
 def jaccard_join(
@@ -236,8 +234,8 @@ def jaccard_join(
     component; class_id is its smallest doc_id, and exactly one row of a class stays: that of the
     smallest id, nulls last.
 
-    1. Documents of one n-gram set are one text with a number of copies; the digest of the set is
-       its key from here on. 2. MinHash bands: texts that share a band are candidates; bands follow
+    1. Documents of one n-gram set (by the digest of the set) are one text with a number of copies;
+    the first of their row numbers stands for it from here on. 2. MinHash bands: texts that share a band are candidates; bands follow
        from ``recall``, the chance that a pair just at the threshold shares one. 3. Candidates form
        groups, found through the smallest member of each band's bucket, so no pairs are listed. 4. In
        each group all pairs are compared on full sets, in tiles of ``block`` texts for large groups;
@@ -254,43 +252,42 @@ def jaccard_join(
     texts = materialise(
         all_rows.where(F.col("_mark").isNotNull())
         .groupBy(F.col("_mark").alias("mark"), F.col("_bands").alias("bands"))
-        .agg(F.count("*").alias("copies"), F.min("_row").alias("first_row")),
+        .agg(F.count("*").alias("copies"), F.min("_row").alias("node")),
         "texts",
     )
-    keys = texts.select("mark", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.min("mark").alias("leader"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
-    pairs = keys.join(buckets, "key").where(F.col("mark") != F.col("leader"))
-    groups = materialise(components(pairs.select(F.col("mark").alias("a"), F.col("leader").alias("b"))), "groups")
+    keys = texts.select("node", F.explode("bands").alias("key"))
+    buckets = keys.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where(F.col("n") > 1).drop("n")
+    pairs = keys.join(buckets, "key").where(F.col("node") != F.col("leader"))
+    groups = materialise(components(pairs.select(F.col("node").alias("a"), F.col("leader").alias("b"))), "groups")
     sizes = groups.groupBy("root").agg(F.count("*").alias("m"))
-    parts = F.ceil(F.col("m") / block).cast("int")
     members = (
         groups.join(sizes, "root")
-        .join(texts.select("mark", "copies", "first_row"), F.col("node") == F.col("mark")).drop("node")
-        .withColumn("parts", parts)
-        .withColumn("block", F.pmod(F.xxhash64("mark"), F.col("parts")).cast("int"))
+        .join(texts.select("node", "copies"), "node")
+        .withColumn("parts", F.ceil(F.col("m") / block).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
-            F.col("root").alias("comp"), "mark", "copies", "first_row", "block", "parts",
+            F.col("root").alias("comp"), "node", "copies", "block", "parts",
             F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
         )
     )
     members = materialise(members, "members")
     spread = max(members.count() // block, 1)
     unit = F.when(F.col("parts") > 1, F.xxhash64("comp", "i", "j")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(spread)))
-    wanted = small_side(members.select("first_row").distinct())
-    full = all_rows.join(wanted, F.col("_row") == F.col("first_row"), "left_semi").select("_row", "text")
-    work = members.join(full, F.col("first_row") == F.col("_row")).select(
-        unit.alias("unit"), "comp", "i", "j", "block", "mark", "copies", "text"
+    wanted = small_side(members.select("node").distinct())
+    full = all_rows.join(wanted, F.col("_row") == F.col("node"), "left_semi").select("_row", "text")
+    work = members.join(full, F.col("node") == F.col("_row")).select(
+        unit.alias("unit"), "comp", "i", "j", "block", "node", "copies", "text"
     )
     found = materialise(checked_links(work, width, threshold), "links")
-    roots = components(found.select(F.col("mark").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("mark").agg(F.sum("linked").alias("linked")).where(F.col("linked") > 0)
+    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    links = found.groupBy("node").agg(F.sum("linked").alias("linked")).where(F.col("linked") > 0)
     info = (
-        texts.select("mark", "copies")
-        .join(links, "mark", "left")
-        .join(roots.withColumnRenamed("node", "mark"), "mark", "left")
+        texts.select("mark", "node", "copies")
+        .join(links, "node", "left")
+        .join(roots, "node", "left")
         .where((F.col("copies") > 1) | F.col("linked").isNotNull())
-        .select("mark", F.coalesce("root", "mark").alias("root"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
+        .select("mark", F.coalesce("root", "node").alias("root"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
     )
     info = small_side(info)
     known = all_rows.drop("_bands").join(info, F.col("_mark") == F.col("mark"), "left").drop("mark", "_mark")
