@@ -20,6 +20,7 @@ UNDETERMINED = "und"
 MOST_LANGUAGES = 4096
 COLUMNS_AT_ONCE = 2048
 ROWS_AT_ONCE = 256
+UNIT = 1 << 16
 
 
 class GramSpace:
@@ -78,23 +79,20 @@ class GramSpace:
             rest = rest // max(len(symbols), 1)
         return parts, at, np.bincount(whose, minlength=len(lengths))
 
-    def bundles(self, texts: pa.Array, groups: np.ndarray | None = None, n_groups: int = 0) -> np.ndarray:
-        """Sum of the n-gram vectors of each text, or of each group of texts."""
+    def bundles(self, texts: pa.Array) -> np.ndarray:
+        """Sum of the n-gram vectors of each text."""
         parts, at, counts = self.grams(texts)
-        rows = np.repeat(np.arange(len(counts)) if groups is None else groups, counts)
-        n = len(counts) if groups is None else n_groups
-        out = np.zeros((n, self.dimension), np.float32 if groups is None else np.float64)
-        bounds = starts_of(counts)
-        steps = range(0, n, ROWS_AT_ONCE) if groups is None else [0]
+        n, bounds = len(counts), starts_of(counts)
+        rows = np.repeat(np.arange(n), counts)
+        out = np.zeros((n, self.dimension), np.float32)
         for left in range(0, len(parts), COLUMNS_AT_ONCE):
             vectors = self.vectors(parts[left : left + COLUMNS_AT_ONCE])
-            for top in steps:
-                span = slice(bounds[top], bounds[min(top + ROWS_AT_ONCE, n)]) if groups is None else slice(None)
-                height = min(ROWS_AT_ONCE, n - top) if groups is None else n
+            for top in range(0, n, ROWS_AT_ONCE):
+                span, height = slice(bounds[top], bounds[min(top + ROWS_AT_ONCE, n)]), min(ROWS_AT_ONCE, n - top)
                 inside = (at[span] >= left) & (at[span] < left + len(vectors))
                 cells = (rows[span][inside] - top) * len(vectors) + at[span][inside] - left
                 table = np.bincount(cells, minlength=height * len(vectors)).reshape(height, len(vectors))
-                out[top : top + height] += table.astype(out.dtype) @ vectors
+                out[top : top + height] += table.astype(np.float32) @ vectors
         return out
 
 
@@ -122,9 +120,10 @@ def numbered(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def language_profiles(docs: DataFrame, train: Column, space: GramSpace) -> tuple[list[str], np.ndarray]:
-    """Languages and the bundle of all n-grams of their training texts, over all rows where ``train`` holds.
+    """Languages and the bundles of their training texts, over all rows where ``train`` holds.
 
-    Each task sends one vector per language; the sums are whole numbers, so their order does not matter.
+    Texts count alike whatever their length: each gives a vector of length UNIT, rounded. A task
+    sends one vector per language; the sums are whole numbers, so their order does not matter.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,12 +132,15 @@ def language_profiles(docs: DataFrame, train: Column, space: GramSpace) -> tuple
             for part in slices(batch, "text"):
                 coded = part.column("lang").dictionary_encode()
                 names = coded.dictionary.to_pylist()
-                sums = space.bundles(part.column("text"), coded.indices.to_numpy(zero_copy_only=False), len(names))
-                for name, row in zip(names, sums, strict=True):
-                    totals[name] = totals.get(name, 0) + row
+                bundles = space.bundles(part.column("text"))
+                size = np.linalg.norm(bundles, axis=1, keepdims=True)
+                whole = np.rint(bundles / np.maximum(size, 1e-30) * UNIT).astype(np.int64)
+                which = coded.indices.to_numpy(zero_copy_only=False)
+                for k, name in enumerate(names):
+                    totals[name] = totals.get(name, 0) + whole[which == k].sum(0)
         for name, row in totals.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array([name] * len(row)), pa.array(np.arange(len(row)), pa.int32()), pa.array(np.rint(row).astype(np.int64))],
+                [pa.array([name] * len(row)), pa.array(np.arange(len(row)), pa.int32()), pa.array(row)],
                 names=["lang", "place", "value"],
             )
 
@@ -161,8 +163,8 @@ def identify_language(
     """``docs`` with lang_pred and score, learnt from the rows of ``docs`` where ``train`` holds.
 
     Letters have random vectors of +1 and -1, the same in every task. An n-gram is the product of
-    its letters' vectors, each rotated by its place; a text is the sum over its n-grams, and so is
-    a language. The prediction is the language of the largest cosine, ties to the first by code
+    its letters' vectors, each rotated by its place; a text is the sum over its n-grams, and a
+    language the sum over its texts at equal length. The prediction is the language of the largest cosine, ties to the first by code
     point; score is that cosine, 0 where it is negative.
 
     Input: text, lang and any others, all kept (columns named as the new ones are replaced). Rows
