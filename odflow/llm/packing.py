@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,14 +40,13 @@ class WordEncoder:
     def forget(self) -> None:
         """Start the store of known words anew: a run of ids for each, laid end to end."""
         self.place: dict[str, int] = {}
-        self.cores: dict[str, list[int]] = {}
+        self.cores: dict[str, bytes] = {}
         self.ids, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        self.keep([[self.end_id]])
+        self.keep([array("i", [self.end_id]).tobytes()])
 
-    def keep(self, lists: list[list[int]]) -> None:
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        fresh = np.fromiter((i for ids in lists for i in ids), np.int32, int(lengths.sum()))
-        self.ids = np.concatenate([self.ids, fresh])
+    def keep(self, runs: list[bytes]) -> None:
+        lengths = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(runs), np.int32)])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths)])
 
     def learn(self, fresh: list[str]) -> None:
@@ -56,7 +56,7 @@ class WordEncoder:
         for i in range(0, len(new), ENCODED_AT_ONCE):
             some = new[i : i + ENCODED_AT_ONCE]
             for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.cores[word] = got.ids
+                self.cores[word] = array("i", got.ids).tobytes()
         known = self.cores
         self.keep([known[c] if len(c) == len(w) else known[c] + known[w[-1]] for w, c in zip(fresh, cut, strict=True)])
         first = len(self.place) + 1  # place 0 is the end id
