@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odflow.functions import windows as win
+from odflow.session import materialise
 from odflow.functions.scalars import hour_of, with_trip_seconds
 
 PAIR_HOUR = ["PULocationID", "DOLocationID", "hour"]
@@ -74,13 +75,17 @@ def combined_pairs(trips: DataFrame, colors: list[str], weighted: bool = False)
 def selected_routes(trips: DataFrame, threshold: float = ROUTE_THRESHOLD) -> DataFrame:
     """Pairs with more than ``threshold`` trips per month, over the months with data.
 
-    The number of months is read off the pre-aggregated month list, a scalar.
+    Trips are read once, into counts by pair and month; these are written, and both the
+    totals and the number of months come from them.
     """
-    month = F.trunc(F.col("pickup_datetime").cast("date"), "month")
-    months = trips.select(month.alias("m")).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    month = F.trunc(F.col("pickup_datetime").cast("date"), "month").alias("m")
+    monthly = materialise(
+        trips.groupBy("PULocationID", "DOLocationID", month).agg(F.count(F.lit(1)).alias("n")), "monthly"
+    )
+    months = monthly.select("m").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
     return (
-        trips.groupBy("PULocationID", "DOLocationID")
-        .agg(F.count(F.lit(1)).alias("trips"))
+        monthly.groupBy("PULocationID", "DOLocationID")
+        .agg(F.sum("n").alias("trips"))
         .withColumn("avg_monthly_volume", F.col("trips") / months)
         .filter(F.col("avg_monthly_volume") > threshold)
     )

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from odflow.session import small_side
+
 # Fixed values.
 WARM_UP_HOURS = 168
 NULL_RATE_LIMIT = 0.05
 LEAK_TOLERANCE = 1e-6
+LEAK_MIN_ROWS = 100
 KEY_FEATURES = [
     "volume",
     "origin_delay_index_lag1",
@@ -24,8 +27,9 @@ Entry = tuple[str, str, Column, Column]
 
 
 def since_start(features: DataFrame) -> DataFrame:
-    """Add ``start_hour``, the first hour of each row's route."""
-    return features.withColumn("start_hour", F.min("hour").over(Window.partitionBy("route_id")))
+    """Add ``start_hour``, the first hour of each row's route; the wide rows stay where they are."""
+    starts = features.groupBy("route_id").agg(F.min("hour").alias("start_hour"))
+    return features.join(small_side(starts), "route_id", "left")
 
 
 def _tidy(stats: DataFrame, entries: list[Entry]) -> DataFrame:
@@ -82,7 +86,7 @@ def column_checks(features: DataFrame) -> DataFrame:
 
 
 def leakage(features: DataFrame, congestion: DataFrame) -> DataFrame:
-    """Rows whose lag-1 value is not the congestion one hour before."""
+    """Rows whose lag-1 value is not the congestion one hour before; too few rows to compare never fail."""
     before = congestion.select(
         F.col("zone_id").alias("origin_zone_id"),
         (F.col("hour") + F.expr("interval 1 hour")).alias("hour"),
@@ -92,8 +96,11 @@ def leakage(features: DataFrame, congestion: DataFrame) -> DataFrame:
         "origin_zone_id", "hour", "origin_delay_index_lag1"
     )
     wrong = F.abs(F.col("origin_delay_index_lag1") - F.col("_expected")) > LEAK_TOLERANCE
-    counted = checked.join(before, ["origin_zone_id", "hour"]).agg(F.count_if(wrong).alias("bad"))
-    return _tidy(counted, [("leakage", "origin_delay_index_lag1", F.col("bad"), _status(F.col("bad") > 0))])
+    counted = checked.join(before, ["origin_zone_id", "hour"]).agg(
+        F.count_if(wrong).alias("bad"), F.count(F.lit(1)).alias("compared")
+    )
+    failed = (F.col("bad") > 0) & (F.col("compared") > LEAK_MIN_ROWS)
+    return _tidy(counted, [("leakage", "origin_delay_index_lag1", F.col("bad"), _status(failed))])
 
 
 def largest_routes(features: DataFrame, n: int = 5) -> DataFrame:

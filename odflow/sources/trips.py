@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import logging
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +31,7 @@ TIME_ALIASES = {
         "lpep_dropoff_datetime": "dropoff_datetime",
     },
 }
+log = logging.getLogger(__name__)
 FILE_NAME = "{color}_tripdata_{year:04d}-{month:02d}.parquet"
 
 
@@ -73,10 +77,12 @@ def scan(
     """All trips of the given colours and months, with a ``color`` column.
 
     One read per colour takes all its files at once. The file's month comes from
-    the file name; the span of all months is also given as a plain range on the
-    raw pickup column, which the Parquet reader uses to skip row groups. Numbers
-    are read in their widest type, as it differs between files. Missing files are
-    skipped, unreadable ones only on request.
+    its path, so a folder written by Spark counts as a file; the span of all months
+    is also given as a plain range on the raw pickup column, which the Parquet reader
+    uses to skip row groups. Columns are those of any file, null where a file lacks
+    them; numbers are read in their widest type, as it differs between files. Months
+    without a file are logged (see :func:`missing_files`). A file without a readable
+    footer fails the scan, or is left out as a whole and logged with ``skip_unreadable``.
     """
     frames = []
     widest = {"PULocationID": "bigint", "DOLocationID": "bigint", "trip_distance": "double",
@@ -89,15 +95,22 @@ def scan(
         paths = _existing(spark, wanted)
         if not paths:
             continue
-        reader = spark.read.option("ignoreCorruptFiles", str(skip_unreadable).lower())
+        for path in sorted(set(wanted) - set(paths)):
+            log.warning("no trip file %s", path)
         known = [*TIME_ALIASES.get(color, {}), *TRIP_COLUMNS]
-        found = [f for f in reader.parquet(*paths).schema.fields if f.name in known]
-        schema = ", ".join(f"`{f.name}` {widest.get(f.name, f.dataType.simpleString())}" for f in found)
+        fields = {path: _fields(spark, path, skip_unreadable) for path in paths}
+        paths = [path for path in paths if fields[path] is not None]
+        if not paths:
+            continue
+        found = {f.name: f for path in paths for f in fields[path] if f.name in known}
+        schema = ", ".join(
+            f"`{name}` {widest.get(name, f.dataType.simpleString())}" for name, f in found.items()
+        )
         raw = (
-            reader.schema(schema)
+            spark.read.schema(schema)
             .parquet(*paths)
             .withColumn("_month", F.to_date(
-                F.concat(F.regexp_extract("_metadata.file_name", r"(\d{4}-\d{2})\.parquet$", 1),
+                F.concat(F.regexp_extract("_metadata.file_path", r"_tripdata_(\d{4}-\d{2})\.parquet", 1),
                          F.lit("-01"))
             ))
         )
@@ -122,6 +135,25 @@ TRIP_SCHEMA = (
 )
 
 
+def missing_files(
+    spark: SparkSession, folder: str, colors: list[str], months: list[tuple[int, int]]
+) -> list[str]:
+    """Paths of the wanted files that do not exist."""
+    wanted = [f"{folder}/{FILE_NAME.format(color=c, year=y, month=m)}" for c in colors for y, m in months]
+    return sorted(set(wanted) - set(_existing(spark, wanted)))
+
+
+def _fields(spark: SparkSession, path: str, skip_unreadable: bool) -> list[T.StructField] | None:
+    """Columns by the footer of one file; None for an unreadable file that is to be skipped."""
+    try:
+        return spark.read.parquet(path).schema.fields
+    except (PySparkException, Py4JJavaError):
+        if not skip_unreadable:
+            raise
+        log.warning("unreadable trip file %s", path)
+        return None
+
+
 def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
     """Those of a short list of file names that exist on their file system."""
     jvm = spark.sparkContext._jvm

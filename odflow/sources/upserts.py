@@ -14,9 +14,15 @@ from odflow.session import materialise
 
 
 def last_wins(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Stored rows, replaced by the incoming row wherever the key is the same."""
-    kept = stored.join(incoming.select(*keys), keys, "left_anti")
-    return kept.unionByName(incoming)
+    """Stored rows, replaced by the incoming row wherever the key is the same.
+
+    Of several incoming rows of one key the largest in its other columns counts.
+    """
+    others = [c for c in incoming.columns if c not in keys]
+    largest = incoming.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_last"))
+    one = largest.select(*[c if c in keys else F.col(f"_last.{c}").alias(c) for c in incoming.columns])
+    kept = stored.join(one.select(*keys), keys, "left_anti")
+    return kept.unionByName(one)
 
 
 def demand_rows(hourly: DataFrame, routes: DataFrame) -> DataFrame:

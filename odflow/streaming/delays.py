@@ -32,9 +32,14 @@ def stop_updates(messages: DataFrame, payload: str, *keep: str) -> DataFrame:
     )
 
 
+def placed_stops(stop_map: DataFrame) -> DataFrame:
+    """Stops with a zone, as a whole number; the others place no delay."""
+    return stop_map.where(F.col("zone_id").isNotNull()).select("stop_id", F.col("zone_id").cast("int").alias("zone_id"))
+
+
 def partial_delays(delays: DataFrame, stop_map: DataFrame, hour: Column) -> DataFrame:
     """Delay sum and count per zone, hour and feed."""
-    placed = delays.join(stop_map, "stop_id")
+    placed = delays.join(placed_stops(stop_map), "stop_id")
     return placed.groupBy("zone_id", hour.alias("hour"), "feed_id").agg(
         F.sum("delay").alias("delay_sum"), F.count("delay").alias("trip_count")
     )
@@ -110,7 +115,7 @@ def windowed_delays(stream: DataFrame, stop_map: DataFrame, lateness: str) -> Da
     timed = stream.withColumn("_ts", F.col("polled_at").cast("timestamp"))
     return (
         timed.withWatermark("_ts", lateness)
-        .join(stop_map, "stop_id")
+        .join(placed_stops(stop_map), "stop_id")
         .groupBy(F.window("_ts", "1 hour").alias("w"), "zone_id", "feed_id")
         .agg(F.sum("delay").alias("delay_sum"), F.count("delay").alias("trip_count"))
         .select(
@@ -121,9 +126,12 @@ def windowed_delays(stream: DataFrame, stop_map: DataFrame, lateness: str) -> Da
 
 
 def start_windowed(
-    stream: DataFrame, stop_map: DataFrame, path: str, checkpoint: str, lateness: str = "7 days"
+    stream: DataFrame, stop_map: DataFrame, path: str, checkpoint: str, lateness: str
 ) -> StreamingQuery:
-    """Update-mode run of :func:`windowed_delays`: each batch stores the new totals."""
+    """Update-mode run of :func:`windowed_delays`: each batch stores the new totals.
+
+    Rows dropped for being later than ``lateness`` are counted by :func:`dropped_rows`.
+    """
 
     def store(batch: DataFrame, batch_id: int) -> None:
         append_parts(batch, path, batch_id)
@@ -138,6 +146,11 @@ def start_windowed(
     )
 
 
+def dropped_rows(run: StreamingQuery) -> int:
+    """Rows that the watermark of a run has dropped so far, by the progress it still holds."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in run.recentProgress for s in p["stateOperators"])
+
+
 def read_windowed(spark: SparkSession, path: str) -> DataFrame:
     """Latest totals per key over the batches of an update-mode run."""
     last = F.max_by(F.struct("delay_sum", "trip_count"), "batch_id").alias("last")

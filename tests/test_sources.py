@@ -304,3 +304,34 @@ def test_requests(spark):
     assert rows(accepted, "horizon") == [(1, 1), (1, 7)]
     reasons = [r["reason"] for r in rejected.collect()]
     assert len(reasons) == 7 and reasons.count("route not found") == 1
+
+
+def test_scan_keeps_columns_of_any_file_in_spark_folders(spark, tmp_path):
+    base = "tpep_pickup_datetime timestamp_ntz, tpep_dropoff_datetime timestamp_ntz, PULocationID int"
+    first = spark.createDataFrame([(T(2024, 1, 5), T(2024, 1, 5, 1), 7)], base)
+    second = spark.createDataFrame([(T(2024, 2, 5), T(2024, 2, 5, 1), 8, 2.5)], base + ", trip_distance double")
+    first.write.parquet(f"{tmp_path}/yellow_tripdata_2024-01.parquet")
+    second.write.parquet(f"{tmp_path}/yellow_tripdata_2024-02.parquet")
+    months = [(2024, 3), (2024, 2), (2024, 1)]
+    for order in (months, months[::-1]):
+        got = trips.scan(spark, str(tmp_path), ["yellow"], order)
+        assert sorted((r["PULocationID"], r["trip_distance"]) for r in got.collect()) == [(7, None), (8, 2.5)]
+    assert [p[-15:] for p in trips.missing_files(spark, str(tmp_path), ["yellow"], months)] == ["2024-03.parquet"]
+
+
+def test_scan_leaves_out_unreadable_files_whole(spark, tmp_path):
+    base = "tpep_pickup_datetime timestamp_ntz, tpep_dropoff_datetime timestamp_ntz, PULocationID int"
+    spark.createDataFrame([(T(2024, 1, 5), T(2024, 1, 5, 1), 7)], base).write.parquet(f"{tmp_path}/yellow_tripdata_2024-01.parquet")
+    (tmp_path / "yellow_tripdata_2024-02.parquet").write_bytes(b"PAR1 not a file PAR1")
+    months = [(2024, 2), (2024, 1)]
+    assert trips.scan(spark, str(tmp_path), ["yellow"], months, skip_unreadable=True).count() == 1
+    with pytest.raises(Exception):
+        trips.scan(spark, str(tmp_path), ["yellow"], months).count()
+
+
+def test_last_wins_settles_repeated_keys(spark):
+    from odflow.sources.upserts import last_wins
+
+    stored = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    incoming = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e"), (3, "e")], "k int, v string")
+    assert sorted(map(tuple, last_wins(stored, incoming, ["k"]).collect())) == [(1, "a"), (2, "d"), (3, "e")]

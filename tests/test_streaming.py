@@ -67,7 +67,7 @@ def test_log_equals_batch_and_survives_replay(spark, feed, tmp_path):
 def test_windows_equal_batch(spark, feed, tmp_path):
     _, stream, stops, batch = feed
     path = f"{tmp_path}/windows"
-    live.start_windowed(stream, stops, path, f"{tmp_path}/progress").awaitTermination()
+    live.start_windowed(stream, stops, path, f"{tmp_path}/progress", "7 days").awaitTermination()
     assert rows(live.read_windowed(spark, path)) == rows(batch)
 
 
