@@ -89,6 +89,10 @@ class QuantileForest:
         nested: list[dict[int, list[float]]] = [{} for _ in range(self.trees)]
         for row in table.collect():
             nested[row["tree"]][row["leaf"]] = [row[q] for q in QUANTILES]
+        for tree, leaves in zip(self._model.trees, nested, strict=True):
+            # a binary tree has one leaf more than inner nodes; leaves are addressed by their id
+            if sorted(leaves) != list(range((tree.numNodes + 1) // 2)):
+                raise ValueError("a leaf without training rows: fit on a stored table")
         self._leaves = [[leaves[i] for i in sorted(leaves)] for leaves in nested]
         return self
 

@@ -5,18 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from odflow.functions import windows as win
+
 
 def hour_of_week(ts):
     return F.weekday(ts) * 24 + F.hour(ts)
 
 
 def decompose(demand: DataFrame, week_rows: int = 168) -> DataFrame:
-    """Add ``trend`` (centred weekly mean) and ``detrended``; the ends stay null."""
+    """Add ``trend`` (centred weekly mean) and ``detrended``; the ends stay null.
+
+    Whole-number volumes take the difference of two running totals, which is exact
+    and constant work per row; other volumes take a sliding frame.
+    """
     half = week_rows // 2
-    frame = Window.partitionBy("route_id").orderBy("hour").rowsBetween(-half, half - 1)
-    trend = F.when(F.count("volume").over(frame) == week_rows, F.avg("volume").over(frame))
-    return demand.withColumn("trend", trend).withColumn(
-        "detrended", F.col("volume") - F.col("trend")
+    w = win.series("route_id")
+    if win.is_integral(demand, "volume"):
+        demand = win.running_totals(demand, "volume", w)
+
+        def inside(total: str):
+            return F.lead(total, half - 1).over(w) - F.coalesce(F.lag(total, half + 1).over(w), F.lit(0))
+
+        trend = F.when(inside("_n") == week_rows, inside("_sum") / F.lit(week_rows))
+    else:
+        frame = w.rowsBetween(-half, half - 1)
+        trend = F.when(F.count("volume").over(frame) == week_rows, F.avg("volume").over(frame))
+    return (
+        demand.withColumn("trend", trend)
+        .withColumn("detrended", F.col("volume") - F.col("trend"))
+        .drop("_sum", "_n")
     )
 
 

@@ -57,8 +57,10 @@ def zone_cells(edges: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
     right, top = (F.col("cx") + 1) * size + slack, (F.col("cy") + 1) * size + slack
     level = (y_low <= top) & (y_high >= bottom) & (x_high >= left)
     touching = level & (x_low <= right)
+    # an edge meets the rows of cells level with it only, so a detailed zone is spread over its rows
+    rows = F.sequence(_cell(y_low - slack, size) - 1, _cell(y_high + slack, size))
     shaped = (
-        cells.join(edges, "zone_id")
+        cells.join(edges.withColumn("cy", F.explode(rows)), ["zone_id", "cy"])
         .filter(touching if pad else level)
         .groupBy("zone_id", "cx", "cy")
         .agg(

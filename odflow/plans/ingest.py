@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from odflow.operators import congestion as signals
 from odflow.operators import demand as od
 from odflow.operators.spatial import zones_of_points
-from odflow.session import materialise
+from odflow.session import materialise, small_side
 from odflow.sources import trips as trip_files
 from odflow.sources import upserts
 from odflow.sources.tables import read_table
@@ -50,10 +50,10 @@ def initialise_routes(
 
 
 def ingest_positions(
-    spark: SparkSession, positions: DataFrame, edges: DataFrame, warehouse: str | None = None
+    spark: SparkSession, positions: DataFrame, edges: DataFrame, warehouse: str | None = None, size: float = 0.005
 ) -> DataFrame:
     """Travel-time variance per zone and hour; merged into ``congestion`` if wanted."""
-    placed = zones_of_points(signals.position_samples(positions), edges)
+    placed = zones_of_points(signals.position_samples(positions), edges, size=size)
     variances = signals.zone_variance(placed)
     if warehouse:
         rows = variances.withColumn("disruption_flag", F.lit(False))
@@ -61,6 +61,20 @@ def ingest_positions(
     return variances
 
 
+def backfill_positions(
+    spark: SparkSession, positions: DataFrame, edges: DataFrame, span: DataFrame, warehouse: str, size: float = 0.005
+) -> DataFrame:
+    """Ingest the days of ``span`` (start, end) that the stored ``congestion`` lacks, all in one job.
+
+    The missing days are at most the days of the span; positions of other days are left out
+    before anything is placed. Run again, it finds nothing missing.
+    """
+    days = small_side(upserts.missing_days(span, read_table(spark, warehouse, "congestion"), "hour"))
+    samples = signals.position_samples(positions)
+    wanted = samples.join(days, F.col("hour").cast("date") == F.col("day"), "left_semi")
+    return ingest_positions(spark, wanted, edges, warehouse, size)
+
+
 def refresh_flags(spark: SparkSession, warehouse: str) -> DataFrame:
     """Recompute the trailing disruption flags and store those that changed."""
     stored = spark.read.parquet(f"{warehouse}/congestion").drop("day")

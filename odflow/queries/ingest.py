@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from odflow.functions import scalars
@@ -28,13 +30,17 @@ PAIRS = f"""
     ),
 )
 def trip_scan(spark, folder):
-    """Yellow trip files; the file of a trip is the month it was delivered in."""
-    raw = src.order_trips(spark, folder).withColumnsRenamed(
-        {"pickup_datetime": "tpep_pickup_datetime", "dropoff_datetime": "tpep_dropoff_datetime"}
-    )
-    file_month = F.trunc(F.col("dropoff_datetime").cast("date"), "month")
-    kept = trip_files.keep_file_month(trip_files.normalise(raw, "yellow"), file_month)
-    return kept.select(*trip_files.TRIP_COLUMNS)
+    """Monthly yellow files, written and read by the scan; the file of a trip is the month it was delivered in."""
+    trips = src.order_trips(spark, folder).select(*trip_files.TRIP_COLUMNS)
+    raw = trips.withColumnsRenamed({name: alias for alias, name in trip_files.TIME_ALIASES["yellow"].items()})
+    path = scratch_path(spark, "trips")
+    months = raw.withColumns({"color": F.lit("yellow"), "month": F.date_format("tpep_dropoff_datetime", "yyyy-MM")})
+    months.hint("rebalance", "month").write.partitionBy("color", "month").parquet(path)
+    least, most = trips.agg(F.min("pickup_datetime"), F.max("pickup_datetime")).first()
+    after = dt.date(most.year + most.month // 12, most.month % 12 + 1, 1)
+    span = trip_files.month_range(after, (most.year - least.year) * 12 + most.month - least.month + 1)
+    layout = "color={color}/month={year:04d}-{month:02d}"
+    return trip_files.scan(spark, path, ["yellow"], span, layout=layout).select(*trip_files.TRIP_COLUMNS)
 
 
 @query(
@@ -238,11 +244,16 @@ def feature_snapshot(spark, folder):
     """SELECT o_orderkey AS route_id, o_orderdate AS hour, o_totalprice AS volume FROM orders""",
 )
 def table_projection(spark, folder):
-    return src.table(spark, folder, "orders").select(
+    """A stored demand table with further columns, read through the projection."""
+    path = scratch_path(spark, "warehouse")
+    src.table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("route_id"),
         F.col("o_orderdate").alias("hour"),
         F.col("o_totalprice").alias("volume"),
-    )
+        F.lit(None).cast("double").alias("avg_duration"),
+        "o_orderstatus",
+    ).write.parquet(f"{path}/demand")
+    return tables.read_table(spark, path, "demand").drop("avg_duration")
 
 
 @query(

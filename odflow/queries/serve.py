@@ -14,7 +14,7 @@ from odflow.plans.training import train_forest
 from odflow.queries.base import DEMAND_COLUMNS, DURATION_COLUMNS, query, with_tables
 from odflow.queries.features import SERVING_CALENDAR, features
 from odflow.queries.ingest import signals_table
-from odflow.queries.validate import training_data
+from odflow.queries.validate import forecast_checks, training_data
 from odflow.sources import driver_tables as src
 
 AS_OF = "2024-01-31 00:00:00"
@@ -364,26 +364,47 @@ def batch_forecast_lists(spark, folder):
     return answered.withColumns(lists)
 
 
-@query("batch_forecast")
+@query(
+    "batch_forecast",
+    with_tables(
+        "demand routes congestion",
+        """SELECT q.route_id, horizon,
+                  'forecast:' || q.route_id || ':' || horizon || ':'
+                  || CAST(round_even(origin_delay_index / 10, 0) * 10 AS BIGINT) || '.0' AS forecast_key,
+                  horizon * 24 AS n_p10, horizon * 24 AS n_p50, horizon * 24 AS n_p90, true AS ordered
+           FROM (SELECT DISTINCT * FROM (%s)) q JOIN static ON static.route_id = q.route_id
+           WHERE horizon BETWEEN 1 AND 7 AND q.route_id >= 1""" % REQUESTS,
+        STATES,
+    ),
+)
 def batch_forecast(spark, folder):
-    """Forecast lists for the request table."""
+    """Forecast lists of a fitted model for the request table: their lengths, and whether the levels are in order."""
     train, _ = training_data(spark, folder)
     model = train_forest(train, trees=10, depth=5)
     answered, _ = answer_requests(
         request_table(spark, folder), model, src.routes(spark, folder), src.demand(spark, folder),
         signals_table(spark, folder), as_of(),
     )
+    triples = F.arrays_zip("p10", "p50", "p90")
     return answered.select(
-        "route_id", "horizon", "forecast_key", text_list("p10", 3).alias("p10"),
-        text_list("p50", 3).alias("p50"), text_list("p90", 3).alias("p90"),
+        "route_id", "horizon", "forecast_key", *[F.size(q).alias(f"n_{q}") for q in val.QUANTILES],
+        F.forall(triples, lambda t: (t["p10"] <= t["p50"]) & (t["p50"] <= t["p90"])).alias("ordered"),
     )
 
 
-@query("forecast_steps")
+@query(
+    "forecast_steps",
+    with_tables(
+        "demand routes congestion",
+        "SELECT route_id, step, true AS ordered, true AS in_range FROM steps",
+        {**STATES, "steps": STEPS},
+    ),
+)
 def all_steps(spark, folder):
-    """Seven days of p10, p50 and p90 for every route."""
+    """Seven days of forecasts of a fitted model for every route, with their order and range checked."""
     train, _ = training_data(spark, folder)
-    return forecast_steps(
+    steps = forecast_steps(
         train_forest(train, trees=10, depth=5), src.routes(spark, folder), src.demand(spark, folder),
         signals_table(spark, folder), as_of(), 168,
     )
+    return steps.withColumns(forecast_checks(train)).select("route_id", "step", "ordered", "in_range")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from odflow.operators import congestion as signals
 from odflow.operators import spatial
+from odflow.plans import ingest
 from odflow.queries.base import query, with_tables
+from odflow.session import scratch_path
 from odflow.sources import driver_tables as src
+from odflow.sources.tables import read_table
 
 # Exact test of every point against every polygon: crossing number plus edges.
 ON_EDGE = """(x2 - x1) * (py - y1) = (y2 - y1) * (px - x1)
@@ -37,17 +42,28 @@ def points_in_zones(spark, folder):
     return found.select("event_id", "zone_id")
 
 
-@query(
-    "position_variance",
-    with_tables(
-        "edges positions",
-        """SELECT zone_id, date_trunc('hour', ts) AS hour,
-                  round(coalesce(var_samp(value), 0.0), 8) AS travel_time_var, count(value) AS sample_count
-           FROM placed JOIN positions USING (event_id) GROUP BY 1, 2""",
-        PLACED,
-    ),
-    digits=8,
+VARIANCES = with_tables(
+    "edges positions",
+    """SELECT zone_id, date_trunc('hour', ts) AS hour,
+              round(coalesce(var_samp(value), 0.0), 8) AS travel_time_var, count(value) AS sample_count
+       FROM placed JOIN positions USING (event_id) GROUP BY 1, 2""",
+    PLACED,
 )
+
+
+@query("position_backfill", VARIANCES, digits=8)
+def position_backfill(spark, folder):
+    """The stored table after every second day was loaded and the missing days were filled in."""
+    samples = signals.position_samples(src.positions(spark, folder))
+    edges, warehouse = src.zone_edges(spark, folder), scratch_path(spark, "warehouse")
+    ingest.ingest_positions(spark, samples.filter(F.dayofmonth("hour") % 2 == 0), edges, warehouse, size=0.05)
+    day = F.col("hour").cast("date")
+    span = samples.agg(F.min(day).alias("start"), F.max(day).alias("end"))
+    ingest.backfill_positions(spark, samples, edges, span, warehouse, size=0.05)
+    return read_table(spark, warehouse, "congestion")
+
+
+@query("position_variance", VARIANCES, digits=8)
 def position_variance(spark, folder):
     """Vehicle positions to travel-time variance per zone and hour."""
     samples = signals.position_samples(src.positions(spark, folder))

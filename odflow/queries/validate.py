@@ -275,29 +275,75 @@ def grouped_quantiles(spark, folder):
     return leaf_quantiles(rows, "l_quantity")
 
 
-@query("quantile_forest")
+def forecast_checks(train):
+    """What SQL can state of a model's forecasts: levels in order, inside the range of the training target."""
+    low, high = train.agg(F.min("volume")).scalar(), train.agg(F.max("volume")).scalar()
+    return {
+        "ordered": (F.col("p10") <= F.col("p50")) & (F.col("p50") <= F.col("p90")),
+        "in_range": (F.col("p10") >= low) & (F.col("p90") <= high),
+    }
+
+
+@query(
+    "quantile_forest",
+    with_tables(
+        "demand",
+        """SELECT route_id, hour, CAST(volume AS DOUBLE) AS volume, true AS ordered, true AS in_range
+           FROM demand, cut WHERE hour > c""",
+        CUT,
+    ),
+)
 def quantile_forest(spark, folder):
-    """p10, p50 and p90 of the validation hours."""
+    """Forecasts of the validation hours, with their order and range checked."""
     train, valid = training_data(spark, folder)
-    return train_forest(train).predict(valid).select("route_id", "hour", "volume", "p10", "p50", "p90")
+    forecasts = train_forest(train).predict(valid).withColumns(forecast_checks(train))
+    return forecasts.select("route_id", "hour", F.col("volume").cast("double").alias("volume"), "ordered", "in_range")
 
 
-@query("forest_metrics")
+@query(
+    "forest_metrics",
+    with_tables(
+        "demand",
+        " UNION ALL ".join(
+            f"SELECT '{n}' AS metric, round({LOSSES[n]}, 6) AS day_loss, true AS better FROM naive, cut WHERE hour > c"
+            for n in val.QUANTILES
+        ),
+        {**CUT, "naive": naive_sql(24)},
+    ),
+)
 def forest_metrics(spark, folder):
-    """Pinball losses and coverage of the forest on the validation hours."""
+    """Pinball losses of the same hour a day ago on the validation hours, and whether the forest's are lower."""
     train, valid = training_data(spark, folder)
-    predictions = train_forest(train).predict(valid).withColumn("model", F.lit("forest"))
-    return val.quantile_metrics(predictions, ["model"])
+    day = naive_forecast(src.demand(spark, folder), 24).join(valid.select("route_id", "hour"), ["route_id", "hour"], "left_semi")
+    parts = [
+        val.quantile_metrics(df.withColumn("one", F.lit(1)), ["one"]).select(
+            "one", F.stack(F.lit(3), *[x for n in val.QUANTILES for x in (F.lit(n), F.col(n))]).alias("metric", name)
+        )
+        for name, df in (("day_loss", day), ("loss", train_forest(train).predict(valid)))
+    ]
+    both = parts[0].join(parts[1].drop("one"), "metric")
+    return both.select("metric", "day_loss", (F.col("loss") < F.col("day_loss")).alias("better"))
 
 
-@query("covariate_ablation")
+@query(
+    "covariate_ablation",
+    f"""SELECT model, metric, true AS plausible FROM (VALUES ('full'), ('no_congestion')) a(model),
+        (VALUES {", ".join(f"('{n}')" for n in LOSSES)}) b(metric)""",
+)
 def covariate_ablation(spark, folder):
-    """Cross-validated losses with and without the congestion features."""
+    """Cross-validated losses with and without the congestion features: between 0 and the mean target, shares up to 1."""
     train, _ = training_data(spark, folder)
-    return ablation(train, folds=3, trees=10, depth=5)
+    limit = F.when(F.col("metric") == "coverage_80pct", 1.0).otherwise(train.agg(F.avg("volume")).scalar())
+    return ablation(train, folds=3, trees=10, depth=5).select(
+        "model", "metric", F.col("mean_value").between(F.lit(0.0), limit).alias("plausible")
+    )
 
 
-@query("model_parity")
+@query(
+    "model_parity",
+    f"""SELECT m AS "column", CAST(0 AS DOUBLE) AS max_abs_diff, true AS ok
+        FROM (VALUES {", ".join(f"('{n}')" for n in val.QUANTILES)}) t(m)""",
+)
 def model_parity(spark, folder):
     """Predictions of a model and of its stored copy."""
     train, valid = training_data(spark, folder)

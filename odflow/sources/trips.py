@@ -73,11 +73,13 @@ def scan(
     colors: list[str],
     months: list[tuple[int, int]],
     skip_unreadable: bool = False,
+    layout: str = FILE_NAME,
 ) -> DataFrame:
     """All trips of the given colours and months, with a ``color`` column.
 
-    One read per colour takes all its files at once. The file's month comes from
-    its path, so a folder written by Spark counts as a file; the span of all months
+    One read per colour takes all its files at once. ``layout`` is the path of a file
+    below ``folder``, its month written like 2024-01 at the end of a name. The file's month
+    comes from there, so a folder written by Spark counts as a file; the span of all months
     is also given as a plain range on the raw pickup column, which the Parquet reader
     uses to skip row groups. Columns are those of any file, null where a file lacks
     them; numbers are read in their widest type, as it differs between files. Months
@@ -91,7 +93,7 @@ def scan(
     lower = dt.datetime(first[0], first[1], 1)
     upper = dt.datetime(last[0] + last[1] // 12, last[1] % 12 + 1, 1)
     for color in colors:
-        wanted = [f"{folder}/{FILE_NAME.format(color=color, year=y, month=m)}" for y, m in months]
+        wanted = [f"{folder}/{layout.format(color=color, year=y, month=m)}" for y, m in months]
         paths = _existing(spark, wanted)
         if not paths:
             continue
@@ -110,7 +112,7 @@ def scan(
             spark.read.schema(schema)
             .parquet(*paths)
             .withColumn("_month", F.to_date(
-                F.concat(F.regexp_extract("_metadata.file_path", r"_tripdata_(\d{4}-\d{2})\.parquet", 1),
+                F.concat(F.regexp_extract("_metadata.file_path", r".*[_=](\d{4}-\d{2})(?:\.parquet)?(?:/|$)", 1),
                          F.lit("-01"))
             ))
         )

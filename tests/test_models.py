@@ -187,6 +187,36 @@ def test_sequences(spark):
     assert [r["time_idx"] for r in last] == [8]
 
 
+def test_sequences_equal_plain_slices(spark):
+    """Blocks, strides and short routes against list slices; the newest complete window is always among them."""
+    lengths = {1: 41, 2: 9, 3: 4, 4: 3, 5: 1}
+    rows = [(r, at(i), i, 100 * r + i) for r, n in lengths.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "route_id int, hour timestamp_ntz, time_idx int, volume int")
+    encoder, horizon = 7, 4
+    newest = {r: max(n - horizon, encoder // 2) - 1 for r, n in lengths.items()}
+
+    def want(keep):
+        out = {}
+        for r, n in lengths.items():
+            v = [100 * r + i for i in range(n)]
+            for e in range(encoder // 2 - 1, n - 1):
+                if keep(r, e):
+                    out[r, e] = (v[max(e - encoder + 1, 0) : e + 1], v[e + 1 : e + 1 + horizon])
+        return out
+
+    def got(**options):
+        windows = sequence_windows(df, encoder, horizon, ["time_idx"], ["volume"], **options).collect()
+        return {
+            (w["route_id"], w["time_idx"]): ([s["volume"] for s in w["past"]], [s["volume"] for s in w["future"]])
+            for w in windows
+            if w["hour"] == at(w["time_idx"]) and (w["past_rows"], w["future_rows"]) == (len(w["past"]), len(w["future"]))
+        }
+
+    assert got() == want(lambda r, e: True)
+    assert got(stride=3) == want(lambda r, e: (newest[r] - e) % 3 == 0)
+    assert got(last_only=True) == want(lambda r, e: e == newest[r])
+
+
 def history(spark, values, zone_values, samples=15):
     demand = spark.createDataFrame([(1, at(i), int(v), None) for i, v in enumerate(values)], tables.DEMAND)
     rows = [(z, at(i), float(v), samples, False) for z in (5, 6) for i, v in enumerate(zone_values)]

@@ -242,6 +242,14 @@ def test_positions_to_congestion(spark, tmp_path):
     assert rows(got, "zone_id") == want
     assert rows(tables.read_table(spark, str(tmp_path), "congestion"), "zone_id") == want
 
+    more = [("2024-01-01 12:00:00", 0.5, 0.5, 1), ("2024-01-02 09:00:00", 0.5, 0.5, 5), ("2024-01-04 09:00:00", 0.5, 0.5, 5)]
+    later = positions.unionByName(spark.createDataFrame(more, positions.schema))
+    span = spark.createDataFrame([(dt.date(2024, 1, 1), dt.date(2024, 1, 3))], "start date, end date")
+    for fresh in (1, 0):  # only the missing day of the span is filled, and only once
+        assert ingest.backfill_positions(spark, later, zones, span, str(tmp_path)).count() == fresh
+        got = rows(tables.read_table(spark, str(tmp_path), "congestion"), "zone_id", "hour")
+        assert got == [want[0], (1, T(2024, 1, 2, 9), 0.0, 1), want[1]]
+
 
 def test_small_side_leaves_large_tables_to_the_planner(spark):
     big, small = small_side(spark.range(50), limit=49), small_side(spark.range(50), limit=50)
