@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +25,12 @@ PIECES = (
 )
 
 
+@lru_cache(None)
+def stays_letter(c: str) -> bool:
+    """Whether ``c`` is a letter that still ends in one after composition and lower-casing."""
+    return c.isalpha() and unicodedata.normalize("NFC", c).lower()[-1].isalpha()
+
+
 class WordEncoder:
     """Token ids of texts, each distinct word encoded once.
 
@@ -51,7 +59,7 @@ class WordEncoder:
 
     def learn(self, fresh: list[str]) -> None:
         """Encode new words; a comma or full stop behind a letter is a token of its own."""
-        cut = [w[:-1] if len(w) > 1 and w[-1] in ",." and w[-2].isalpha() else w for w in fresh]
+        cut = [w[:-1] if len(w) > 1 and w[-1] in ",." and stays_letter(w[-2]) else w for w in fresh]
         new = [w for w in dict.fromkeys([*cut, ",", "."]) if w not in self.cores]
         for i in range(0, len(new), ENCODED_AT_ONCE):
             some = new[i : i + ENCODED_AT_ONCE]

@@ -21,6 +21,7 @@ def test_pieces_are_the_tokens_of_the_whole_text(docs_of, odd_rows):
     from tokenizers import Tokenizer
 
     extra = [(7, "It's The,end. A b, x.,y 12,5 Été, <|endoftext|> don't.", "fr", "a")]
+    extra += [(8, "letters that end in a mark: İ, क़. क़, יִ. é, ﬁ.", "hi", "a")]
     rows = [r for r in odd_rows if r[0] != 5] + extra
     out = pack_power_of_two(docs_of(rows), tokenizer_path(), 2048).collect()
     assert len({r.sequence_id for r in out}) == len(out)
