@@ -47,12 +47,19 @@ def zone_variance(samples: DataFrame) -> DataFrame:
 
 def zone_delays(delays: DataFrame, stop_map: DataFrame, hour: Column) -> DataFrame:
     """Mean delay and count per zone, hour and feed; stops without a zone are dropped."""
-    placed = delays.join(stop_map.dropna(subset=["zone_id"]), "stop_id")
-    return placed.groupBy(
-        F.col("zone_id").cast("int").alias("zone_id"),
-        hour.alias("hour"),
-        F.col("feed_id").cast("string").alias("feed_id"),
-    ).agg(F.avg("delay").alias("mean_delay"), F.count("delay").alias("trip_count"))
+    sums = stop_delays(delays, hour).join(stop_map.dropna(subset=["zone_id"]), "stop_id").groupBy(
+        F.col("zone_id").cast("int").alias("zone_id"), "hour", "feed_id"
+    ).agg(F.sum("delay_sum").alias("s"), F.sum("trip_count").alias("trip_count"))
+    return sums.select(
+        "zone_id", "hour", "feed_id", F.try_divide("s", "trip_count").alias("mean_delay"), "trip_count"
+    )
+
+
+def stop_delays(delays: DataFrame, hour: Column) -> DataFrame:
+    """Delay sum and count per stop, hour and feed: what is left to join once raw rows are added up."""
+    return delays.groupBy("stop_id", hour.alias("hour"), F.col("feed_id").cast("string").alias("feed_id")).agg(
+        F.sum("delay").alias("delay_sum"), F.count("delay").alias("trip_count")
+    )
 
 
 def recent_delay(delays: DataFrame, zones: DataFrame, as_of: Column) -> DataFrame:

@@ -152,9 +152,10 @@ def exact_quantiles(
     """Linearly interpolated quantiles of all rows, without gathering the column.
 
     A quantile sketch first brackets every level; its rank error is at most
-    ``rows / accuracy``, so the bracket ends four such steps away surely enclose
-    the two order statistics wanted. A second pass counts the rows below each
-    bracket on the map side and shuffles only the values inside the brackets.
+    ``rows / accuracy``, so the bracket ends four such steps away enclose the two
+    order statistics wanted; the counts below and inside a bracket are compared
+    with the ranks, and a miss is an error. A second pass counts the rows below
+    each bracket on the map side and shuffles only the values inside the brackets.
     """
     values = df.filter(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("v"))
     margin = 4.0 / accuracy
@@ -181,13 +182,19 @@ def exact_quantiles(
     return _order_statistics(values, bounds)
 
 
-# Equal slices of a bracket that are ordered apart from each other.
+# Slices of a bracket that are ordered apart from each other: equal on a logarithmic scale, so that
+# a heavy tail does not leave most values in the first of them.
 SLICES = 1024
 
 
+def _scale(v: Column) -> Column:
+    return F.signum(v) * F.log1p(F.abs(v))
+
+
 def _order_statistics(values: DataFrame, bounds: Column) -> DataFrame:
     inside = F.when(F.col("v") >= F.col("low"), F.col("v"))
-    slice_of = F.floor(F.try_divide(inside - F.col("low"), F.col("high") - F.col("low")) * SLICES)
+    low, high = _scale(F.col("low")), _scale(F.col("high"))
+    slice_of = F.floor(F.try_divide(_scale(inside) - low, high - low) * SLICES)
     counts = (
         values.select("v", F.explode(bounds).alias("b"))
         .select("v", "b.*")
@@ -213,7 +220,8 @@ def _order_statistics(values: DataFrame, bounds: Column) -> DataFrame:
     below, above = F.floor(place), F.ceil(place)
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((rank >= F.col("upto") - F.col("c")) & (rank < F.col("upto")), F.col("v")))
+        found = F.max(F.when((rank >= F.col("upto") - F.col("c")) & (rank < F.col("upto")), F.col("v")))
+        return F.coalesce(found, F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
 
     return (
         ranked.groupBy("level", "quantile", "n")

@@ -26,13 +26,13 @@ def _cell(value: Column, size: float) -> Column:
 
 
 def zone_cells(edges: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
-    """``(zone_id, cx, cy, edges)`` for every cell within ``pad`` of a zone's box.
+    """``(zone_id, cx, cy, edges, near, whole)`` for every cell within ``pad`` of a zone's box.
 
     ``edges`` has one row ``(zone_id, x1, y1, x2, y2)`` per polygon edge, holes
-    and parts alike. With ``pad`` 0 a cell keeps the edges level with or right
-    of it (a ray towards +x can only meet those); a cell that no edge reaches is
-    either dropped or ``whole``, and then needs no edges. Otherwise a cell keeps
-    the edges within ``pad`` of it.
+    and parts alike. A cell keeps two lists: ``edges``, those level with it and not
+    left of it (a ray towards +x can only meet those), and ``near``, those within
+    ``pad`` of it. A cell that no edge comes near is either dropped or ``whole``,
+    and then needs no edges.
     """
     x_low, x_high = F.least("x1", "x2"), F.greatest("x1", "x2")
     y_low, y_high = F.least("y1", "y2"), F.greatest("y1", "y2")
@@ -52,24 +52,28 @@ def zone_cells(edges: DataFrame, size: float, pad: float = 0.0) -> DataFrame:
         "cx",
         F.explode(F.sequence(_cell(F.col("by1") - pad, size), _cell(F.col("by2") + pad, size))).alias("cy"),
     )
-    slack = pad + size * 1e-6  # cell borders are rounded, so keep a little more
-    left, bottom = F.col("cx") * size - slack, F.col("cy") * size - slack
-    right, top = (F.col("cx") + 1) * size + slack, (F.col("cy") + 1) * size + slack
-    level = (y_low <= top) & (y_high >= bottom) & (x_high >= left)
-    touching = level & (x_low <= right)
+
+    def ahead(slack: float) -> Column:
+        bottom, top = F.col("cy") * size - slack, (F.col("cy") + 1) * size + slack
+        return (y_low <= top) & (y_high >= bottom) & (x_high >= F.col("cx") * size - slack)
+
+    rim = size * 1e-6  # cell borders are rounded, so keep a little more
+    slack = pad + rim
+    level = ahead(rim)
+    touching = ahead(slack) & (x_low <= (F.col("cx") + 1) * size + slack)
     # an edge meets the rows of cells level with it only, so a detailed zone is spread over its rows
+    edge = F.struct("x1", "y1", "x2", "y2")
     rows = F.sequence(_cell(y_low - slack, size) - 1, _cell(y_high + slack, size))
     shaped = (
         cells.join(edges.withColumn("cy", F.explode(rows)), ["zone_id", "cy"])
-        .filter(touching if pad else level)
+        .filter(level | touching)
         .groupBy("zone_id", "cx", "cy")
         .agg(
-            F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("edges"),
+            F.collect_list(F.when(level, edge)).alias("edges"),
+            F.collect_list(F.when(touching, edge)).alias("near"),
             F.max(touching).alias("cut"),
         )
     )
-    if pad:
-        return shaped.drop("cut")
     middle = [(F.col(c) + 0.5) * size for c in ("cx", "cy")]
     return (
         shaped.withColumn("whole", ~F.col("cut") & inside(F.col("edges"), *middle))
@@ -112,7 +116,12 @@ def _distance(e: Column, x: Column, y: Column) -> Column:
 
 def _at_cells(points: DataFrame, x: str, y: str, cells: DataFrame, size: float) -> DataFrame:
     placed = points.withColumns({"cx": _cell(F.col(x), size), "cy": _cell(F.col(y), size)})
-    return placed.join(small_side(cells, "1 + size(edges)", limit=CELL_LIMIT), ["cx", "cy"]).drop("cx", "cy")
+    return placed.join(small_side(cells, "1 + size(edges) + size(near)", limit=CELL_LIMIT), ["cx", "cy"]).drop("cx", "cy")
+
+
+def _gap(x: str, y: str) -> Column:
+    """Distance to the nearest edge in reach, rounded to 12 digits: a tie is not decided by a last bit."""
+    return F.round(F.array_min(F.transform("near", lambda e: _distance(e, F.col(x), F.col(y)))), 12)
 
 
 def zones_of_points(
@@ -128,11 +137,11 @@ def zones_of_points(
     ``boundary`` counts points on an edge as contained (intersects) or not
     (within). A point on a shared edge then belongs to every zone that has it.
     """
-    px, py, shape = F.col(x), F.col(y), F.col("edges")
-    on_edge = on_boundary(shape, px, py)
-    within = inside(shape, px, py)
+    px, py = F.col(x), F.col(y)
+    on_edge = on_boundary(F.col("near"), px, py)
+    within = inside(F.col("edges"), px, py)
     test = F.col("whole") | ((within | on_edge) if boundary else (within & ~on_edge))
-    return _at_cells(points, x, y, zone_cells(edges, size), size).filter(test).drop("edges", "whole")
+    return _at_cells(points, x, y, zone_cells(edges, size), size).filter(test).drop("edges", "near", "whole")
 
 
 def nearest_zones(
@@ -144,15 +153,10 @@ def nearest_zones(
     limit: float = NEAREST_LIMIT,
     size: float = 0.005,
 ) -> DataFrame:
-    """Nearest zone at most ``limit`` away per point, ties to the smaller id.
-
-    Distances are rounded to 12 digits, so that a tie is not decided by the last
-    bit of a floating-point result.
-    """
-    gap = F.round(F.array_min(F.transform("edges", lambda e: _distance(e, F.col(x), F.col(y)))), 12)
+    """Zone with the nearest border at most ``limit`` away per point, ties to the smaller id."""
     near = _at_cells(points, x, y, zone_cells(edges, size, pad=limit), size)
     return (
-        near.select(key, "zone_id", gap.alias("distance"))
+        near.select(key, "zone_id", _gap(x, y).alias("distance"))
         .filter(F.col("distance") <= limit)
         .groupBy(key)
         .agg(F.min_by("zone_id", F.struct("distance", "zone_id")).alias("zone_id"))
@@ -170,11 +174,12 @@ def map_stops(
     A stop in several zones takes the smallest id; stops without a zone are dropped.
     """
     located = stops.dropna(subset=["stop_id", "stop_lat", "stop_lon"])
-    within = (
-        zones_of_points(located, edges, "stop_lon", "stop_lat", size, boundary=False)
-        .groupBy("stop_id")
-        .agg(F.min("zone_id").alias("zone_id"))
+    x, y = F.col("stop_lon"), F.col("stop_lat")
+    within = F.col("whole") | (inside(F.col("edges"), x, y) & ~on_boundary(F.col("near"), x, y))
+    reached = _at_cells(located, "stop_lon", "stop_lat", zone_cells(edges, size, pad=limit), size).select(
+        "stop_id", "zone_id", within.alias("within"), _gap("stop_lon", "stop_lat").alias("distance")
     )
-    rest = located.join(within.select("stop_id"), "stop_id", "left_anti")
-    nearest = nearest_zones(rest, edges, "stop_id", "stop_lon", "stop_lat", limit, size)
-    return within.unionByName(nearest).select("stop_id", F.col("zone_id").cast("int").alias("zone_id"))
+    around = F.min(F.when(F.col("within"), F.col("zone_id")))
+    close = F.min(F.when(F.col("distance") <= limit, F.struct("distance", "zone_id"))).getField("zone_id")
+    found = reached.groupBy("stop_id").agg(F.coalesce(around, close).cast("int").alias("zone_id"))
+    return found.filter(F.col("zone_id").isNotNull())

@@ -14,6 +14,7 @@ from odflow.session import materialise, small_side
 from odflow.sources import trips as trip_files
 from odflow.sources import upserts
 from odflow.sources.tables import read_table
+from odflow.streaming import delays as live
 
 COLORS = ["yellow", "green"]
 
@@ -75,6 +76,14 @@ def backfill_positions(
     return ingest_positions(spark, wanted, edges, warehouse, size)
 
 
+def ingest_feeds(spark: SparkSession, folder: str, stop_map: DataFrame, warehouse: str) -> DataFrame:
+    """Take all feed files landed since the last call into the warehouse's delay log; the delay table so far."""
+    log = f"{warehouse}/delay_log"
+    stream = live.landed_feeds(spark, folder)
+    live.start_delay_log(stream, stop_map, log, f"{warehouse}/delay_log_progress").awaitTermination()
+    return live.read_delays(spark, log)
+
+
 def refresh_flags(spark: SparkSession, warehouse: str) -> DataFrame:
     """Recompute the trailing disruption flags and store those that changed."""
     stored = spark.read.parquet(f"{warehouse}/congestion").drop("day")

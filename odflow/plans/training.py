@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from odflow.operators import validation as val
+from odflow.operators.boosting import QuantileBoost
 from odflow.operators.forest import QuantileForest
 
 METRICS = ["p10", "p50", "p90", "coverage_80pct"]
@@ -66,3 +67,7 @@ def ablation(train: DataFrame, folds: int = 3, gap: int = 24, **forest) -> DataF
 
 def train_forest(train: DataFrame, **forest) -> QuantileForest:
     return QuantileForest(features=val.TRAINING_FEATURES, **forest).fit(train)
+
+
+def train_boost(train: DataFrame, valid: DataFrame | None = None, **boost) -> QuantileBoost:
+    return QuantileBoost(features=val.TRAINING_FEATURES, **boost).fit(train, valid)

@@ -9,7 +9,7 @@ from odflow.functions.windows import series
 from odflow.operators import validation as val
 from odflow.operators.forest import QuantileForest, leaf_quantiles
 from odflow.operators.seasonal import seasonal_forecast
-from odflow.plans.training import ablation, train_forest
+from odflow.plans.training import ablation, train_boost, train_forest
 from odflow.queries.base import query, sql_lag, with_tables
 from odflow.queries.features import features
 from odflow.session import materialise, scratch_path
@@ -300,6 +300,19 @@ def quantile_forest(spark, folder):
     return forecasts.select("route_id", "hour", F.col("volume").cast("double").alias("volume"), "ordered", "in_range")
 
 
+def against_day(demand, valid, forecasts):
+    """Losses of the same hour a day ago on the hours of ``valid``, and whether those of ``forecasts`` are lower."""
+    day = naive_forecast(demand, 24).join(valid.select("route_id", "hour"), ["route_id", "hour"], "left_semi")
+    parts = [
+        val.quantile_metrics(df.withColumn("one", F.lit(1)), ["one"]).select(
+            "one", F.stack(F.lit(3), *[x for n in val.QUANTILES for x in (F.lit(n), F.col(n))]).alias("metric", name)
+        )
+        for name, df in (("day_loss", day), ("loss", forecasts))
+    ]
+    both = parts[0].join(parts[1].drop("one"), "metric")
+    return both.select("metric", "day_loss", (F.col("loss") < F.col("day_loss")).alias("better"))
+
+
 @query(
     "forest_metrics",
     with_tables(
@@ -314,15 +327,26 @@ def quantile_forest(spark, folder):
 def forest_metrics(spark, folder):
     """Pinball losses of the same hour a day ago on the validation hours, and whether the forest's are lower."""
     train, valid = training_data(spark, folder)
-    day = naive_forecast(src.demand(spark, folder), 24).join(valid.select("route_id", "hour"), ["route_id", "hour"], "left_semi")
-    parts = [
-        val.quantile_metrics(df.withColumn("one", F.lit(1)), ["one"]).select(
-            "one", F.stack(F.lit(3), *[x for n in val.QUANTILES for x in (F.lit(n), F.col(n))]).alias("metric", name)
-        )
-        for name, df in (("day_loss", day), ("loss", train_forest(train).predict(valid)))
-    ]
-    both = parts[0].join(parts[1].drop("one"), "metric")
-    return both.select("metric", "day_loss", (F.col("loss") < F.col("day_loss")).alias("better"))
+    return against_day(src.demand(spark, folder), valid, train_forest(train).predict(valid))
+
+
+@query(
+    "boost_metrics",
+    with_tables(
+        "demand",
+        " UNION ALL ".join(
+            f"SELECT '{n}' AS metric, round({LOSSES[n]}, 6) AS day_loss, true AS better FROM naive, cut WHERE hour > c"
+            for n in val.QUANTILES
+        ),
+        {**CUT, "naive": naive_sql(24)},
+    ),
+)
+def boost_metrics(spark, folder):
+    """As forest_metrics, for trees grown on the loss of each level; the training hours' end decides when to stop."""
+    train, valid = training_data(spark, folder)
+    learn, watch = val.time_split(train)
+    model = train_boost(learn, watch, rounds=12, patience=3)
+    return against_day(src.demand(spark, folder), valid, model.predict(valid))
 
 
 @query(

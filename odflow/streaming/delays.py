@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from odflow.functions.scalars import hour_of
+from odflow.operators.congestion import stop_delays
 from odflow.sources.upserts import merge_delays
 
 FEED_SCHEMA = (
@@ -39,10 +40,8 @@ def placed_stops(stop_map: DataFrame) -> DataFrame:
 
 def partial_delays(delays: DataFrame, stop_map: DataFrame, hour: Column) -> DataFrame:
     """Delay sum and count per zone, hour and feed."""
-    placed = delays.join(placed_stops(stop_map), "stop_id")
-    return placed.groupBy("zone_id", hour.alias("hour"), "feed_id").agg(
-        F.sum("delay").alias("delay_sum"), F.count("delay").alias("trip_count")
-    )
+    placed = stop_delays(delays, hour).join(placed_stops(stop_map), "stop_id")
+    return placed.groupBy(*KEYS).agg(F.sum("delay_sum").alias("delay_sum"), F.sum("trip_count").alias("trip_count"))
 
 
 def append_parts(parts: DataFrame, path: str, batch_id: int) -> None:
@@ -89,7 +88,7 @@ def read_delays(
     sums = _parts(spark, path, base, upto).groupBy(*KEYS).agg(
         F.sum("delay_sum").alias("s"), F.sum("trip_count").alias("trip_count")
     )
-    return sums.select(*KEYS, (F.col("s") / F.col("trip_count")).alias("mean_delay"), "trip_count")
+    return sums.select(*KEYS, F.try_divide("s", "trip_count").alias("mean_delay"), "trip_count")
 
 
 def fold_log(spark: SparkSession, path: str, base: str, upto: int) -> None:
@@ -151,15 +150,42 @@ def dropped_rows(run: StreamingQuery) -> int:
     return sum(int(s["numRowsDroppedByWatermark"]) for p in run.recentProgress for s in p["stateOperators"])
 
 
-def read_windowed(spark: SparkSession, path: str) -> DataFrame:
-    """Latest totals per key over the batches of an update-mode run."""
+def _latest(totals: DataFrame) -> DataFrame:
     last = F.max_by(F.struct("delay_sum", "trip_count"), "batch_id").alias("last")
-    totals = spark.read.parquet(path).groupBy(*KEYS).agg(last)
-    return totals.select(
-        *KEYS,
-        (F.col("last.delay_sum") / F.col("last.trip_count")).alias("mean_delay"),
-        F.col("last.trip_count").alias("trip_count"),
+    return totals.groupBy(*KEYS).agg(last).select(*KEYS, "last.delay_sum", "last.trip_count")
+
+
+def read_windowed(
+    spark: SparkSession, path: str, base: str | None = None, upto: int | None = None
+) -> DataFrame:
+    """Latest totals per key over the batches of an update-mode run.
+
+    With ``base`` the batches up to ``upto`` are taken from :func:`fold_windowed`.
+    """
+    totals = spark.read.parquet(path)
+    if base is not None:
+        folded = spark.read.parquet(f"{base}/upto={upto}").withColumn("batch_id", F.lit(upto))
+        totals = totals.filter(F.col("batch_id") > upto).unionByName(folded)
+    return _latest(totals).select(*KEYS, F.try_divide("delay_sum", "trip_count").alias("mean_delay"), "trip_count")
+
+
+def fold_windowed(spark: SparkSession, path: str, base: str, upto: int) -> None:
+    """Keep the newest totals of the batches up to ``upto`` as one table below ``base``."""
+    totals = _latest(spark.read.parquet(path).filter(F.col("batch_id") <= upto))
+    totals.write.mode("overwrite").parquet(f"{base}/upto={upto}")
+
+
+def landed_feeds(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
+    """JSON feed messages landed below ``folder/feed_id=<id>/``, one per file, as a stream of stop delays.
+
+    A file is polled when it was last changed. Files that hold no message give no rows.
+    """
+    files = (
+        spark.readStream.schema("value string, feed_id string")
+        .option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True)
     )
+    polled = F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("polled_at")
+    return stop_updates(files.select("value", "feed_id", polled), "value", "feed_id", "polled_at")
 
 
 def add_poll(stored: DataFrame, polled: DataFrame) -> DataFrame:

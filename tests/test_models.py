@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from odflow.operators import serving
 from odflow.operators import validation as val
-from odflow.operators.explore import exact_quantiles, histogram
+from odflow.operators.explore import _order_statistics, exact_quantiles, histogram
+from odflow.operators.boosting import QuantileBoost
 from odflow.operators.forest import QuantileForest
 from odflow.operators.quality import assert_clean, report
 from odflow.operators.seasonal import seasonal_forecast
@@ -146,6 +147,39 @@ def test_forest_predicts_by_projection_only(noisy):
     assert "Exchange" not in plan and "Join" not in plan and "from_json" not in plan
 
 
+def test_boosted_levels_beat_the_forest_and_stop_early(spark, noisy, tmp_path):
+    late = F.col("hour") >= at(450)
+    train, valid = noisy.filter(~late), noisy.filter(late)
+    names = ["x", "z"]
+    with pytest.raises(RuntimeError):
+        QuantileBoost(features=names).predict(noisy)
+    with pytest.raises(ValueError, match="depth"):
+        QuantileBoost(features=names, depth=20)
+    with pytest.raises(ValueError, match="no training rows"):
+        QuantileBoost(features=names).fit(noisy.limit(0))
+    model = QuantileBoost(features=names, rounds=14, depth=3, rate=0.4, patience=2, min_rows=20).fit(train, valid)
+    assert set(model.best_rounds) == set(val.QUANTILES)
+    assert min(model.best_rounds.values()) < 14  # one level at least stopped before the last round
+    out = model.predict(valid)
+    assert out.columns == [*noisy.columns, "p10", "p50", "p90"] and out.count() == valid.count()
+    assert out.filter((F.col("p10") > F.col("p50")) | (F.col("p50") > F.col("p90"))).count() == 0
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Join" not in plan  # only the leaf values come from elsewhere
+
+    def losses(df):
+        return val.quantile_metrics(df.withColumn("m", F.lit(1)), ["m"]).first()
+
+    forest = QuantileForest(features=names, trees=10, depth=5).fit(train)
+    mine, other = losses(out), losses(forest.predict(valid))
+    assert mine["p10"] < other["p10"] and mine["p90"] < other["p90"]
+    assert 0.65 < mine["coverage_80pct"] < 0.95
+
+    model.save(f"{tmp_path}/boost", spark)
+    again = QuantileBoost.load(f"{tmp_path}/boost", spark).predict(valid)
+    gaps = val.within(val.max_difference(out, again, ["route_id", "hour", "x"], list(val.QUANTILES)))
+    assert all(r["ok"] and r["max_abs_diff"] == 0.0 for r in gaps.collect())
+
+
 def test_cross_validation(noisy):
     got = cross_validate(noisy, ["x", "z"], folds=2, gap=24, trees=5, depth=4).orderBy("fold").collect()
     assert [r["fold"] for r in got] == [0, 1]
@@ -161,6 +195,16 @@ def test_quantiles_are_exact_on_skewed_values(spark):
     np.testing.assert_allclose(got, np.quantile(values, levels), rtol=1e-12)
 
 
+def test_a_missed_bracket_is_an_error(spark):
+    values = spark.range(100).select(F.col("id").cast("double").alias("v"))
+    bounds = F.array(F.struct(
+        F.lit(0).alias("level"), F.lit(0.5).alias("quantile"), F.lit(100).alias("n"),
+        F.lit(60.0).alias("low"), F.lit(70.0).alias("high"),
+    ))
+    with pytest.raises(Exception, match="outside its bracket"):
+        _order_statistics(values, bounds).collect()
+
+
 def test_histogram_edges(spark):
     df = spark.createDataFrame([(float(v),) for v in (0, 1, 2, 3, 10)], "v double")
     assert {r["bin"]: r["count"] for r in histogram(df, "v", 5).collect()} == {0: 2, 1: 2, 4: 1}

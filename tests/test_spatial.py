@@ -87,3 +87,16 @@ def test_stops_fall_back_to_the_nearest_zone(spark):
         elif near[0][0] <= 0.01:
             want[stop] = near[0][1]
     assert {r["stop_id"]: r["zone_id"] for r in got.collect()} == want and 0 < len(want) < 600
+
+
+def test_detailed_zone(spark):
+    """A ring of 10,000 edges: each edge meets only the cells of its own rows."""
+    ring = disc(1, 0.0, 0.0, 0.1, 10_000)
+    edges = spark.createDataFrame(ring, EDGES)
+    rng = np.random.default_rng(8)
+    stops = [(f"s{i}", float(y), float(x)) for i, (x, y) in enumerate(rng.uniform(-0.12, 0.12, (400, 2)))]
+    got = spatial.map_stops(spark.createDataFrame(stops, "stop_id string, stop_lat double, stop_lon double"), edges)
+    want = {s for s, y, x in stops if math.hypot(x, y) < 0.1 + 0.01 - 1e-6}
+    assert {r["stop_id"] for r in got.collect()} == want and 0 < len(want) < 400
+    cells = spatial.zone_cells(edges, 0.005).agg({"*": "count"}).first()[0]
+    assert cells < 45 * 45

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from odflow.functions.scalars import hour_of
 from odflow.operators.congestion import zone_delays
+from odflow.plans.ingest import ingest_feeds
 from odflow.sources import tables
 from odflow.streaming import delays as live
 
@@ -69,6 +70,48 @@ def test_windows_equal_batch(spark, feed, tmp_path):
     path = f"{tmp_path}/windows"
     live.start_windowed(stream, stops, path, f"{tmp_path}/progress", "7 days").awaitTermination()
     assert rows(live.read_windowed(spark, path)) == rows(batch)
+    for _ in range(2):
+        live.fold_windowed(spark, path, f"{tmp_path}/base", 1)
+    assert rows(live.read_windowed(spark, path, f"{tmp_path}/base", 1)) == rows(batch)
+
+
+def test_late_rows_and_unmapped_stops(spark, tmp_path):
+    source = f"{tmp_path}/feed"
+    for day in (10, 0, 10):  # the second file is ten days late
+        spark.createDataFrame([(s, 5.0, "a", at(day * 1440)) for s in ("1", "9")], SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    stops = spark.createDataFrame([("1", 4), ("9", None)], tables.STOP_MAP)
+
+    def stream():
+        return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+
+    live.start_delay_log(stream(), stops, f"{tmp_path}/log", f"{tmp_path}/p1").awaitTermination()
+    assert rows(live.read_delays(spark, f"{tmp_path}/log")) == [(4, at(0), "a", 5.0, 1), (4, at(14400), "a", 5.0, 2)]
+    run = live.start_windowed(stream(), stops, f"{tmp_path}/windows", f"{tmp_path}/p2", "1 day")
+    run.awaitTermination()
+    kept = rows(live.read_windowed(spark, f"{tmp_path}/windows"))
+    assert sum(r[4] for r in kept) + live.dropped_rows(run) == 3 and all(r[0] == 4 for r in kept)
+
+
+def test_landed_feed_files(spark, tmp_path):
+    folder, warehouse = f"{tmp_path}/landed", f"{tmp_path}/warehouse"
+    stops = spark.createDataFrame([("101N", 7)], tables.STOP_MAP)
+
+    def land(feed, name, text):
+        (tmp_path / "landed" / f"feed_id={feed}").mkdir(parents=True, exist_ok=True)
+        (tmp_path / "landed" / f"feed_id={feed}" / name).write_text(text)
+
+    def update(delay):
+        return json.dumps({"entity": [{"trip_update": {"stop_time_update": [{"stop_id": "101N", "arrival": {"delay": delay}}]}}]}, indent=1)
+
+    land("ace", "1.json", update(60))
+    land("l", "1.json", update(30))
+    land("l", "2.json", "not json")
+    first = ingest_feeds(spark, folder, stops, warehouse).groupBy("feed_id").agg(F.sum("trip_count")).collect()
+    assert sorted(map(tuple, first)) == [("ace", 1), ("l", 1)]
+    land("l", "3.json", update(90))
+    again = ingest_feeds(spark, folder, stops, warehouse)
+    got = again.groupBy("zone_id", "feed_id").agg(F.sum("trip_count"), F.sum(F.col("mean_delay") * F.col("trip_count"))).collect()
+    assert sorted(map(tuple, got)) == [(7, "ace", 1, 60.0), (7, "l", 2, 120.0)]
 
 
 def test_add_poll(spark):
