@@ -11,7 +11,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -36,6 +35,8 @@ class WordEncoder:
 
     Right for vocabularies that lower-case, never join text across ASCII white space and drop it, and
     cut letters from punctuation, as those with word ends do; the ids are then those of the whole text.
+    Words are known as written. Only ASCII words without a special token in any case share their
+    lower-case form: special tokens are matched on raw text, and composition comes before lower-casing.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -43,6 +44,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
@@ -57,6 +59,13 @@ class WordEncoder:
         self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(runs), np.int32)])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths)])
 
+    def shared(self, word: str) -> str:
+        """The form under which a word is known."""
+        if not word.isascii():
+            return word
+        low = word.lower()
+        return word if any(t in low for t in self.special) else low
+
     def learn(self, fresh: list[str]) -> None:
         """Encode new words; a comma or full stop behind a letter is a token of its own."""
         cut = [w[:-1] if len(w) > 1 and w[-1] in ",." and stays_letter(w[-2]) else w for w in fresh]
@@ -72,10 +81,11 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids laid end to end and the number of ids of each text, end id included."""
-        codes, distinct, counts = words(pc.ascii_lower(pc.fill_null(texts, "")))
+        codes, distinct, counts = words(texts)
+        distinct = list(map(self.shared, distinct))
         if len(self.place) > CACHE_WORDS:
             self.forget()
-        self.learn([w for w in distinct if w not in self.place])
+        self.learn(list(dict.fromkeys(w for w in distinct if w not in self.place)))
         places = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
         picks = np.insert(places[codes], starts_of(counts)[1:], 0)
         lengths = np.diff(self.bounds)

@@ -43,6 +43,21 @@ def test_pieces_are_the_tokens_of_the_whole_text(docs_of, odd_rows):
         pack_power_of_two(docs_of([]), tokenizer_path(), 1000)
 
 
+def test_ids_of_raw_markers_and_marks_after_capitals(docs_of):
+    from tokenizers import Tokenizer
+
+    texts = [
+        "one <|ENDOFTEXT|> two <|EndOfText|>, x<|ENDOFTEXT|>y. <|endoftext|> <|endoftext|>.",
+        "H\u0331 J\u030c T\u0308 W\u030a h\u0331 j\u030c t\u0308 w\u030a aH\u0331ab, J\u030c. E\u0301te\u0301 \u00c9T\u00c9. \u00e9t\u00e9",
+        "The THE the, THE. Don'T DON'T <|Start <|START|> <|startoftext|> <|STARTOFTEXT|>",
+    ]
+    out = pack_power_of_two(docs_of([(k, t, "en", "a") for k, t in enumerate(texts)]), tokenizer_path()).collect()
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    for k, t in enumerate(texts):
+        got = [i for r in sorted((r for r in out if r.doc_id == k), key=lambda r: r.start) for i in r.ids]
+        assert got == [*tokenizer.encode(t, add_special_tokens=False).ids, 1]
+
+
 def mix_rows():
     rows = [(i, " ".join(["w"] * (1 + i * 7 % 40)), "en", f"s{i % 5}") for i in range(400)]
     return rows + [(1000 + i, " ".join(["w"] * 9), "en", None) for i in range(30)] + [(2000, None, "en", "empty"), (2001, "", "en", "empty")]
