@@ -126,6 +126,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
 
 
+def drawn_by_key(df: DataFrame, key: str, value: str, order: list[Column], bound: int) -> DataFrame:
+    """(key, value) of at most ``bound`` distinct keys, the first in ``order``: the least value of each.
+
+    Bounded however often a key is repeated: the keys are reduced before the limit, and a common
+    key leaves every task as one row.
+    """
+    keys = df.select(key).distinct().orderBy(*order).limit(bound)
+    return df.select(key, value).join(F.broadcast(keys), key).groupBy(key).agg(F.min(value).alias(value))
+
+
 def one_task(df: DataFrame, order: list[Column]) -> DataFrame:
     """A bounded sample brought to one task, in a fixed order."""
     return df.repartition(1).sortWithinPartitions(*order)

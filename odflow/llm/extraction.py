@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from odflow.llm.common import append_columns, one_task, slices
+from odflow.llm.common import append_columns, drawn_by_key, one_task, slices
 
-#: Pages used for training at most, and their blocks at most; all blocks of all pages are labelled.
+#: Pages and runs of blocks used for training at most, and the blocks of a run at most: long pages are
+#: cut into runs. All blocks of all pages are labelled.
 TRAINING_PAGES = 1200
 TRAINING_BLOCKS = 300
 
@@ -201,7 +202,9 @@ class Featurer:
             self.paths[path] = v
         return self.paths[path]
 
-    def page(self, blocks: list[Block]) -> np.ndarray:
+    def page(self, blocks: list[Block], start: int = 0, total: int | None = None) -> np.ndarray:
+        """Vectors of a page, or of its run of blocks from ``start`` if the page has ``total``."""
+        total = len(blocks) if total is None else total
         out = np.zeros((len(blocks), INPUTS), np.float32)
         for k, b in enumerate(blocks):
             out[k, :PATH_PLACES] = self.path_vector(b.path)
@@ -211,7 +214,7 @@ class Featurer:
             ends = b.text.count(".") + b.text.count(",")
             out[k, -FACTS:] = (
                 np.log(n) / 5, np.log(len(places)) / 4, min(b.linked / n, 1), ends / len(places), len(b.path) / 10,
-                k / len(blocks), b.text[-1] in ".!?", k == 0,
+                (start + k) / total, b.text[-1] in ".!?", start + k == 0,
             )
         return out
 
@@ -318,14 +321,31 @@ def batches_of(vectors: list[np.ndarray], cells: int = 8192) -> Iterator[tuple[l
         at = stop
 
 
-def fit_labeller(pages: list[list[Block]], hidden: int = 24, epochs: int = 6, rate: float = 0.01, seed: int = 9) -> BiLstm:
-    """Train on each page as it is and once built otherwise, by Adam over small batches of pages."""
+@dataclass(frozen=True)
+class Run:
+    """Blocks of a page that training reads at once, with their labels and their place in the page."""
+
+    blocks: list[Block]
+    labels: list[int]
+    start: int
+    total: int
+
+
+def runs_of(page: list[Block], most: int) -> list[Run]:
+    """The page in runs of at most TRAINING_BLOCKS, labelled as a whole; at most ``most`` of them, dealt by chance."""
+    labels, starts = page_labels(page), range(0, len(page), TRAINING_BLOCKS)
+    order = np.random.default_rng(zlib.crc32(" ".join(b.text for b in page).encode("utf-8", "replace"))).permutation(len(starts))[:most]
+    cuts = [slice(starts[k], starts[k] + TRAINING_BLOCKS) for k in order]
+    return [Run(page[c], labels[c], c.start, len(page)) for c in cuts]
+
+
+def fit_labeller(runs: list[Run], hidden: int = 24, epochs: int = 6, rate: float = 0.01, seed: int = 9) -> BiLstm:
+    """Train on each run as it is and once built otherwise, by Adam over small batches of runs."""
     g = np.random.default_rng(seed)
-    marks = [page_labels(p) for p in pages]
-    others = [b for p in pages for b in p]
-    both = list(zip(pages, marks, strict=True)) + [varied(p, m, others, g) for p, m in zip(pages, marks, strict=True)]
+    others = [b for r in runs for b in r.blocks]
+    both = [(r.blocks, r.labels) for r in runs] + [varied(r.blocks, r.labels, others, g) for r in runs]
     featurer = Featurer()
-    vectors = [featurer.page(p) for p, _ in both]
+    vectors = [featurer.page(p, r.start, r.total + len(p) - len(r.blocks)) for (p, _), r in zip(both, runs * 2, strict=True)]
     targets = [np.array(m, np.float32) for _, m in both]
     net = BiLstm.fresh(INPUTS, hidden, seed)
     first, second = [np.zeros_like(p) for p in net.parts], [np.zeros_like(p) for p in net.parts]
@@ -346,22 +366,46 @@ def fit_labeller(pages: list[list[Block]], hidden: int = 24, epochs: int = 6, ra
     return net
 
 
+def with_blocks(pages: DataFrame) -> DataFrame:
+    """The pages that have text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "html"):
+                yield part.filter(pa.array([bool(page_blocks(h)) for h in part.column("html").to_pylist()], pa.bool_()))
+
+    return pages.mapInArrow(run, pages.schema)
+
+
 def labeller(pages: DataFrame, bound: int) -> BiLstm | None:
-    """The network, learnt in one task from at most ``bound`` pages drawn by a hash of their html."""
-    filled = pages.select("html").where(F.length("html") > 0)
-    share = bound / max(filled.count(), 1)
-    order = F.xxhash64("html")
-    drawn = filled if share >= 1 else filled.where(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30)))
+    """The network, learnt in one task from at most ``bound`` different pages, drawn by a hash of their html.
+
+    If none of these has text, as many are drawn from the pages that have.
+    """
+    keyed = pages.select(F.xxhash64("html").alias("key"), "html").where(F.length("html") > 0)
+    return learnt(keyed, bound) or learnt(with_blocks(keyed), bound)
+
+
+def learnt(keyed: DataFrame, bound: int) -> BiLstm | None:
+    """The network from the pages with the ``bound`` lowest keys; None if these have no text.
+
+    A page of at most TRAINING_BLOCKS is one run, a longer one is cut. Every page gives its first
+    run before any gives a second, and so on, up to ``bound`` runs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read: list[list[Block]] = []
+        read: list[tuple[int, int, Run]] = []
+        pages = 0
         for batch in batches:
             for part in slices(batch, "html"):
-                if len(read) < bound:
-                    parsed = [page_blocks(h) for h in part.column("html").to_pylist()]
-                    read += [p for p in parsed if 0 < len(p) <= TRAINING_BLOCKS]
+                for html in part.column("html").to_pylist():
+                    read += [(turn, pages, r) for turn, r in enumerate(runs_of(page_blocks(html), bound))]
+                    pages += 1
+                    if len(read) > 2 * bound:
+                        read = sorted(read, key=lambda x: x[:2])[:bound]
+        read = sorted(sorted(read, key=lambda x: x[:2])[:bound], key=lambda x: (x[1], x[0]))
         if read:
-            net = fit_labeller(read[:bound])
+            net = fit_labeller([r for _, _, r in read])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(range(len(net.parts))),
@@ -371,7 +415,8 @@ def labeller(pages: DataFrame, bound: int) -> BiLstm | None:
                 names=["part", "shape", "values"],
             )
 
-    task = one_task(drawn, [order, F.col("html")])
+    drawn = drawn_by_key(keyed, "key", "html", [F.col("key")], bound)
+    task = one_task(drawn, [F.col("key")])
     found = sorted(task.mapInArrow(run, "part long, shape array<long>, values array<float>").collect())
     return BiLstm([np.array(r["values"], np.float32).reshape(r["shape"]) for r in found]) if found else None
 
@@ -382,9 +427,9 @@ def extract_main_text(pages: DataFrame, threshold: float = 0.5, bound: int = TRA
     A page is cut into blocks at block-level tags. Every block is a vector of its tag path, its words
     (both hashed) and a few facts; a bidirectional LSTM reads all blocks of the page and gives each the
     probability of belonging to the article. Those at ``threshold`` or above are joined in order by a
-    space. The network learns in one task from at most ``bound`` pages drawn by hash; its labels come
-    from the names of elements and classes there, and each page is also shown with other names and
-    with strange blocks put in. Every block of every page is labelled, whatever their number.
+    space. The network learns in one task from at most ``bound`` different pages drawn by hash, long
+    ones cut into runs of blocks; its labels come from the names of elements and classes there, and
+    each run is also shown with other names and with strange blocks put in. Every block of every page is labelled, whatever their number.
 
     Input: html and any others, all kept (columns named as the new ones are replaced). Null and empty
     pages and pages without text give an empty text; broken markup is read as far as it goes. An

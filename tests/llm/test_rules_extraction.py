@@ -85,3 +85,23 @@ def test_extraction(spark):
     long = next(x for x in out if x.page_id == 904)
     assert long.n_chars > 0.9 * 20_000 * 31
     assert extract_main_text(pages.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("n_pages", [1, 20])
+def test_extraction_learns_from_long_pages(spark, n_pages):
+    def page(i):
+        body = [f"p{i} n{k} some words of the article, told at length." for k in range(320)]
+        menu = "".join(f"<li><a href='/{k}'>go{k}</a></li>" for k in range(30))
+        return f"<body><nav><ul>{menu}</ul></nav><article>{''.join(f'<p>{b}</p>' for b in body)}</article><footer>end {i}</footer></body>", " ".join(body)
+
+    made = [page(i) for i in range(n_pages)]
+    rows = [(i, "u", html) for i, (html, _) in enumerate(made)]
+    out = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), bound=30).collect()
+    assert all(abs(x.n_chars / len(made[x.page_id][1]) - 1) < 0.1 for x in out)
+
+
+def test_extraction_learns_from_few_different_pages(spark):
+    html = "<body><nav>go</nav><article><p>some words of the only article, told at length.</p></article></body>"
+    rows = [(i, "u", "<script>no text</script>" + " " * i) for i in range(60)] + [(100 + i, "u", html) for i in range(60)]
+    out = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), bound=3).collect()
+    assert {x.text for x in out if x.page_id < 100} == {""} and all(x.n_chars > 0 for x in out if x.page_id >= 100)
