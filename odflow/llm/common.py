@@ -115,7 +115,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
 
     ``train`` is a condition on doc_id. A doc_id with several labels takes the largest;
     null ids and null labels take no part. The drawn ids are at most ``bound``, which is
-    what makes sending them to every executor safe.
+    what makes sending them to every executor safe; each gives one text, the least, however
+    often it is repeated.
     """
     drawn = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
@@ -123,7 +124,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
         .groupBy("doc_id").agg(F.max("label").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
 
 
 def drawn_by_key(df: DataFrame, key: str, value: str, order: list[Column], bound: int) -> DataFrame:

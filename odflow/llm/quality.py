@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from odflow.llm.common import append_columns, distinct_of, labelled_sample, one_task, run_sums, slices, words
+from odflow.llm.common import append_columns, distinct_of, drawn_by_key, labelled_sample, one_task, run_sums, slices, words
 
 #: Trusted positives and unlabelled texts used at most; all texts are scored.
 TRAINING_TEXTS = 8_000
@@ -187,10 +187,7 @@ def quality_network(docs: DataFrame, labels: DataFrame, train: Column, rule: PuR
     """The network, learnt in one task from at most ``bound`` positives and as many unlabelled texts."""
     trusted = labelled_sample(docs, labels.where(F.col("quality") == 1), "quality", train, bound)
     open_rows = docs.where(train & F.col("doc_id").isNotNull()).select("doc_id", "text")
-    share = bound / max(open_rows.count(), 1)
-    drawn = open_rows if share >= 1 else open_rows.where(
-        F.pmod(F.xxhash64(F.lit("unlabelled"), "doc_id"), F.lit(1 << 30)) < int(share * (1 << 30))
-    )
+    drawn = drawn_by_key(open_rows, "doc_id", "text", [F.xxhash64(F.lit("unlabelled"), "doc_id"), F.col("doc_id")], bound)
     sample = trusted.unionByName(drawn.withColumn("label", F.lit(0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,8 +229,8 @@ def score_quality(
     Input: doc_id, text and any others, all kept (columns named as the new ones are replaced);
     ``labels`` (doc_id, quality). Only labels of 1 are used: they are the trusted positives. The
     unlabelled texts are rows of ``docs`` whatever their label. Both come from rows where ``train``
-    (a condition on doc_id) holds, ``bound`` of each at most, drawn by a hash of the id; every whole
-    text is scored, from its text alone. Null and empty texts are scored as texts without words.
+    (a condition on doc_id) holds, ``bound`` ids of each at most, drawn by a hash and with
+    one text each; every whole text is scored, from its text alone. Null and empty texts are scored as texts without words.
     With nothing to learn from, every score is 0.
     """
     net = quality_network(docs, labels, train, rule, bound)

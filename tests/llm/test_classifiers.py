@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from odflow.llm import quality
+from odflow.llm.common import labelled_sample
 from odflow.llm.language import identify_language
 from odflow.llm.quality import PuRule, score_quality
 from odflow.llm.scoring import LblRule, score_texts
@@ -112,3 +114,21 @@ def test_model_is_normalised():
     first, second, z = model.tables()
     total = (10.0 ** (first[:, None, :] + second[None, :, :] - z[:, :, None])).sum(2)
     assert np.allclose(total, 1, atol=1e-4)
+
+
+def test_samples_are_bounded_by_distinct_keys(docs_of, labels, monkeypatch):
+    docs = docs_of([(5, f"text {i}", "en", "a") for i in range(400)] + [(i, f"other text {i}", "en", "a") for i in range(6, 30)])
+    always, seen = F.col("doc_id") >= 0, []
+    kept = labelled_sample(docs, labels, "toxic", always, 20_000).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(5, 30))
+
+    def one_task(df, order):
+        seen.extend(df.collect())
+        return df.limit(0)
+
+    monkeypatch.setattr(quality, "one_task", one_task)
+    quality.quality_network(docs, labels, always, PuRule(steps=1), 8_000)
+    assert sorted(r.doc_id for r in seen if r.label == 0) == list(range(5, 30))
+    seen.clear()
+    quality.quality_network(docs, labels, always, PuRule(steps=1), 10)
+    assert len({r.doc_id for r in seen if r.label == 0}) == sum(r.label == 0 for r in seen) == 10
