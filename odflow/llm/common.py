@@ -44,10 +44,11 @@ def text_bytes(texts: pa.Array) -> np.ndarray:
     return pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+def words(texts: pa.Array, as_array: bool = False) -> tuple[np.ndarray, list[str], np.ndarray]:
     """Words between ASCII white space: code of each word, the distinct words, words per text.
 
-    Null texts have no words. Codes follow the order of the texts.
+    Null texts have no words. Codes follow the order of the texts. The distinct words are a list, or
+    an Arrow array with ``as_array``.
     """
     parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     flat = parts.flatten()
@@ -56,7 +57,7 @@ def words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
     coded = flat.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)[real]
     counts = np.bincount(owner[real], minlength=len(parts)).astype(np.int64)
-    return codes, coded.dictionary.to_pylist(), counts
+    return codes, coded.dictionary if as_array else coded.dictionary.to_pylist(), counts
 
 
 def starts_of(counts: np.ndarray) -> np.ndarray:

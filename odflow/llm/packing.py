@@ -2,97 +2,24 @@
 
 from __future__ import annotations
 
-import os
-import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from odflow.llm.common import ragged, slices, starts_of, words
+from odflow.llm.bpe import ENCODED_BYTES, new_encoder
+from odflow.llm.common import ragged, slices, starts_of
 
-CACHE_WORDS = 300_000
-ENCODED_AT_ONCE = 4_000
-SEQUENCE_BITS = 40
+# A sequence id: bucket, partition, count within both.
+BUCKET_SHIFT, PARTITION_SHIFT = 56, 32
 PIECES = (
     "start long, length long, ids array<int>, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
 
 
-@lru_cache(None)
-def stays_letter(c: str) -> bool:
-    """Whether ``c`` is a letter that still ends in one after composition and lower-casing."""
-    return c.isalpha() and unicodedata.normalize("NFC", c).lower()[-1].isalpha()
-
-
-class WordEncoder:
-    """Token ids of texts, each distinct word encoded once.
-
-    Right for vocabularies that lower-case, never join text across ASCII white space and drop it, and
-    cut letters from punctuation, as those with word ends do; the ids are then those of the whole text.
-    Words are known as written. Only ASCII words without a special token in any case share their
-    lower-case form: special tokens are matched on raw text, and composition comes before lower-casing.
-    """
-
-    def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.end_id = end_id
-        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.forget()
-
-    def forget(self) -> None:
-        """Start the store of known words anew: a run of ids for each, laid end to end."""
-        self.place: dict[str, int] = {}
-        self.cores: dict[str, bytes] = {}
-        self.ids, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
-        self.keep([array("i", [self.end_id]).tobytes()])
-
-    def keep(self, runs: list[bytes]) -> None:
-        lengths = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(runs), np.int32)])
-        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(lengths)])
-
-    def shared(self, word: str) -> str:
-        """The form under which a word is known."""
-        if not word.isascii():
-            return word
-        low = word.lower()
-        return word if any(t in low for t in self.special) else low
-
-    def learn(self, fresh: list[str]) -> None:
-        """Encode new words; a comma or full stop behind a letter is a token of its own."""
-        cut = [w[:-1] if len(w) > 1 and w[-1] in ",." and stays_letter(w[-2]) else w for w in fresh]
-        new = [w for w in dict.fromkeys([*cut, ",", "."]) if w not in self.cores]
-        for i in range(0, len(new), ENCODED_AT_ONCE):
-            some = new[i : i + ENCODED_AT_ONCE]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.cores[word] = array("i", got.ids).tobytes()
-        known = self.cores
-        self.keep([known[c] if len(c) == len(w) else known[c] + known[w[-1]] for w, c in zip(fresh, cut, strict=True)])
-        first = len(self.place) + 1  # place 0 is the end id
-        self.place.update(zip(fresh, range(first, first + len(fresh)), strict=True))
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids laid end to end and the number of ids of each text, end id included."""
-        codes, distinct, counts = words(texts)
-        distinct = list(map(self.shared, distinct))
-        if len(self.place) > CACHE_WORDS:
-            self.forget()
-        self.learn(list(dict.fromkeys(w for w in distinct if w not in self.place)))
-        places = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
-        picks = np.insert(places[codes], starts_of(counts)[1:], 0)
-        lengths = np.diff(self.bounds)
-        ends = np.cumsum(lengths[picks])[starts_of(counts + 1)[1:] - 1]
-        return self.ids[ragged(lengths, picks)], np.diff(ends, prepend=0)
-
-
 def binary_lengths(total: int, longest: int) -> list[int]:
     """``total`` as whole ``longest`` pieces followed by the powers of two of the rest, large first."""
     rest = total % longest
@@ -102,50 +29,64 @@ def binary_lengths(total: int, longest: int) -> list[int]:
 def pack_power_of_two(
     docs: DataFrame, tokenizer_path: str, longest: int = 2048, end_id: int = 1, id_column: str = "doc_id"
 ) -> DataFrame:
-    """Each document cut into pieces of binary length; every piece is a sequence of its own.
+    """Each document cut into pieces of binary length, in buckets of equal length; every piece is a sequence.
 
     Input: ``id_column`` and ``text``; other columns are ignored. A document is the ids of its
     text followed by ``end_id``. It becomes ``total // longest`` pieces of ``longest`` ids (a power
     of two), then one piece for each binary digit of the rest, so a sequence never crosses
-    documents and no sequence needs padding. ``length`` is the bucket: a batch is drawn from one
-    bucket, where all sequences have that length. Output: the id, start, length, ids, ids_crc32
+    documents and no sequence needs padding. Sequences are numbered by bucket: sequence_id holds the
+    binary logarithm of the length, then the partition, then a count within both, so a range of ids is
+    a bucket and ids rise with the length. Each run of rows comes out ordered by bucket, and
+    :func:`write_buckets` gives each bucket a folder. Output: the id, start, length, ids, ids_crc32
     (little-endian unsigned 32-bit ids), doc_tokens, sequence_id, offset (always 0).
 
     Null and empty texts hold the end id alone. Repeated rows and null ids give pieces of their own.
-    sequence_id is the partition number and the count within it, so it is unique, needs no
-    shuffle and stays the same when a task is run again over the same files. An empty table
-    gives no rows.
+    The numbers need no shuffle and stay the same when a task is run again over the same files.
+    An empty table gives no rows.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
     id_type = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
-        encoder = WordEncoder(tokenizer_path, end_id)
-        sequence = TaskContext.get().partitionId() << SEQUENCE_BITS
+        encoder = new_encoder(tokenizer_path)
+        partition = TaskContext.get().partitionId() << PARTITION_SHIFT
+        numbered = np.zeros(64, np.int64)  # sequences so far, by bucket
         for batch in batches:
-            for part in slices(batch, "text"):
-                ids, totals = encoder.encode(part.column("text"))
+            for part in slices(batch, "text", ENCODED_BYTES):
+                text_ids, counts = encoder.encode(part.column("text"))
+                ids, totals = np.insert(text_ids, starts_of(counts)[1:], end_id), counts + 1
                 cuts = [binary_lengths(int(n), longest) for n in totals]
                 pieces = np.fromiter(map(len, cuts), np.int64, len(cuts))
                 lengths = np.fromiter((n for c in cuts for n in c), np.int64, int(pieces.sum()))
-                bounds, owner = starts_of(lengths), np.repeat(np.arange(len(cuts)), pieces)
+                bucket = np.frexp(lengths)[1].astype(np.int64) - 1
+                order = np.argsort(bucket, kind="stable")
+                owner = np.repeat(np.arange(len(cuts)), pieces)[order]
+                starts = starts_of(lengths)[:-1][order] - starts_of(totals)[owner]
+                ids, lengths, bucket = ids[ragged(lengths, order)], lengths[order], bucket[order]
+                held = np.bincount(bucket, minlength=64)
+                number = np.arange(len(bucket)) + (numbered - starts_of(held)[:-1])[bucket]
+                numbered += held
+                bounds = starts_of(lengths)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(id_column).take(pa.array(owner)),
-                        pa.array(bounds[:-1] - starts_of(totals)[owner]),
+                        pa.array(starts),
                         pa.array(lengths),
                         pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())),
                         pa.array(sums, pa.int64()),
                         pa.array(totals[owner]),
-                        pa.array(np.arange(len(lengths)) + sequence),
+                        pa.array((bucket << BUCKET_SHIFT) + partition + number),
                         pa.array(np.zeros(len(lengths), np.int64)),
                     ],
                     names=[id_column, "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
                 )
-                sequence += len(lengths)
 
     return docs.select(id_column, "text").mapInArrow(run, f"`{id_column}` {id_type}, {PIECES}")
+
+
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """Write the sequences with one folder per length, so that a batch is read from one bucket."""
+    packed.write.partitionBy("length").parquet(path)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from odflow.llm.bpe import encode_and_decode
 from odflow.llm.common import held_out, table
 from odflow.llm.extraction import extract_main_text
 from odflow.llm.language import identify_language
@@ -95,3 +96,12 @@ def op10_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFram
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = identify_language(docs, ~held_out("doc_id", 4, 2))
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op13_batched_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return done.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )

@@ -8,7 +8,7 @@ import pytest
 
 from odflow.llm.mixing import pareto_mix
 from odflow.llm.oracles import MIXING
-from odflow.llm.packing import binary_lengths, pack_power_of_two
+from odflow.llm.packing import binary_lengths, pack_power_of_two, write_buckets
 from odflow.llm.queries import tokenizer_path
 
 
@@ -43,6 +43,21 @@ def test_pieces_are_the_tokens_of_the_whole_text(docs_of, odd_rows):
         pack_power_of_two(docs_of([]), tokenizer_path(), 1000)
 
 
+def test_sequences_are_numbered_by_bucket(docs_of, tmp_path):
+    rows = [(k, "word " * (k * 13 % 300), "en", "a") for k in range(200)]
+    packed = pack_power_of_two(docs_of(rows), tokenizer_path(), 64)
+    out = packed.collect()
+    assert len({r.sequence_id for r in out}) == len(out)
+    assert all(r.sequence_id >> 56 == r.length.bit_length() - 1 for r in out)
+    by_place = {}
+    for r in out:
+        by_place.setdefault(r.sequence_id >> 32, []).append(r.sequence_id & (1 << 32) - 1)
+    assert all(sorted(v) == list(range(len(v))) for v in by_place.values())
+    write_buckets(packed, str(tmp_path / "buckets"))
+    lengths = {r["length"] for r in out}
+    assert {p.name for p in (tmp_path / "buckets").glob("length=*")} == {f"length={n}" for n in lengths}
+
+
 def test_ids_of_raw_markers_and_marks_after_capitals(docs_of):
     from tokenizers import Tokenizer
 
