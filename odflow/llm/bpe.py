@@ -92,23 +92,21 @@ class Merges:
                 symbols, rank, last = symbols[~mine], rank[~mine], last[~mine]
                 if not len(piece):
                     break
-            lowest = np.repeat(best, sizes)
-            at = np.flatnonzero((rank == lowest) & (rank != NO_RANK))
-            owner = np.repeat(np.arange(len(sizes)), sizes)[at]
+            best[best == NO_RANK] = -1  # finished, but not yet put away
+            at = np.flatnonzero(rank == np.repeat(best, sizes))
             if not self.ordered:
-                first = np.concatenate([[True], owner[1:] != owner[:-1]])
-                at, owner = at[first], owner[first]
+                owner = np.searchsorted(np.cumsum(sizes), at, "right")
+                at = at[np.concatenate([[True], owner[1:] != owner[:-1]])]
             elif len(at) > 1 and (np.diff(at) == 1).any():  # like "aaa": every other one of a run
                 begins = np.concatenate([[True], np.diff(at) != 1])
                 run = np.maximum.accumulate(np.where(begins, np.arange(len(at)), 0))
-                even = (np.arange(len(at)) - run) % 2 == 0
-                at, owner = at[even], owner[even]
+                at = at[(np.arange(len(at)) - run) % 2 == 0]
             symbols[at] = self.made[rank[at]]
             last[at] = last[at + 1]
             keep = np.ones(len(symbols), bool)
             keep[at + 1] = False
+            sizes = np.add.reduceat(keep, np.cumsum(sizes) - sizes, dtype=np.int64)
             symbols, rank, last = symbols[keep], rank[keep], last[keep]
-            sizes = sizes - np.bincount(owner, minlength=len(sizes))
             at = at - np.arange(len(at))
             rank[at] = NO_RANK
             changed = np.concatenate([at, at[at > 0] - 1])
@@ -152,8 +150,9 @@ class Encoder:
     For byte-level vocabularies that drop white space and mark the end of a piece, as CLIP's does: text is
     composed and lower-cased, then cut into contractions, runs of letters, single digits and runs of other
     characters. Composition never reaches across ASCII white space, so the ids of a text are those of its
-    words. Words of ASCII are cut in numpy; others are normalised and cut by the tokenizer's own rules, and
-    only their merges are made here. Special tokens are found in the raw word, as the file says.
+    words. Words of ASCII and of letters below U+0300, where nothing composes, are lower-cased and cut in numpy;
+    others are normalised and cut by the tokenizer's own rules, and only their merges are made here. Special
+    tokens are found in the raw word, as the file says.
     """
 
     def __init__(self, path: str):
@@ -189,6 +188,19 @@ class Encoder:
         kind = np.full(256, OTHER, np.uint8)
         kind[97:123], kind[48:58] = LETTER, DIGIT
         self.kind = kind
+        self.latin()
+
+    def latin(self) -> None:
+        """Lower case and class of U+0080 to U+02FF, asked from the rules; class 0 where it takes more than a table."""
+        self.low_pair = np.zeros((12 * 64, 2), np.uint8)  # by code point less 128, as UTF-8
+        self.pair_kind = np.zeros(12 * 64, np.uint8)
+        cut = self.rules.pre_tokenizer.pre_tokenize_str
+        for c in range(128, 0x300):
+            low = self.rules.normalizer.normalize_str(chr(c))
+            pair = low.encode()
+            if len(low) == 1 and len(pair) == 2 and pair[0] < 0xCC:
+                self.low_pair[c - 128] = list(pair)
+                self.pair_kind[c - 128] = LETTER if len(cut(f"a{low}a")) == 1 else OTHER if len(cut(f"!{low}!")) == 1 else 0
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids laid end to end, and the number of ids of each text; a null text has none."""
@@ -202,14 +214,20 @@ class Encoder:
         raw = np.frombuffer(found.buffers()[2] or b"", np.uint8)[bounds[0] if len(bounds) else 0 :]
         sizes = np.diff(bounds)
         raw = raw[: int(sizes.sum())]
-        odd = run_sums(raw >= 128, sizes) > 0
+        kind, low = self.kind[self.lower[raw]], self.lower[raw]
+        lead = np.flatnonzero((raw >= 0xC2) & (raw < 0xCC))
+        point = (raw[lead].astype(np.int64) - 0xC2) * 64 + (raw[lead + 1] - 0x80)
+        kind[raw >= 128] = 0
+        kind[lead] = kind[lead + 1] = self.pair_kind[point]
+        low[lead], low[lead + 1] = self.low_pair[point].T
+        odd = run_sums(kind == 0, sizes) > 0
         for mark in self.marks:
             head = (raw[:-1] == mark[0]) & (raw[1:] == (mark + b"\0")[1]) if len(mark) > 1 else raw[:-1] == mark[0]
-            at = np.flatnonzero(head)
-            odd[np.searchsorted(np.cumsum(sizes), at, "right")] = True
+            odd[np.searchsorted(np.cumsum(sizes), np.flatnonzero(head), "right")] = True
         plain = np.flatnonzero(~odd)
-        flat = self.lower[raw[ragged(sizes, plain)]]
-        begins = self.piece_starts(flat, sizes[plain])
+        take = ragged(sizes, plain)
+        flat = low[take]
+        begins = self.piece_starts(flat, kind[take], sizes[plain])
         symbols, lengths = self.symbols_of(flat, begins)
         plain_pieces = run_sums(begins, sizes[plain])
         others = np.flatnonzero(odd)
@@ -220,10 +238,9 @@ class Encoder:
         place = np.argsort(np.concatenate([plain, others]), kind="stable")  # back to the order of the words
         return ids[ragged(by_word, place)], by_word[place]
 
-    def piece_starts(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Where pieces begin in lower-case ASCII words laid end to end."""
+    def piece_starts(self, flat: np.ndarray, kind: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Where pieces begin in lower-case words laid end to end, given the class of each byte."""
         n = len(flat)
-        kind = self.kind[flat]
         first = np.zeros(n + 4, bool)
         first[np.cumsum(sizes) - sizes] = True
         first[n:] = True
@@ -265,8 +282,9 @@ class Encoder:
         part_of: list[int] = []
         plain = [k for k in range(len(parts)) if k not in special]
         if plain:
-            text = self.rules.normalizer.normalize_str("\n".join(parts[k] for k in plain))
-            if text.count(" ") == len(plain) - 1:
+            joined = "\n".join(parts[k] for k in plain)
+            text = self.rules.normalizer.normalize_str(joined)
+            if not re.search(r"[^\S\n]", joined) and text.count(" ") == len(plain) - 1:
                 spaces = np.array([m.start() for m in re.finditer(" ", text)], np.int64)
                 cut = self.rules.pre_tokenizer.pre_tokenize_str(text)
                 shown = [piece for piece, _ in cut]

@@ -37,7 +37,7 @@ def test_contractions_runs_special_tokens_and_marks(encoder, library):
     agrees(encoder, library, [
         "don't ''s 's't x're're l'l'll 'rest'm it'sthe 1'd2' '", "Hello, it's the Ann\u00e9e 42nd <|endoftext|>.",
         "<|endoftext|><|startoftext|>a<|ENDOFTEXT|>b <| |> <|endoftext <|endoftext|", "\u03a3\u03b1\u03c2 \u03a3\u0391\u03a3 \u0130x H\u0331 e\u0301",
-        "a\u00a0b\u2003c \u0301x \x1c\x00\x85z", "\u65e5\u672c\u8a9e \U0001f600\U0001f600 \u00bd \u00b2 \u2167 \ufb01 \uff21\uff11", None, "", " \n\t ",
+        "x\u0085y \u0085 a\u00a0b\u2003c \u0301x \x1c\x00\x85z", "\u65e5\u672c\u8a9e \U0001f600\U0001f600 \u00bd \u00b2 \u2167 \ufb01 \uff21\uff11", None, "", " \n\t ",
     ])
 
 
