@@ -34,3 +34,34 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
   CAST(size * (whole + CASE WHEN run - size + run < 2 * wanted THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM ranked
 """
+
+LEXICAL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+kept AS (SELECT r, doc_id, terms, CAST(len(terms) AS BIGINT) AS n FROM docs WHERE len(terms) > 0),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS documents_in, CAST(sum(n) AS BIGINT) AS terms_in FROM kept),
+items AS (
+  SELECT row_number() OVER () AS item, item_id, list_distinct(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS terms
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+wanted AS (SELECT item, item_id, unnest(terms) AS term FROM items),
+held AS (
+  SELECT r, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, unnest(terms) AS term FROM kept)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY r, term),
+weighed AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * documents_in + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM held, totals GROUP BY term, documents_in),
+summed AS (
+  SELECT item, item_id, r, doc_id,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * documents_in) // terms_in)))) AS BIGINT) AS score
+  FROM wanted JOIN held USING (term) JOIN weighed USING (term) JOIN kept USING (r), totals
+  GROUP BY item, item_id, r, doc_id)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM summed WHERE score > 0)
+WHERE rank <= 10
+"""

@@ -11,8 +11,9 @@ from odflow.llm.bpe import encode_and_decode
 from odflow.llm.common import held_out, table
 from odflow.llm.extraction import extract_main_text
 from odflow.llm.language import identify_language
+from odflow.llm.lexical import lexical_search
 from odflow.llm.mixing import pareto_mix
-from odflow.llm.oracles import MIXING
+from odflow.llm.oracles import LEXICAL, MIXING
 from odflow.llm.packing import pack_power_of_two
 from odflow.llm.quality import score_quality
 from odflow.llm.rules import outlier_rules
@@ -22,7 +23,7 @@ from odflow.llm.similarity import jaccard_join
 from odflow.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op9_pareto_mixing": MIXING}
+ORACLES: dict[str, str] = {"op9_pareto_mixing": MIXING, "op12_limited_accumulators": LEXICAL}
 
 
 def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -98,6 +99,11 @@ def op10_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op12_limited_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op13_batched_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = encode_and_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
