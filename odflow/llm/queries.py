@@ -21,6 +21,7 @@ from odflow.llm.scoring import score_texts
 from odflow.llm.search import top_k
 from odflow.llm.similarity import jaccard_join
 from odflow.llm.toxicity import score_toxicity
+from odflow.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {"op9_pareto_mixing": MIXING, "op12_limited_accumulators": LEXICAL}
@@ -99,6 +100,11 @@ def op10_hyperdimensional_language(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op11_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op12_limited_accumulators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
