@@ -20,9 +20,14 @@ from odflow.llm.common import append_columns, drawn_by_key, one_task, slices
 #: cut into runs. All blocks of all pages are labelled.
 TRAINING_PAGES = 1200
 TRAINING_BLOCKS = 300
+#: A path names so many of the outermost and of the innermost open elements, and so many words of an element's
+#: attributes: features of a block, its text is whole.
+PATH_ENDS, PATH_WORDS = 16, 16
+#: Pages of more blocks are read by the network in parts of so many, the state handed on.
+READ_BLOCKS = 4096
 
 TAG = re.compile(
-    r"<!--.*?-->|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+>|[^>]*+>)", re.S
+    r"<!--|<[!?][^>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+>|[^>]*+>)", re.S
 )
 ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 # HTML element names by their role.
@@ -52,24 +57,79 @@ class Block:
     linked: int
 
 
+class OpenElements:
+    """The open elements of a page, each found by name without a walk through the others."""
+
+    def __init__(self) -> None:
+        self.tags: list[str] = []
+        self.places: dict[str, list[int]] = {}
+        self.walls: list[int] = []  # places of those that only their own end closes
+        self.named: list[tuple[str, ...]] = []  # tag and words of the block-level ones
+        self.links = 0
+        self.known: tuple[str, ...] | None = None
+
+    def add(self, tag: str, words: tuple[str, ...]) -> None:
+        place = len(self.tags)
+        self.tags.append(tag)
+        self.places.setdefault(tag, []).append(place)
+        if tag in INLINE:
+            self.links += tag == "a"
+        else:
+            self.named.append((tag, *words))
+            self.known = None
+            if tag not in CLOSED_BY_SAME:
+                self.walls.append(place)
+
+    def close_from(self, place: int) -> None:
+        while len(self.tags) > place:
+            tag = self.tags.pop()
+            self.places[tag].pop()
+            if tag in INLINE:
+                self.links -= tag == "a"
+            else:
+                self.named.pop()
+                self.known = None
+                if tag not in CLOSED_BY_SAME:
+                    self.walls.pop()
+
+    def close(self, tag: str) -> None:
+        """An end tag closes the innermost of its name, with all inside; without one it closes nothing."""
+        if self.places.get(tag):
+            self.close_from(self.places[tag][-1])
+
+    def make_room(self, tag: str) -> None:
+        """A block-level start tag closes an open element of its kind, or a paragraph, within the last wall."""
+        wall = self.walls[-1] if self.walls else -1
+        last = [self.places[t][-1] for t in {tag, "p"} & CLOSED_BY_SAME if self.places.get(t)]
+        if last and max(last) > wall:
+            self.close_from(max(last))
+
+    def path(self) -> tuple[str, ...]:
+        """Tags and words of the outermost and innermost block-level elements; blocks of one element share it."""
+        if self.known is None:
+            shown = self.named if len(self.named) <= 2 * PATH_ENDS else self.named[:PATH_ENDS] + self.named[-PATH_ENDS:]
+            self.known = tuple(x for names in shown for x in names)
+        return self.known
+
+
 def page_blocks(page: str) -> list[Block]:
-    """The blocks of a page in order; scripts, styles and comments have none.
+    """The blocks of a page in order; scripts, styles and comments have none. Time is linear in the page.
 
     The path holds the open elements from the outermost, each followed by the words of its class, id
-    and role with a dot before them. Elements that HTML lets stay open are closed by the next
-    of their kind or by the end of what holds them.
+    and role with a dot before them, within PATH_ENDS and PATH_WORDS. Elements that HTML lets stay open are
+    closed by the next of their kind or by the end of what holds them. A comment that is not closed ends at
+    its first ``>``.
     """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = OpenElements()
     held: list[str] = []
-    linked = links = 0
+    linked, no_more_ends = 0, False
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(held)).split())
         if text:
-            path = tuple(x for tag, names in stack if tag not in INLINE for x in (tag, *names))
-            out.append(Block(path, text, linked))
+            out.append(Block(stack.path(), text, linked))
         held.clear()
         linked = 0
 
@@ -77,13 +137,18 @@ def page_blocks(page: str) -> list[Block]:
         nonlocal linked
         if piece:
             held.append(piece)
-            if links:
+            if stack.links:
                 linked += len(piece)
 
     end, at = page.rfind(">") + 1, 0
     while (tag := TAG.search(page, at, end)) is not None:
         text_of(page[at : tag.start()])
         at = tag.end()
+        if tag[0] == "<!--":
+            close = -1 if no_more_ends else page.find("-->", at)
+            no_more_ends = close < 0
+            at = close + 3 if close >= 0 else page.find(">", at) + 1
+            continue
         name = (tag[2] or "").lower()
         if not name:
             continue
@@ -93,11 +158,7 @@ def page_blocks(page: str) -> list[Block]:
         if name not in INLINE:
             flush()
         if tag[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    links -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
+            stack.close(name)
             continue
         if name in RAW:
             closing = re.compile(rf"</{name}", re.I).search(page, at)
@@ -105,18 +166,12 @@ def page_blocks(page: str) -> list[Block]:
             continue
         if name in VOID:
             continue
+        words: list[str] = []
         if name not in INLINE:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in CLOSED_BY_SAME or stack[k][0] in INLINE:
-                    if stack[k][0] == name or (stack[k][0] == "p"):
-                        links -= sum(t == "a" for t, _ in stack[k:])
-                        del stack[k:]
-                        break
-                else:
-                    break
-        names = tuple(f".{w.lower()}" for m in ATTRIBUTE.finditer(tag[3]) for w in re.split(r"[\s_]+", m[1] or m[2] or m[3] or "") if w)
-        stack.append((name, names))
-        links += name == "a"
+            stack.make_room(name)
+            for m in ATTRIBUTE.finditer(tag[3]):
+                words += [f".{w.lower()}" for w in re.split(r"[\s_]+", m[1] or m[2] or m[3] or "", maxsplit=PATH_WORDS)[:PATH_WORDS] if w]
+        stack.add(name, tuple(words[:PATH_WORDS]))
     text_of(page[at:] if at < len(page) else "")
     flush()
     return out
@@ -192,7 +247,7 @@ class Featurer:
 
     def path_vector(self, path: tuple[str, ...]) -> np.ndarray:
         if path not in self.paths:
-            if len(self.paths) > 50_000:
+            if len(self.paths) > 5_000:
                 self.paths = {}
             v = np.zeros(PATH_PLACES, np.float32)
             names = [x for x in path if x not in ("html", "body")]
@@ -238,11 +293,11 @@ class BiLstm:
         return cls([p.astype(np.float32) for p in (*parts, g.normal(0, 0.2, 2 * hidden), np.zeros(1))])
 
     @staticmethod
-    def run(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-        """Hidden states of a batch (steps, pages, inputs), with what the way back needs if ``keep``."""
+    def run(x: np.ndarray, wx: np.ndarray, wh: np.ndarray, b: np.ndarray, keep: bool, begin: tuple | None = None) -> tuple[np.ndarray, list]:
+        """Hidden states of a batch (steps, pages, inputs), with what the way back needs if ``keep``, else with the last state."""
         steps, n, h = len(x), x.shape[1], len(wh)
         pre = x @ wx + b
-        state, cell = np.zeros((n, h), np.float32), np.zeros((n, h), np.float32)
+        state, cell = begin or (np.zeros((n, h), np.float32), np.zeros((n, h), np.float32))
         out, kept = np.empty((steps, n, h), np.float32), []
         for t in range(steps):
             z = pre[t] + state @ wh
@@ -255,7 +310,21 @@ class BiLstm:
                 kept.append((state, last, i, f, o, c, tall))
             state = o * tall
             out[t] = state
-        return out, kept
+        return out, kept if keep else [state, cell]
+
+    def read_long(self, vectors: Callable[[int, int], np.ndarray], total: int) -> np.ndarray:
+        """Probabilities of one long page, given by parts: ``vectors(a, b)`` are those of blocks a to b."""
+        fx, fh, fb, bx, bh, bb, wo, bo = self.parts
+        cuts = [(a, min(a + READ_BLOCKS, total)) for a in range(0, total, READ_BLOCKS)]
+        out, state = np.zeros(total, np.float32), None
+        for a, b in cuts:
+            h, state = self.run(vectors(a, b)[:, None, :], fx, fh, fb, False, state)
+            out[a:b] = h[:, 0] @ wo[: len(fh)]
+        state = None
+        for a, b in reversed(cuts):
+            h, state = self.run(vectors(a, b)[::-1, None, :], bx, bh, bb, False, state)
+            out[a:b] += h[::-1, 0] @ wo[len(fh) :]
+        return gate(out + bo[0])
 
     @staticmethod
     def back(x: np.ndarray, d_out: np.ndarray, wx: np.ndarray, wh: np.ndarray, kept: list) -> list[np.ndarray]:
@@ -331,11 +400,11 @@ class Run:
     total: int
 
 
-def runs_of(page: list[Block], most: int) -> list[Run]:
-    """The page in runs of at most TRAINING_BLOCKS, labelled as a whole; at most ``most`` of them, dealt by chance."""
-    labels, starts = page_labels(page), range(0, len(page), TRAINING_BLOCKS)
+def runs_of(page: list[Block], most: int, run_blocks: int = TRAINING_BLOCKS) -> list[Run]:
+    """The page in runs of at most ``run_blocks``, labelled as a whole; at most ``most`` of them, dealt by chance."""
+    labels, starts = page_labels(page), range(0, len(page), run_blocks)
     order = np.random.default_rng(zlib.crc32(" ".join(b.text for b in page).encode("utf-8", "replace"))).permutation(len(starts))[:most]
-    cuts = [slice(starts[k], starts[k] + TRAINING_BLOCKS) for k in order]
+    cuts = [slice(starts[k], starts[k] + run_blocks) for k in order]
     return [Run(page[c], labels[c], c.start, len(page)) for c in cuts]
 
 
@@ -377,19 +446,19 @@ def with_blocks(pages: DataFrame) -> DataFrame:
     return pages.mapInArrow(run, pages.schema)
 
 
-def labeller(pages: DataFrame, bound: int) -> BiLstm | None:
+def labeller(pages: DataFrame, bound: int, run_blocks: int = TRAINING_BLOCKS) -> BiLstm | None:
     """The network, learnt in one task from at most ``bound`` different pages, drawn by a hash of their html.
 
     If none of these has text, as many are drawn from the pages that have.
     """
     keyed = pages.select(F.xxhash64("html").alias("key"), "html").where(F.length("html") > 0)
-    return learnt(keyed, bound) or learnt(with_blocks(keyed), bound)
+    return learnt(keyed, bound, run_blocks) or learnt(with_blocks(keyed), bound, run_blocks)
 
 
-def learnt(keyed: DataFrame, bound: int) -> BiLstm | None:
+def learnt(keyed: DataFrame, bound: int, run_blocks: int) -> BiLstm | None:
     """The network from the pages with the ``bound`` lowest keys; None if these have no text.
 
-    A page of at most TRAINING_BLOCKS is one run, a longer one is cut. Every page gives its first
+    A page of at most ``run_blocks`` is one run, a longer one is cut. Every page gives its first
     run before any gives a second, and so on, up to ``bound`` runs.
     """
 
@@ -399,7 +468,7 @@ def learnt(keyed: DataFrame, bound: int) -> BiLstm | None:
         for batch in batches:
             for part in slices(batch, "html"):
                 for html in part.column("html").to_pylist():
-                    read += [(turn, pages, r) for turn, r in enumerate(runs_of(page_blocks(html), bound))]
+                    read += [(turn, pages, r) for turn, r in enumerate(runs_of(page_blocks(html), bound, run_blocks))]
                     pages += 1
                     if len(read) > 2 * bound:
                         read = sorted(read, key=lambda x: x[:2])[:bound]
@@ -421,37 +490,47 @@ def learnt(keyed: DataFrame, bound: int) -> BiLstm | None:
     return BiLstm([np.array(r["values"], np.float32).reshape(r["shape"]) for r in found]) if found else None
 
 
-def extract_main_text(pages: DataFrame, threshold: float = 0.5, bound: int = TRAINING_PAGES) -> DataFrame:
+def extract_main_text(
+    pages: DataFrame, threshold: float = 0.5, bound: int = TRAINING_PAGES, run_blocks: int = TRAINING_BLOCKS
+) -> DataFrame:
     """``pages`` with text (main text of html) and n_chars (its code points).
 
     A page is cut into blocks at block-level tags. Every block is a vector of its tag path, its words
     (both hashed) and a few facts; a bidirectional LSTM reads all blocks of the page and gives each the
     probability of belonging to the article. Those at ``threshold`` or above are joined in order by a
     space. The network learns in one task from at most ``bound`` different pages drawn by hash, long
-    ones cut into runs of blocks; its labels come from the names of elements and classes there, and
+    ones cut into runs of ``run_blocks`` blocks; its labels come from the names of elements and classes there, and
     each run is also shown with other names and with strange blocks put in. Every block of every page is labelled, whatever their number.
 
     Input: html and any others, all kept (columns named as the new ones are replaced). Null and empty
-    pages and pages without text give an empty text; broken markup is read as far as it goes. An
+    pages and pages without text give an empty text; broken markup is read as far as it goes, in time linear
+    in its length. Equal pages get equal texts, a row each, whatever their id; the network sees them once. An
     empty table gives no rows.
     """
-    net = labeller(pages, bound)
+    net = labeller(pages, bound, run_blocks)
     parts = net.parts if net else None
 
     def compute() -> Callable[[pa.Array], list[pa.Array]]:
         featurer = Featurer()
 
+        def chosen(blocks: list[Block], chances: np.ndarray) -> str:
+            return " ".join(b.text for b, q in zip(blocks, chances, strict=True) if q >= threshold)
+
         def apply(htmls: pa.Array) -> list[pa.Array]:
             read = [page_blocks(h) if h else [] for h in htmls.to_pylist()]
             texts = [""] * len(read)
             full = [k for k, blocks in enumerate(read) if blocks]
             if full and parts:
                 model = BiLstm(parts)
-                for some, x, lengths in batches_of([featurer.page(read[k]) for k in full]):
+                short = [k for k in full if len(read[k]) <= READ_BLOCKS]
+                for some, x, lengths in batches_of([featurer.page(read[k]) for k in short]):
                     p = model.forward(x, lengths)[0]
                     for column, n in enumerate(some):
-                        blocks = read[full[n]]
-                        texts[full[n]] = " ".join(b.text for b, q in zip(blocks, p[: len(blocks), column], strict=True) if q >= threshold)
+                        texts[short[n]] = chosen(read[short[n]], p[: lengths[column], column])
+                for k in full:
+                    if len(blocks := read[k]) > READ_BLOCKS:
+                        part = lambda a, b, blocks=blocks: featurer.page(blocks[a:b], a, len(blocks))
+                        texts[k] = chosen(blocks, model.read_long(part, len(blocks)))
             return [pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())]
 
         return apply

@@ -4,8 +4,10 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
 
+from odflow.llm import extraction
 from odflow.llm.extraction import extract_main_text, page_blocks
 from odflow.llm.rules import chi2_cdf, chi2_quantile, outlier_rules
 
@@ -105,3 +107,85 @@ def test_extraction_learns_from_few_different_pages(spark):
     rows = [(i, "u", "<script>no text</script>" + " " * i) for i in range(60)] + [(100 + i, "u", html) for i in range(60)]
     out = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), bound=3).collect()
     assert {x.text for x in out if x.page_id < 100} == {""} and all(x.n_chars > 0 for x in out if x.page_id >= 100)
+
+
+def slow_blocks(page):
+    """Texts of the blocks with the rules written plainly: a list of open elements, walked every time."""
+    import html
+    import re
+
+    out, stack, held, at = [], [], [], 0
+    end = page.rfind(">") + 1
+
+    def flush():
+        text = " ".join(html.unescape("".join(held)).split())
+        if text:
+            out.append((tuple(t for t in stack if t not in extraction.INLINE), text))
+        held.clear()
+
+    while m := extraction.TAG.search(page, at, end):
+        held.append(page[at : m.start()])
+        at = m.end()
+        if m[0] == "<!--":
+            close = page.find("-->", at)
+            at = close + 3 if close >= 0 else page.find(">", at) + 1
+            continue
+        name = (m[2] or "").lower()
+        if name == "br":
+            held.append(" ")
+        if not name or name == "br":
+            continue
+        if name not in extraction.INLINE:
+            flush()
+        if m[1]:
+            if name in stack:
+                del stack[len(stack) - 1 - stack[::-1].index(name) :]
+        elif name in extraction.RAW:
+            close = re.compile(f"</{name}", re.I).search(page, at)
+            at = close.start() if close else len(page)
+        elif name not in extraction.VOID:
+            if name not in extraction.INLINE:
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k] not in extraction.CLOSED_BY_SAME | extraction.INLINE:
+                        break
+                    if stack[k] in (name, "p"):
+                        del stack[k:]
+                        break
+            stack.append(name)
+    held.append(page[at:])
+    flush()
+    return out
+
+
+def test_blocks_agree_with_a_plain_walk():
+    draw = random.Random(8)
+    bits = ["<div>", "</div>", "<p>", "</p>", "<li>", "</li>", "<ul>", "</ul>", "<b>", "</b>", "<a href='x'>", "</a>", "<td>", "<dt>", "<dd>"]
+    bits += ["<br>", "<img>", "<!-- x > y -->", "<!-- open >", "<script>a<b</script>", "word ", "&amp; ", "< ", "</span>", "<!doctype html>"]
+    for _ in range(400):
+        page = "".join(draw.choices(bits, k=draw.randint(0, 40)))
+        assert [(b.path, b.text) for b in extraction.page_blocks(page)] == slow_blocks(page), page
+
+
+@pytest.mark.parametrize("page", [
+    "<!-- >" * 170_000, "<div>x" * 170_000, "<b>" * 170_000 + "<dt>x</dt>" * 58_000, "<div>" * 100_000 + "</span>x" * 58_000,
+    '<div class="' + "a " * 250_000 + '">' + "<p>x" * 130_000, '<div class="a b c d e f g h i j k l m n o p">x' * 22_000, "<" * 1_000_000,
+])
+def test_hostile_pages_take_linear_time_and_little_memory(page):
+    import time
+    import tracemalloc
+
+    start = time.process_time()
+    extraction.page_blocks(page)
+    assert time.process_time() - start < 5
+    tracemalloc.start()
+    extraction.page_blocks(page[: len(page) // 4])
+    assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    tracemalloc.stop()
+
+
+def test_long_pages_are_read_in_parts_with_the_same_result():
+    net, featurer = extraction.BiLstm.fresh(extraction.INPUTS, 24, 1), extraction.Featurer()
+    page = extraction.page_blocks("".join(f"<div><p>words {k} and more</p></div>" for k in range(9000)))
+    whole = net.forward(featurer.page(page)[:, None, :], np.array([len(page)]))[0][:, 0]
+    parts = net.read_long(lambda a, b: featurer.page(page[a:b], a, len(page)), len(page))
+    assert len(page) > 2 * extraction.READ_BLOCKS and np.abs(whole - parts).max() < 1e-5
