@@ -21,19 +21,31 @@ END = ""
 #: Words looked up inside tasks; all others are joined. Their table is bounded by this number.
 HEAD_WORDS = 200_000
 FLUSH_WORDS = 300_000
+#: Tokens shuffled and stepped through at once; longer texts are dealt in pieces.
+PIECE_TOKENS = 65_536
+#: Averages are summed as whole numbers of this unit.
+WHOLE = float(1 << 48)
 
 
 @dataclass(frozen=True)
 class LblRule:
-    """``words`` frequent words and the end have symbols of their own, all others share ``classes``."""
+    """``words`` frequent words and the end have symbols of their own, all others share ``classes``.
+
+    Training tokens are dealt into shards of at least ``shard_tokens`` (all of them if there are fewer), at most
+    ``most_shards``, so that the number of steps follows from the tokens and not from the files. In each of
+    ``rounds`` the shards learn from their part of the tokens, all from the average of the round before.
+    """
 
     words: int = 1000
     classes: int = 64
     width: int = 16
     noise: int = 24
-    batch: int = 4096
+    batch: int = 1024
     rate: float = 0.05
     seed: int = 11
+    rounds: int = 4
+    shard_tokens: int = 400_000
+    most_shards: int = 2048
 
 
 def folded_words(texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
@@ -169,39 +181,125 @@ def scattered(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def train_lbl(docs: DataFrame, train: Column, symbols: Symbols, noise: np.ndarray, rule: LblRule) -> LogBilinear:
-    """Every task goes once over all its training tokens from the same start; the results are averaged by tokens."""
-    start = LogBilinear.fresh(noise, rule)
-    shared = docs.sparkSession.sparkContext.broadcast((symbols, noise, start.flat()))
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Well-spread 64-bit numbers from consecutive ones (the splitmix64 finaliser)."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def dealt_symbols(texts: DataFrame, symbols: Symbols, shards: int, rule: LblRule) -> DataFrame:
+    """(round, shard, key, s): the symbols of each text after two ends, long texts in pieces that overlap by two.
+
+    The key comes from the task and the place of the piece in it, so copies of a text are dealt like others, and
+    a task that is run again deals alike.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(symbols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, p, flat = shared.value
-        model, log_noise = LogBilinear(flat.copy(), len(p), rule.width), np.log(p).astype(np.float32)
-        squares = [np.zeros_like(x) for x in (model.r, model.q, model.c1, model.c2, model.bias)]
-        edges, tokens = np.cumsum(p), 0
+        known, done = shared.value, 0
+        task = np.uint64(TaskContext.get().partitionId() << 36)
         for batch in batches:
             for part in slices(batch, "text"):
-                _, _, s, place, _ = known.stream(part.column("text"))
-                one, two = contexts(s, place)
-                # seeded by what is read, so a repeated task learns the same
-                g = np.random.default_rng([rule.seed, len(s), int(s.sum())])
-                order = g.permutation(len(s))
-                tokens += len(s)
-                for i in range(0, len(s), rule.batch):
+                _, counts, s, _, _ = known.stream(part.column("text"))
+                padded = np.insert(s, np.repeat(starts_of(counts)[:-1], 2), 0).astype(np.int32)
+                pieces = -(-counts // PIECE_TOKENS)
+                owner = np.repeat(np.arange(len(counts)), pieces)
+                skip = (np.arange(len(owner)) - np.repeat(starts_of(pieces)[:-1], pieces)) * PIECE_TOKENS
+                lengths = np.minimum(counts[owner] - skip, PIECE_TOKENS) + 2
+                begin = starts_of(counts + 2)[:-1][owner] + skip
+                take = np.arange(lengths.sum()) + np.repeat(begin - (np.cumsum(lengths) - lengths), lengths)
+                key = mixed(task + np.arange(done, done + len(owner), dtype=np.uint64) + np.uint64(rule.seed))
+                done += len(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array((key % np.uint64(rule.rounds)).astype(np.int32)),
+                        pa.array((key // np.uint64(rule.rounds) % np.uint64(shards)).astype(np.int32)),
+                        pa.array(key.view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(starts_of(lengths), pa.int32()), pa.array(padded[take])),
+                    ],
+                    names=["round", "shard", "key", "s"],
+                )
+
+    return texts.mapInArrow(run, "round int, shard int, key long, s array<int>")
+
+
+def train_lbl(docs: DataFrame, train: Column, symbols: Symbols, noise: np.ndarray, total: int, rule: LblRule) -> LogBilinear:
+    """Parallel training over ``total`` tokens: rounds of steps in shards, then the mean of the shards by tokens.
+
+    Every training token is learnt from once. The squared gradients that set the rates are averaged and handed on as
+    the parameters are. Sums over shards are of whole numbers, so they do not depend on the order of arrival.
+    """
+    shards = max(1, min(rule.most_shards, total // rule.shard_tokens))
+    spark = docs.sparkSession
+    dealt = materialise(dealt_symbols(docs.where(train).select("text"), symbols, shards, rule), "symbols")
+    start, size = LogBilinear.fresh(noise, rule), len(noise)
+    state = np.concatenate([start.flat(), np.zeros(len(start.flat()), np.float32)]).astype(np.float64)
+    for turn in range(rule.rounds):
+        part = dealt.where(F.col("round") == turn).repartition(shards, "shard").sortWithinPartitions("shard", "key")
+        sums = part.mapInArrow(shard_trainer(spark.sparkContext.broadcast(state), noise, total, turn, rule), "place int, value long")
+        found = sums.groupBy("place").agg(F.sum("value").alias("value")).toPandas().sort_values("place")["value"].to_numpy()
+        if len(found):
+            state = state + found[1:] / max(found[0], 1)
+    return LogBilinear(state[: len(state) // 2], size, rule.width)
+
+
+def shard_trainer(shared, noise: np.ndarray, total: int, turn: int, rule: LblRule):
+    """From rows ordered by shard to what each shard's training moved, times its share of the tokens, in whole numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, log_noise, edges = shared.value, np.log(noise).astype(np.float32), np.cumsum(noise)
+        half = len(state) // 2
+
+        class Shard:
+            def __init__(self, number: int):
+                self.model = LogBilinear(state[:half].copy(), len(noise), rule.width)
+                squares = LogBilinear(state[half:].copy(), len(noise), rule.width)
+                self.squares = [squares.r, squares.q, squares.c1, squares.c2, squares.bias]
+                self.g = np.random.default_rng([rule.seed, turn, number])
+                self.tokens, self.held, self.waiting = 0, 0, []
+
+            def add(self, s: np.ndarray) -> None:
+                self.waiting.append(s)
+                self.held += len(s) - 2
+                if self.held >= PIECE_TOKENS:
+                    self.learn()
+
+            def learn(self) -> None:
+                if not self.waiting:
+                    return
+                w, one, two = (np.concatenate([s[2 - k : len(s) - k] for s in self.waiting]) for k in range(3))
+                order = self.g.permutation(len(w))
+                for i in range(0, len(w), rule.batch):
                     at = order[i : i + rule.batch]
-                    drawn = np.minimum(np.searchsorted(edges, g.random(rule.noise)), len(p) - 1)
-                    model.step(one[at], two[at], s[at], log_noise, drawn, rule, squares)
-        if tokens:
-            moved = (model.flat().astype(np.float64) - flat) * tokens
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(-1, len(moved)), pa.int32()), pa.array(np.concatenate([[tokens], moved]))], names=["place", "value"]
-            )
+                    drawn = np.minimum(np.searchsorted(edges, self.g.random(rule.noise)), len(noise) - 1)
+                    self.model.step(one[at], two[at], w[at], log_noise, drawn, rule, self.squares)
+                self.tokens += len(w)
+                self.held, self.waiting = 0, []
+
+            def result(self) -> pa.RecordBatch:
+                self.learn()
+                now = np.concatenate([self.model.flat(), *[x.ravel() for x in self.squares]]).astype(np.float64)
+                share = self.tokens / max(total, 1) * WHOLE
+                moved = np.rint(np.concatenate([[1.0], now - state]) * share).astype(np.int64)
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(now)), pa.int32()), pa.array(moved)], names=["place", "value"])
+
+        number, shard = -1, None
+        for batch in batches:
+            numbers, lists = batch.column("shard").to_numpy(zero_copy_only=False), batch.column("s")
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            bounds = starts_of(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            for k in range(batch.num_rows):
+                if numbers[k] != number:
+                    if shard:
+                        yield shard.result()
+                    number, shard = int(numbers[k]), Shard(int(numbers[k]))
+                shard.add(flat[bounds[k] : bounds[k + 1]])
+        if shard:
+            yield shard.result()
 
-    sums = docs.where(train).select("text").mapInArrow(run, "place int, value double").groupBy("place").agg(F.sum("value").alias("value"))
-    found = sums.toPandas().sort_values("place")["value"].to_numpy()
-    if len(found) == 0:
-        return start
-    return LogBilinear(start.flat() + found[1:] / found[0], len(noise), rule.width)
+    return run
 
 
 def score_texts(docs: DataFrame, train: Column, rule: LblRule = LblRule(), head_words: int = HEAD_WORDS) -> DataFrame:
@@ -214,7 +312,8 @@ def score_texts(docs: DataFrame, train: Column, rule: LblRule = LblRule(), head_
     exactly; a word without a symbol of its own is then drawn within its class by add-one counts.
     Words never seen share one place of their class.
 
-    Counts and training cover every training row. The ``head_words`` most frequent words (a bounded
+    Counts and training cover every training row; how well the model is trained follows from the number of
+    tokens, not from how the table is split (see :class:`LblRule`). The ``head_words`` most frequent words (a bounded
     table) are looked up inside the tasks; the rest, rare by then, are joined by word. Null and empty
     texts hold the end alone. Repeated rows are scored alike and null ids are rows like others. With no
     training rows all words are unknown and the model is its start. An empty table gives no rows.
@@ -236,7 +335,7 @@ def score_texts(docs: DataFrame, train: Column, rule: LblRule = LblRule(), head_
     for s, (c, v) in by_class.items():
         mass[s] += c
         sizes[s] = c + v + 1
-    model = train_lbl(docs, train, symbols, mass / mass.sum(), rule)
+    model = train_lbl(docs, train, symbols, mass / mass.sum(), total, rule)
     base_total = float(total + kinds + 1)
     known = {**dict(head), END: ends["c"]} if ends else dict(head)
     shared = docs.sparkSession.sparkContext.broadcast((symbols, known, model.flat(), sizes))
