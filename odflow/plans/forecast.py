@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from odflow.functions.scalars import forecast_key, split_requests
-from odflow.operators import serving
+from odflow.operators import conformal, serving
+from odflow.operators.boosting import QuantileBoost
 from odflow.operators.forest import QuantileForest
 
 
 def forecast_steps(
-    model: QuantileForest,
+    model: QuantileForest | QuantileBoost,
     routes: DataFrame,
     demand: DataFrame,
     congestion: DataFrame,
@@ -35,15 +36,18 @@ def _in_order(step: Column, quantile: str) -> Column:
 
 def answer_requests(
     requests: DataFrame,
-    model: QuantileForest,
+    model: QuantileForest | QuantileBoost,
     routes: DataFrame,
     demand: DataFrame,
     congestion: DataFrame,
     as_of: Column,
     events: DataFrame | None = None,
+    margins: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Forecast lists per distinct forecast key, and the rejected requests.
 
+    ``margins`` per day ahead, from :mod:`odflow.operators.conformal`, widen the intervals.
+
     Equal keys are answered once; a route is scored once, for the longest
     horizon asked of it. The lists have at most 168 entries.
     """
@@ -71,6 +75,8 @@ def answer_requests(
     matrix = serving.horizon_matrix(static, (F.col("_days") * 24).cast("int"), as_of, events, single=False)
     scored = model.predict(serving.training_view(matrix))
     step = F.col("horizon_hours").cast("int")
+    if margins is not None:
+        scored = conformal.calibrate(scored.withColumn("horizon", F.ceil(step / 24).cast("int")), margins).drop("horizon")
     lists = [_in_order(step, q).alias(q) for q in ("p10", "p50", "p90")]
     answered = (
         keyed.join(scored.select("route_id", "horizon_hours", "p10", "p50", "p90"), "route_id")

@@ -380,7 +380,7 @@ def batch_forecast_lists(spark, folder):
 def batch_forecast(spark, folder):
     """Forecast lists of a fitted model for the request table: their lengths, and whether the levels are in order."""
     train, _ = training_data(spark, folder)
-    model = train_forest(train, trees=10, depth=5)
+    model = train_forest(train)
     answered, _ = answer_requests(
         request_table(spark, folder), model, src.routes(spark, folder), src.demand(spark, folder),
         signals_table(spark, folder), as_of(),
@@ -404,7 +404,7 @@ def all_steps(spark, folder):
     """Seven days of forecasts of a fitted model for every route, with their order and range checked."""
     train, _ = training_data(spark, folder)
     steps = forecast_steps(
-        train_forest(train, trees=10, depth=5), src.routes(spark, folder), src.demand(spark, folder),
+        train_forest(train), src.routes(spark, folder), src.demand(spark, folder),
         signals_table(spark, folder), as_of(), 168,
     )
     return steps.withColumns(forecast_checks(train)).select("route_id", "step", "ordered", "in_range")

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from odflow.functions.scalars import zero_fill
 from odflow.functions.windows import series
+from odflow.operators import conformal
 from odflow.operators import validation as val
 from odflow.operators.forest import QuantileForest, leaf_quantiles
+from odflow.operators.profile import QuantileProfile
 from odflow.operators.seasonal import seasonal_forecast
 from odflow.plans.training import ablation, train_boost, train_forest
-from odflow.queries.base import query, sql_lag, with_tables
+from odflow.queries.base import query, sql_flag, sql_lag, with_tables
 from odflow.queries.features import features
-from odflow.session import materialise, scratch_path
+from odflow.session import materialise, scratch_path, small_side
 from odflow.sources import driver_tables as src
 
 INDEXED = "SELECT *, dense_rank() OVER (ORDER BY hour) - 1 AS time_idx FROM demand"
@@ -178,6 +180,86 @@ def calibration(spark, folder):
     return val.calibration(naive_forecast(src.demand(spark, folder), 24))
 
 
+DAYS_AHEAD = "CAST(least(date_diff('hour', {first}, {hour}) // 24 + 1, 7) AS INTEGER)"
+SCORES = {
+    **CUT,
+    "naive": naive_sql(24),
+    "tested": """SELECT p.*, f FROM naive p JOIN idx USING (route_id, hour), n, range(0, 5) t(f)
+                 WHERE hour < (SELECT c FROM cut) AND idx.time_idx >= past - (5 - f) * (past // 6)
+                       AND idx.time_idx < past - (5 - f) * (past // 6) + past // 6""",
+    "began": "SELECT f, min(idx.hour) AS first FROM idx, n, range(0, 5) t(f) WHERE time_idx >= past - (5 - f) * (past // 6) GROUP BY f",
+    "scored": f"""SELECT {DAYS_AHEAD.format(first="first", hour="hour")} AS horizon,
+                         greatest(p10 - volume, volume - p90) AS score FROM tested JOIN began USING (f)""",
+    "ranked": """SELECT horizon, score, count(*) OVER (PARTITION BY horizon) AS n,
+                        row_number() OVER (PARTITION BY horizon ORDER BY score) AS r
+                 FROM (SELECT * FROM scored UNION ALL SELECT 0, score FROM scored)""",
+    "margins": """SELECT horizon, n, max(CASE WHEN r = ceil(round((n + 1) * 0.8, 9)) THEN score END) AS margin
+                  FROM ranked GROUP BY horizon, n""",
+    "widened": f"""SELECT p.route_id, p.hour, p.volume, p.p50, p.p10 AS raw10, p.p90 AS raw90, h AS horizon,
+                          least(p50, greatest(0.0, least(p50, p10 - m))) AS p10, greatest(p50, p90 + m) AS p90
+                   FROM (SELECT *, {DAYS_AHEAD.format(first="(SELECT min(hour) FROM naive, cut WHERE hour > c)", hour="hour")} AS h
+                         FROM naive, cut WHERE hour > c) p
+                        LEFT JOIN (SELECT h0 AS h, coalesce(own.margin, whole.margin, 0.0) AS m
+                                   FROM range(1, 8) t(h0) LEFT JOIN margins own ON own.horizon = h0
+                                        LEFT JOIN margins whole ON whole.horizon = 0) USING (h)""",
+}
+# hours before the boundary hour
+SCORES["n"] = "SELECT max(time_idx) + 1 AS n, floor((max(time_idx) + 1) * 0.8) AS past FROM idx"
+
+
+def naive_margins(spark, folder):
+    """Margins of the same hour a day ago from the walk-forward test hours before the boundary hour."""
+    demand = src.demand(spark, folder)
+    train, valid = split_demand(spark, folder)
+    tests = val.walk_forward_hours(train, 5, 24).filter("role = 'test'").select("route_id", "hour", "fold")
+    began = small_side(tests.groupBy("fold").agg(F.min("hour").alias("first")))
+    held_out = naive_forecast(demand, 24).join(tests, ["route_id", "hour"]).join(began, "fold")
+    held_out = held_out.withColumn("horizon", conformal.days_ahead(F.col("hour"), F.col("first")))
+    found = materialise(conformal.margins(conformal.scores(held_out)), "margins")
+    later = naive_forecast(demand, 24).join(valid.select("route_id", "hour"), ["route_id", "hour"], "left_semi")
+    first = later.agg(F.min("hour")).scalar()
+    return found, later.withColumn("horizon", conformal.days_ahead(F.col("hour"), first))
+
+
+@query("conformal_margins", with_tables("demand", "SELECT horizon, n, round(margin, 6) AS margin FROM margins", SCORES))
+def conformal_margins(spark, folder):
+    return naive_margins(spark, folder)[0]
+
+
+@query(
+    "conformal_intervals",
+    with_tables(
+        "demand", "SELECT route_id, hour, horizon, round(p10, 6) AS p10, p50, round(p90, 6) AS p90 FROM widened", SCORES
+    ),
+)
+def conformal_intervals(spark, folder):
+    """The intervals of the validation hours, moved by the margin of their day ahead."""
+    found, later = naive_margins(spark, folder)
+    return conformal.calibrate(later, found).select("route_id", "hour", "horizon", "p10", "p50", "p90")
+
+
+@query(
+    "conformal_coverage",
+    with_tables(
+        "demand",
+        """SELECT horizon, count(*) AS n, round(avg(CASE WHEN volume BETWEEN raw10 AND raw90 THEN 1.0 ELSE 0.0 END), 6) AS before,
+                  round(avg(CASE WHEN volume BETWEEN p10 AND p90 THEN 1.0 ELSE 0.0 END), 6) AS after
+           FROM widened GROUP BY 1""",
+        SCORES,
+    ),
+)
+def conformal_coverage(spark, folder):
+    """Share of the validation observations inside the interval, before and after."""
+    found, later = naive_margins(spark, folder)
+    raw = later.withColumns({"_low": F.col("p10"), "_high": F.col("p90")})
+    done = conformal.calibrate(raw, found)
+    return done.groupBy("horizon").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(val.interval_coverage(F.col("volume"), F.col("_low"), F.col("_high"))).alias("before"),
+        F.avg(val.interval_coverage(F.col("volume"), F.col("p10"), F.col("p90"))).alias("after"),
+    )
+
+
 def fold_sql() -> str:
     parts = []
     for model, rows in (("day", 24), ("week", 168)):
@@ -345,7 +427,7 @@ def boost_metrics(spark, folder):
     """As forest_metrics, for trees grown on the loss of each level; the training hours' end decides when to stop."""
     train, valid = training_data(spark, folder)
     learn, watch = val.time_split(train)
-    model = train_boost(learn, watch, rounds=12, patience=3)
+    model = train_boost(learn, watch)
     return against_day(src.demand(spark, folder), valid, model.predict(valid))
 
 
@@ -358,11 +440,49 @@ def covariate_ablation(spark, folder):
     """Cross-validated losses with and without the congestion features: between 0 and the mean target, shares up to 1."""
     train, _ = training_data(spark, folder)
     limit = F.when(F.col("metric") == "coverage_80pct", 1.0).otherwise(train.agg(F.avg("volume")).scalar())
-    return ablation(train, folds=3, trees=10, depth=5).select(
+    return ablation(train, folds=3).select(
         "model", "metric", F.col("mean_value").between(F.lit(0.0), limit).alias("plausible")
     )
 
 
+def profile_sql(model: str, cells: str) -> str:
+    """Fold means of the quantile profile over ``cells``."""
+    levels = ", ".join(f"quantile_cont(volume, {q}) AS {n}" for n, q in val.QUANTILES.items())
+    found = ", ".join(f"coalesce(c.{n}, a.{n}) AS {n}" for n in val.QUANTILES)
+    return f"""
+        SELECT '{model}' AS model, metric, round(avg(v), 6) AS mean_value FROM (
+            UNPIVOT (SELECT fold, {LOSS_LIST.replace("round(", "(").replace(", 6) AS", ") AS")} FROM (
+                SELECT t.fold, t.volume, {found} FROM parts t
+                LEFT JOIN (SELECT fold, {cells}, {levels} FROM parts WHERE role = 'train' GROUP BY fold, {cells}) c USING (fold, {cells})
+                JOIN (SELECT fold, {levels} FROM parts WHERE role = 'train' GROUP BY fold) a USING (fold)
+                WHERE role = 'test') GROUP BY fold) ON {", ".join(LOSSES)} INTO NAME metric VALUE v)
+        GROUP BY metric"""
+
+
+@query(
+    "ablation_metrics",
+    with_tables(
+        "demand routes congestion",
+        profile_sql("full", "hod, flag") + " UNION ALL " + profile_sql("no_congestion", "hod"),
+        {
+            **CUT,
+            "signal": f"SELECT zone_id, hour, {sql_flag()} AS flag FROM congestion",
+            "lines": """SELECT d.route_id, d.hour, CAST(volume AS DOUBLE) AS volume, hour(d.hour) AS hod,
+                               coalesce(flag, 0) AS flag, row_number() OVER (ORDER BY d.hour, d.route_id) - 1 AS i
+                        FROM demand d JOIN routes r ON r.route_id = d.route_id
+                             LEFT JOIN signal s ON s.zone_id = origin_zone_id AND s.hour = d.hour, cut WHERE d.hour < c""",
+            "parts": """SELECT l.*, f AS fold, CASE WHEN i < n - (3 - f) * (n // 4) - 24 THEN 'train'
+                               WHEN i >= n - (3 - f) * (n // 4) AND i < n - (3 - f) * (n // 4) + n // 4 THEN 'test' END AS role
+                        FROM lines l, range(0, 3) t(f), (SELECT count(*) AS n FROM lines)""",
+        },
+    ),
+)
+def ablation_metrics(spark, folder):
+    """The whole ablation, folds to means, with a model whose forecasts SQL can state: quantiles by hour of day and flag."""
+    train, _ = training_data(spark, folder)
+    return ablation(train, folds=3, model=QuantileProfile)
+
+
 @query(
     "model_parity",
     f"""SELECT m AS "column", CAST(0 AS DOUBLE) AS max_abs_diff, true AS ok
@@ -371,7 +491,7 @@ def covariate_ablation(spark, folder):
 def model_parity(spark, folder):
     """Predictions of a model and of its stored copy."""
     train, valid = training_data(spark, folder)
-    model = train_forest(train, trees=10, depth=5)
+    model = train_forest(train)
     path = scratch_path(spark, "model")
     model.save(path, spark)
     again = QuantileForest.load(path, spark)
