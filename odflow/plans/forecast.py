@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from odflow.functions.scalars import forecast_key, split_requests
 from odflow.operators import conformal, serving
+from odflow.operators.asof import congestion_at
 from odflow.operators.boosting import QuantileBoost
 from odflow.operators.forest import QuantileForest
 
@@ -85,3 +86,12 @@ def answer_requests(
         .agg(*lists)
     )
     return answered, rejected
+
+
+def past_keys(requests: DataFrame, routes: DataFrame, congestion: DataFrame, max_age: str | None = None) -> DataFrame:
+    """The valid requests of a log with ``as_of``, with the forecast key that each had at its own time."""
+    accepted, _ = split_requests(requests, routes)
+    placed = accepted.join(routes.select("route_id", F.col("origin_zone_id").alias("zone_id")), "route_id")
+    known = congestion_at(placed, congestion, max_age=max_age)
+    key = forecast_key(F.col("route_id"), F.col("horizon"), F.col("travel_time_var"))
+    return known.select(*requests.columns, key.alias("forecast_key"), "travel_time_var", "sample_count")

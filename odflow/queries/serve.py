@@ -9,7 +9,8 @@ from odflow.operators import serving
 from odflow.operators.sequences import sequence_windows
 from odflow.operators import validation as val
 from odflow.functions.calendar import calendar_features
-from odflow.plans.forecast import answer_requests, forecast_steps
+from odflow.operators.asof import last_known
+from odflow.plans.forecast import answer_requests, forecast_steps, past_keys
 from odflow.plans.training import train_forest
 from odflow.queries.base import DEMAND_COLUMNS, DURATION_COLUMNS, query, with_tables
 from odflow.queries.features import SERVING_CALENDAR, features
@@ -408,3 +409,48 @@ def all_steps(spark, folder):
         signals_table(spark, folder), as_of(), 168,
     )
     return steps.withColumns(forecast_checks(train)).select("route_id", "step", "ordered", "in_range")
+
+
+KNOWN = "(SELECT zone_id, hour + INTERVAL 1 HOUR AS known_at, travel_time_var, sample_count FROM congestion%s)"
+
+
+@query(
+    "point_in_time",
+    with_tables(
+        "congestion",
+        f"""SELECT event_id, e.zone_id,
+                   CASE WHEN ts <= known_at + INTERVAL 6 HOUR THEN round(travel_time_var, 6) END AS travel_time_var
+            FROM (SELECT event_id, ts, user_id % 8 AS zone_id FROM events) e
+                 ASOF LEFT JOIN {KNOWN % " WHERE sample_count >= 3"} c ON e.zone_id = c.zone_id AND ts >= known_at""",
+    ),
+)
+def point_in_time(spark, folder):
+    """The last variance from three samples or more that was known when each event came in, at most six hours old."""
+    asked = src.table(spark, folder, "events").select("event_id", "ts", F.pmod("user_id", F.lit(8)).alias("zone_id"))
+    value = F.when(F.col("sample_count") >= 3, F.col("travel_time_var")).alias("travel_time_var")
+    known = signals_table(spark, folder).select("zone_id", (F.col("hour") + F.expr("INTERVAL 1 HOUR")).alias("known_at"), value)
+    found = last_known(asked, known, ["zone_id"], "ts", "known_at", ["travel_time_var"], "6 HOURS")
+    return found.select("event_id", "zone_id", "travel_time_var")
+
+
+@query(
+    "past_forecast_keys",
+    with_tables(
+        "routes congestion",
+        f"""SELECT event_id, q.route_id, horizon,
+                   'forecast:' || q.route_id || ':' || horizon || ':'
+                   || CAST(round_even(coalesce(travel_time_var, 0) / 10, 0) * 10 AS BIGINT) || '.0' AS forecast_key,
+                   CAST(coalesce(sample_count, 0) AS BIGINT) AS sample_count
+            FROM (SELECT event_id, r.route_id, CAST(event_id % 9 AS INTEGER) AS horizon, ts, origin_zone_id
+                  FROM events JOIN routes r ON r.route_id = user_id % 13 WHERE event_id % 9 BETWEEN 1 AND 7) q
+                 ASOF LEFT JOIN {KNOWN % ""} c ON q.origin_zone_id = c.zone_id AND q.ts >= known_at""",
+    ),
+)
+def past_forecast_keys(spark, folder):
+    """The key under which a forecast asked for at each event's time would have been kept."""
+    asked = src.table(spark, folder, "events").select(
+        "event_id", F.pmod("user_id", F.lit(13)).alias("route_id"), F.pmod("event_id", F.lit(9)).cast("int").alias("horizon"),
+        F.col("ts").alias("as_of"),
+    )
+    keys = past_keys(asked, src.routes(spark, folder), signals_table(spark, folder))
+    return keys.select("event_id", "route_id", "horizon", "forecast_key", "sample_count")
