@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from odflow.operators import congestion as signals
 from odflow.operators import demand as od
-from odflow.operators.spatial import zones_of_points
+from odflow.operators.covering import cover, zones_of_points
 from odflow.session import materialise, small_side
 from odflow.sources import trips as trip_files
 from odflow.sources import upserts
@@ -54,7 +54,7 @@ def ingest_positions(
     spark: SparkSession, positions: DataFrame, edges: DataFrame, warehouse: str | None = None, size: float = 0.005
 ) -> DataFrame:
     """Travel-time variance per zone and hour; merged into ``congestion`` if wanted."""
-    placed = zones_of_points(signals.position_samples(positions), edges, size=size)
+    placed = zones_of_points(signals.position_samples(positions), cover(edges, size))
     variances = signals.zone_variance(placed)
     if warehouse:
         rows = variances.withColumn("disruption_flag", F.lit(False))
@@ -76,10 +76,17 @@ def backfill_positions(
     return ingest_positions(spark, wanted, edges, warehouse, size)
 
 
-def ingest_feeds(spark: SparkSession, folder: str, stop_map: DataFrame, warehouse: str) -> DataFrame:
-    """Take all feed files landed since the last call into the warehouse's delay log; the delay table so far."""
+def ingest_feeds(
+    spark: SparkSession, folder: str, stop_map: DataFrame, warehouse: str, lateness: str | None = None
+) -> DataFrame:
+    """Take all feed files landed since the last call into the warehouse's delay log; the delay table so far.
+
+    With ``lateness`` a trip counts once per stop and hour, however often it is polled within that time.
+    """
     log = f"{warehouse}/delay_log"
     stream = live.landed_feeds(spark, folder)
+    if lateness:
+        stream = live.unique_polls(stream, lateness)
     live.start_delay_log(stream, stop_map, log, f"{warehouse}/delay_log_progress").awaitTermination()
     return live.read_delays(spark, log)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from odflow.operators import congestion as signals
-from odflow.operators import spatial
+from odflow.operators import covering, spatial
 from odflow.plans import ingest
 from odflow.queries.base import query, with_tables
 from odflow.session import scratch_path
@@ -110,3 +110,26 @@ def first_zone_per_point(spark, folder):
     return points_in_zones(spark, folder).groupBy("event_id").agg({"zone_id": "min"}).withColumnRenamed(
         "min(zone_id)", "zone_id"
     )
+
+@query("points_in_covered_zones", with_tables("edges positions", "SELECT event_id, zone_id FROM placed", PLACED))
+def points_in_covered_zones(spark, folder):
+    """Positions with every zone that contains or touches them, through the quadtree of the zones."""
+    tree = covering.cover(src.zone_edges(spark, folder), 0.01, depth=6)
+    return covering.zones_of_points(src.positions(spark, folder), tree).select("event_id", "zone_id")
+
+
+STOP_ZONES = with_tables(
+    "edges stops",
+    """SELECT stop_id, CAST(min(zone_id) AS INTEGER) AS zone_id FROM inner_zone GROUP BY 1
+       UNION ALL
+       SELECT stop_id, CAST(arg_min(zone_id, (round(d, 12), zone_id)) AS INTEGER) FROM near
+       WHERE round(d, 12) <= 0.125 GROUP BY 1""",
+    {**WITHIN, "near": NEAR},
+)
+
+
+@query("stop_zone_cover", STOP_ZONES)
+def stop_zone_cover(spark, folder):
+    """The zone around each stop, else the nearest at most 0.125 away, through the quadtree of the zones."""
+    tree = covering.cover(src.zone_edges(spark, folder), 0.0625, depth=4)
+    return covering.map_stops(src.stops(spark, folder), tree, limit=0.125)

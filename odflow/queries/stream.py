@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from odflow.functions.scalars import hour_of
+from odflow.operators import congestion as signals
 from odflow.queries.base import query, with_tables
 from odflow.session import scratch_path
 from odflow.sources import driver_tables as src
@@ -83,3 +84,44 @@ def feed_stream(spark, folder):
     )
     run.awaitTermination()
     return live.read_delays(spark, path)
+
+
+def repeated_polls(raw):
+    """Every event as a poll of a trip, and the same poll once more at the end of its hour.
+
+    The delay follows from the key, so that it does not matter which poll of a batch is met first.
+    """
+    hour = hour_of(F.col("ts"))
+    delay = F.pmod("user_id", F.lit(30)) + F.hour("ts") * 2.5
+    times = F.array(F.col("ts"), hour + F.expr("INTERVAL '59:59' MINUTE TO SECOND"))
+    return raw.select(
+        F.col("user_id").cast("string").alias("stop_id"),
+        delay.alias("delay"),
+        F.col("event_type").alias("feed_id"),
+        F.pmod("user_id", F.lit(17)).cast("string").alias("trip_id"),
+        F.explode(times).alias("polled_at"),
+    )
+
+
+UNIQUE = """
+    SELECT s_nationkey AS zone_id, hour, feed_id, round(avg(delay), 6) AS mean_delay, count(*) AS trip_count
+    FROM (SELECT DISTINCT user_id, event_type AS feed_id, date_trunc('hour', ts) AS hour, user_id % 30 + hour(ts) * 2.5 AS delay
+          FROM events) JOIN supplier ON user_id = s_suppkey GROUP BY 1, 2, 3"""
+
+
+@query("unique_poll_stream", UNIQUE)
+def unique_poll_stream(spark, folder):
+    """Polls that come twice, deduplicated in the stream's state before they reach the log."""
+    schema = src.table(spark, folder, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    path, checkpoint = scratch_path(spark, "unique"), scratch_path(spark, "unique-progress")
+    polls = live.unique_polls(repeated_polls(raw), "60 days")
+    live.start_delay_log(polls, src.stop_map(spark, folder), path, checkpoint).awaitTermination()
+    return live.read_delays(spark, path)
+
+
+@query("first_polls", UNIQUE)
+def first_polls(spark, folder):
+    """The same in one batch."""
+    polls = live.first_polls(repeated_polls(src.table(spark, folder, "events")))
+    return signals.zone_delays(polls, src.stop_map(spark, folder), hour_of(F.col("polled_at")))

@@ -16,23 +16,58 @@ from odflow.operators.congestion import stop_delays
 from odflow.sources.upserts import merge_delays
 
 FEED_SCHEMA = (
-    "entity array<struct<trip_update: struct<stop_time_update:"
-    " array<struct<stop_id: string, arrival: struct<delay: double>>>>>>"
+    "entity array<struct<trip_update: struct<trip: struct<trip_id: string>,"
+    " stop_time_update: array<struct<stop_id: string, arrival: struct<delay: double>>>>>>"
 )
 KEYS = ["zone_id", "hour", "feed_id"]
+# One delay counts for each of these, however often it is polled.
+POLL_KEYS = ["feed_id", "trip_key", "stop_id", "hour"]
 
 
-def stop_updates(messages: DataFrame, payload: str, *keep: str) -> DataFrame:
-    """``(stop_id, delay)`` of every stop update with an arrival delay, from JSON feeds."""
+def trip_updates(messages: DataFrame, payload: str, *keep: str) -> DataFrame:
+    """``(trip_id, stop_id, delay)`` of every stop update with an arrival delay, from JSON feeds."""
     entity = F.explode(F.from_json(payload, FEED_SCHEMA)["entity"]).alias("entity")
     updates = messages.select(*keep, entity).select(
-        *keep, F.explode("entity.trip_update.stop_time_update").alias("u")
+        *keep, F.col("entity.trip_update.trip.trip_id").alias("trip_id"),
+        F.explode("entity.trip_update.stop_time_update").alias("u"),
     )
     return updates.filter(F.col("u.arrival.delay").isNotNull()).select(
-        *keep, F.col("u.stop_id").alias("stop_id"), F.col("u.arrival.delay").alias("delay")
+        *keep, "trip_id", F.col("u.stop_id").alias("stop_id"), F.col("u.arrival.delay").alias("delay")
     )
 
 
+def stop_updates(messages: DataFrame, payload: str, *keep: str) -> DataFrame:
+    """``(stop_id, delay)`` of every stop update with an arrival delay, from JSON feeds."""
+    return trip_updates(messages, payload, *keep).drop("trip_id")
+
+
+def poll_keys(polls: DataFrame) -> DataFrame:
+    """Polls with their hour and ``trip_key``; one without a trip is told apart by its time and delay only."""
+    unnamed = F.concat_ws("#", F.col("polled_at").cast("string"), F.col("delay").cast("string"))
+    return polls.withColumns({"hour": hour_of(F.col("polled_at")), "trip_key": F.coalesce("trip_id", unnamed)})
+
+
+def unique_polls(stream: DataFrame, lateness: str) -> DataFrame:
+    """The stream of ``(feed_id, trip_id, stop_id, delay, polled_at)`` without repeated polls.
+
+    The first poll of a trip at a stop within an hour is passed on; replayed files and later polls of that hour
+    add nothing. The keys seen are state until the newest poll is ``lateness`` past them, and rows
+    that late are dropped, as they can no longer be recognised. Of several polls in one micro-batch any one counts:
+    take a file per batch where they differ. On a cluster choose the RocksDB state store, so that keys do not
+    fill the executors' memory.
+    """
+    keyed = poll_keys(stream).withColumn("_at", F.col("polled_at").cast("timestamp")).withWatermark("_at", lateness)
+    return keyed.dropDuplicatesWithinWatermark(POLL_KEYS).drop("hour", "trip_key", "_at")
+
+
+def first_polls(polls: DataFrame) -> DataFrame:
+    """The batch form of :func:`unique_polls`: the earliest poll of each key, of equals that of the smallest delay."""
+    rest = [c for c in polls.columns if c not in ("feed_id", "stop_id", "polled_at", "delay")]
+    earliest = F.min(F.struct("polled_at", "delay", *rest)).alias("_first")
+    found = poll_keys(polls).groupBy(*POLL_KEYS).agg(earliest)
+    return found.select(*[c if c in ("feed_id", "stop_id") else F.col(f"_first.{c}").alias(c) for c in polls.columns])
+
+
 def placed_stops(stop_map: DataFrame) -> DataFrame:
     """Stops with a zone, as a whole number; the others place no delay."""
     return stop_map.where(F.col("zone_id").isNotNull()).select("stop_id", F.col("zone_id").cast("int").alias("zone_id"))
@@ -185,7 +220,7 @@ def landed_feeds(spark: SparkSession, folder: str, files_per_batch: int = 1000)
         .option("maxFilesPerTrigger", files_per_batch).text(folder, wholetext=True)
     )
     polled = F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias("polled_at")
-    return stop_updates(files.select("value", "feed_id", polled), "value", "feed_id", "polled_at")
+    return trip_updates(files.select("value", "feed_id", polled), "value", "feed_id", "polled_at")
 
 
 def add_poll(stored: DataFrame, polled: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ import math
 import numpy as np
 import pytest
 
-from odflow.operators import spatial
+from pyspark.sql import functions as F
+
+from odflow.operators import covering, spatial
 
 EDGES = "zone_id int, x1 double, y1 double, x2 double, y2 double"
 POINTS = "id int, longitude double, latitude double"
@@ -100,3 +102,65 @@ def test_detailed_zone(spark):
     assert {r["stop_id"] for r in got.collect()} == want and 0 < len(want) < 400
     cells = spatial.zone_cells(edges, 0.005).agg({"*": "count"}).first()[0]
     assert cells < 45 * 45
+
+
+def wavy(zone, x, y, radius, n):
+    """A large zone with a border of ``n`` edges."""
+    ring = [
+        (x + radius * (1 + 0.05 * math.sin(40 * t)) * math.cos(t), y + radius * (1 + 0.05 * math.sin(40 * t)) * math.sin(t))
+        for t in np.linspace(0, 2 * math.pi, n, endpoint=False)
+    ]
+    return edges_of(zone, ring)
+
+
+@pytest.fixture(scope="module")
+def landscape(spark):
+    """A large wavy zone with a hole, one inside it, one beside it, and points on and around them."""
+    edges = wavy(1, 0.0, 0.0, 2.0, 600) + disc(1, 0.5, 0.5, 0.2, 16) + square(2, -0.5, -0.5) + disc(3, 4.0, 0.0, 0.01)
+    rng = np.random.default_rng(12)
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform((-2.6, -2.6), (4.3, 2.6), (3000, 2)))]
+    points += [(9001, -0.5, 0.0), (9002, 0.5, 0.5), (9003, 4.0, 0.011), (9004, 0.0, 0.5)]
+    df = spark.createDataFrame([*points, (9005, None, 1.0)], POINTS)
+    return edges, points, spark.createDataFrame(edges, EDGES), df
+
+
+@pytest.mark.parametrize(("size", "depth"), [(0.01, 6), (0.05, 0), (0.3, 3)])
+def test_cover_gives_the_rows_of_the_grid(landscape, size, depth):
+    _, _, edges, points = landscape
+    tree = covering.cover(edges, size, depth)
+    for boundary in (True, False):
+        got = covering.zones_of_points(points, tree, boundary=boundary).select("id", "zone_id")
+        want = spatial.zones_of_points(points, edges, size=0.05, boundary=boundary).select("id", "zone_id")
+        assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_cover_matches_brute_force_and_nearest_needs_no_padding(landscape):
+    edges, points, edge_rows, df = landscape
+    tree = covering.cover(edge_rows, 0.01, 6)
+    by_zone = {z: [e for e in edges if e[0] == z] for z in (1, 2, 3)}
+    got = {(r["id"], r["zone_id"]) for r in covering.zones_of_points(df, tree).collect()}
+    sample = points[:3000:7]
+    assert {g for g in got if g[0] % 7 == 0 and g[0] < 9000} == {(i, z) for i, x, y in sample for z, es in by_zone.items() if brute(es, x, y)}
+    limit = 0.08
+    near = {r["id"]: r["zone_id"] for r in covering.nearest_zones(df, tree, "id", "longitude", "latitude", limit).collect()}
+    for i, x, y in sample:
+        found = min((round(gap(es, x, y), 12), z) for z, es in by_zone.items())
+        assert near.get(i) == (found[1] if found[0] <= limit else None)
+
+
+def test_cover_of_a_large_zone_is_small(landscape):
+    _, _, edges, _ = landscape
+    grid = spatial.zone_cells(edges, 0.01)
+    tree = covering.cover(edges, 0.01, 6)
+    assert grid.count() > 5 * tree.cells.count() and len(tree.levels) > 3
+    weight = F.sum(F.lit(1) + F.size("edges") + F.size("near"))
+    assert grid.agg(weight).first()[0] > 5 * tree.cells.agg(weight).first()[0]
+
+
+def test_cover_of_nothing(spark, landscape):
+    _, _, edges, points = landscape
+    tree = covering.cover(edges.limit(0), 0.01)
+    assert covering.zones_of_points(points, tree).count() == 0
+    assert covering.nearest_zones(points, tree, "id", "longitude", "latitude").count() == 0
+    full = covering.cover(edges, 0.5, 2)
+    assert covering.zones_of_points(points.limit(0), full).count() == 0

@@ -131,3 +131,43 @@ def test_only_updates_with_an_arrival_delay(spark):
     }
     df = spark.createDataFrame([(json.dumps(message),), ("not json",), ('{"entity": []}',)], "payload string")
     assert [tuple(r) for r in live.stop_updates(df, "payload").collect()] == [("101N", 60.0), ("104N", 0.0)]
+
+
+POLLS = "feed_id string, trip_id string, stop_id string, delay double, polled_at timestamp_ntz"
+
+
+def test_replayed_and_overlapping_polls_give_the_batch_result(spark, tmp_path):
+    """Polls every ten minutes, each with the trips of the one before; one is replayed, and one comes after a restart."""
+    source, log, progress = (f"{tmp_path}/{n}" for n in ("polls", "log", "progress"))
+    stops = spark.createDataFrame([(str(i), i % 2) for i in range(4)], tables.STOP_MAP)
+    polls = [
+        [("a", f"t{t}", str(t % 4), float(10 * t + k), at(10 * k)) for t in range(k, k + 6)] + [("a", None, "1", 5.0, at(10 * k))]
+        for k in range(13)
+    ]
+
+    def land(rows, name):
+        spark.createDataFrame(rows, POLLS).coalesce(1).write.parquet(f"{source}/{name}")
+
+    def run():
+        raw = spark.readStream.schema(POLLS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(source)
+        live.start_delay_log(live.unique_polls(raw, "3 hours"), stops, log, progress).awaitTermination()
+
+    for k, rows in enumerate(polls[:6]):
+        land(rows, f"p{k:02d}")
+    run()
+    land(polls[2], "p06-replayed")
+    for k, rows in enumerate(polls[6:], start=7):
+        land(rows, f"p{k:02d}")
+    run()
+    every = spark.createDataFrame([r for rows in polls for r in rows], POLLS)
+    want = zone_delays(live.first_polls(every.union(every)), stops, F.date_trunc("hour", "polled_at"))
+    keys = lambda df: sorted((r["zone_id"], str(r["hour"]), r["feed_id"], r["trip_count"], round(r["mean_delay"], 6)) for r in df.collect())
+    assert keys(live.read_delays(spark, log)) == keys(want)
+    raw_count = zone_delays(every, stops, F.date_trunc("hour", "polled_at")).agg(F.sum("trip_count")).first()[0]
+    assert live.read_delays(spark, log).agg(F.sum("trip_count")).first()[0] < raw_count
+
+
+def test_trips_are_read_from_the_feed(spark):
+    update = {"trip_update": {"trip": {"trip_id": "x1"}, "stop_time_update": [{"stop_id": "101N", "arrival": {"delay": 60}}]}}
+    df = spark.createDataFrame([(json.dumps({"entity": [update]}),)], "payload string")
+    assert [tuple(r) for r in live.trip_updates(df, "payload").collect()] == [("x1", "101N", 60.0)]
