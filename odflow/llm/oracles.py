@@ -65,3 +65,16 @@ SELECT item_id, rank, doc_id, score FROM (
   FROM summed WHERE score > 0)
 WHERE rank <= 10
 """
+
+SEARCH = """
+WITH whole AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda e : floor(1024 * CAST(e AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda e : e IS NULL OR NOT isfinite(e))) = 0),
+pairs AS (
+  SELECT q.r AS query, q.vec_id AS query_id, w.r, w.vec_id, CAST(list_inner_product(q.v, w.v) AS BIGINT) AS score
+  FROM whole q JOIN whole w ON q.r <> w.r AND len(q.v) = len(w.v) WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id NULLS LAST, r) AS INTEGER) AS rank FROM pairs)
+WHERE rank <= 10
+"""
