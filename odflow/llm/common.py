@@ -111,6 +111,19 @@ def append_columns(
     return base.mapInArrow(run, schema)
 
 
+def shielded(
+    docs: DataFrame, needed: tuple[str, ...], apply: Callable[[DataFrame], DataFrame], new: tuple[str, ...] = ()
+) -> DataFrame:
+    """``apply`` on ``docs``, whose columns other than ``needed`` have neutral names meanwhile.
+
+    So no column clashes with one that ``apply`` makes for itself. The result has the columns of ``docs``, but for
+    those that ``new`` replaces, and then the ``new`` ones.
+    """
+    names = {c: f"kept_{i}" for i, c in enumerate(docs.columns) if c not in needed}
+    out = apply(docs.select(*[F.col(f"`{c.replace('`', '``')}`").alias(names.get(c, c)) for c in docs.columns]))
+    return out.select(*[F.col(names.get(c, c)).alias(c) for c in docs.columns if c not in new], *new)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, bound: int) -> DataFrame:
     """At most ``bound`` labelled training texts as (doc_id, text, label), the ids drawn by hash.
 

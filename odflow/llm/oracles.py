@@ -23,15 +23,29 @@ targets AS (
   SELECT source, source_size,
     CASE WHEN ceiling <= max(level) OVER () THEN cap ELSE max(level) OVER () * weight END AS target
   FROM levels),
+classes AS (SELECT source, length(bin(greatest(size, 1))) - 1 AS k, sum(size) AS mass FROM sized GROUP BY source, k),
+weighed AS (
+  SELECT c.source, k, mass, target, source_size, sqrt(pow(2.0::DOUBLE, k)) AS weight
+  FROM classes c JOIN targets t ON c.source IS NOT DISTINCT FROM t.source),
+shared AS (
+  SELECT *, CASE WHEN sum(weight * mass) OVER onward > 0 THEN
+    (target - coalesce(sum(mass * 2.0::DOUBLE) OVER (PARTITION BY source ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight * mass) OVER onward END AS level
+  FROM weighed WINDOW onward AS (PARTITION BY source ORDER BY k DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+copied AS (SELECT *, coalesce(least(2.0::DOUBLE, max(level) OVER (PARTITION BY source) * weight), 0) AS copies FROM shared),
 plan AS (
-  SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM targets),
+  SELECT *, CAST(floor(copies) AS BIGINT) AS whole, copies - floor(copies) AS p,
+    target - sum(floor(copies) * mass) OVER (PARTITION BY source) AS wanted
+  FROM copied),
+odds AS (
+  SELECT doc_id, s.source, size, source_size, target, whole, p, wanted, (u / (1 - u)) / (p / (1 - p)) AS q
+  FROM sized s JOIN plan ON s.source IS NOT DISTINCT FROM plan.source AND k = length(bin(greatest(size, 1))) - 1),
 ranked AS (
-  SELECT doc_id, size, source_size, target, whole, target - whole * source_size AS wanted,
-    sum(size) OVER (PARTITION BY sized.source ORDER BY u, doc_id NULLS FIRST, size
-      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
-  FROM sized JOIN plan ON sized.source IS NOT DISTINCT FROM plan.source)
+  SELECT *, sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY p = 0, q / (1 + q), doc_id NULLS FIRST, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+  FROM odds)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-  CAST(size * (whole + CASE WHEN run - size + run < 2 * wanted THEN 1 ELSE 0 END) AS BIGINT) AS taken
+  CAST(size * (whole + CASE WHEN p > 0 AND wanted > 0 AND run - size + run < 2 * wanted THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM ranked
 """
 

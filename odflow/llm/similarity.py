@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from odflow.llm.common import distinct_of, slices, starts_of, words
+from odflow.llm.common import distinct_of, shielded, slices, starts_of, words
 from odflow.session import materialise, small_side
 
 WIDTH = 5
@@ -246,7 +246,11 @@ def jaccard_join(
     empty ones) are linked to nothing, and each stays. Repeated rows are copies of each other. A class
     whose ids are all null has a null class_id. An empty table gives no rows.
     """
-    base = docs.drop("class_id", "n_links", "stays", "_row", "_mark", "_bands")
+    joined = lambda df: _jaccard_join(df, threshold, width, recall, rows, block)
+    return shielded(docs, ("doc_id", "text"), joined, ("class_id", "n_links", "stays"))
+
+
+def _jaccard_join(base: DataFrame, threshold: float, width: int, recall: float, rows: int, block: int) -> DataFrame:
     bands = bands_for(threshold, recall, rows)
     all_rows = materialise(sketched(base, width, bands, rows), "sketches")
     texts = materialise(

@@ -104,3 +104,38 @@ def test_mix_of_odd_rows(docs_of, odd_rows):
     assert len(out) == len(odd_rows)
     assert all(r["copies"] * r["size"] == 0 for r in out if not (r.text or "").strip())
     assert pareto_mix(docs_of([])).count() == 0
+
+
+def test_mix_takes_a_part_of_a_large_group(docs_of):
+    """A third of all rows are alike in id and size: as many of them are taken as are wanted."""
+    rows = [(i, " ".join(["w"] * (1 + i % 50)), "en", f"s{i % 3}") for i in range(600)]
+    rows += [(5000, f"x y z w {i % 7}", "en", "s0") for i in range(300)] + [(None, "a null id", "en", "s1")] * 200
+    out = pareto_mix(docs_of(rows)).collect()
+    assert len(out) == len(rows)
+    taken, target, size = {}, {}, {}
+    for r in out:
+        taken[r.source] = taken.get(r.source, 0) + r["copies"] * r["size"]
+        target[r.source], size[r.source] = r.target, r.source_size
+    assert all(abs(taken[s] - target[s]) <= 50 and target[s] <= 2 * size[s] for s in taken)
+    con = duckdb.connect()
+    con.register("documents", docs_of(rows).select("doc_id", "text", "source").toPandas().astype({"doc_id": "Int64"}))
+    key = lambda x: tuple(-1 if v is None else v for v in x)
+    got = sorted(((r.doc_id, r["size"], r.source_size, r.target, r["copies"] * r["size"]) for r in out), key=key)
+    assert got == [pytest.approx(w) for w in sorted(con.execute(MIXING).fetchall(), key=key)]
+
+
+def test_inclusion_follows_the_odds(spark):
+    """Over many seeds a document is drawn about as often as its inclusion probability says, and it differs by size."""
+    sizes = [4, 4, 9, 17, 33, 70, 5, 12, 40, 65] * 6
+    docs = spark.createDataFrame([(i, " ".join(["w"] * n), "a") for i, n in enumerate(sizes)], "doc_id long, text string, source string").coalesce(1)
+    seeds = 24
+    drawn = np.zeros(len(sizes))
+    for seed in range(seeds):
+        for r in pareto_mix(docs, weights=(1.0,), share=0.5, seed=f"s{seed}", bins=64).collect():
+            drawn[r.doc_id] += r["copies"]
+    weight = np.sqrt(2.0 ** np.floor(np.log2(sizes)))
+    p = 0.5 * sum(sizes) / (weight * sizes).sum() * weight
+    assert p.max() < 1
+    by_size = {n: (drawn[np.array(sizes) == n].mean() / seeds, p[np.array(sizes) == n].mean()) for n in set(sizes)}
+    assert all(abs(got - want) < 0.13 for got, want in by_size.values())
+    assert by_size[4][0] < by_size[17][0] < by_size[70][0]
