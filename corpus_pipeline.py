@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
 ``docs``. A stage's result is written and read again as the docs of the next.
+
+Columns of any name pass through the stages unchanged, also those named like an operator's results. Rows are
+judged one by one where a stage looks at a text alone, so repeated rows share their fate. Null and empty texts
+are scored like others by quality and toxicity, are linked to nothing, have size 0 in the mix, and are packed as the
+end id alone. Null ids are kept as rows. Empty tables give empty results. Scores exactly at a threshold count as
+above it.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from odflow.llm.common import held_out, table
+from odflow.llm.common import held_out, shielded, table
 from odflow.llm.mixing import pareto_mix
 from odflow.llm.packing import pack_power_of_two
 from odflow.llm.quality import score_quality
@@ -21,25 +27,37 @@ from odflow.session import materialise
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    scored = score_quality(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 5, 0))
-    return scored.where(F.col("predicted") == 1).select(*docs.columns)
+    labels = table(spark, sf_dir, "labels")
+
+    def kept(df: DataFrame) -> DataFrame:
+        return score_quality(df, labels, ~held_out("doc_id", 5, 0)).where(F.col("predicted") == 1)
+
+    return shielded(docs, ("doc_id", "text"), kept)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier lets pass."""
-    scored = score_toxicity(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id", 3, 1))
-    return scored.where(F.col("predicted") == 0).select(*docs.columns)
+    labels = table(spark, sf_dir, "labels")
+
+    def kept(df: DataFrame) -> DataFrame:
+        return score_toxicity(df, labels, ~held_out("doc_id", 3, 1)).where(F.col("predicted") == 0)
+
+    return shielded(docs, ("doc_id", "text"), kept)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates."""
-    return jaccard_join(docs).where("stays").select(*docs.columns)
+    """One document of each class of near duplicates: that of the smallest id, nulls last."""
+    return shielded(docs, ("doc_id", "text"), lambda df: jaccard_join(df).where("stays"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = pareto_mix(docs).where(F.col("copies") > 0)
-    return mixed.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+
+    def taken(df: DataFrame) -> DataFrame:
+        mixed = pareto_mix(df).where(F.col("copies") > 0)
+        return mixed.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+
+    return shielded(docs, ("doc_id", "text", "source"), taken)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
