@@ -40,3 +40,37 @@ def test_mix_repeats_and_packing_covers(stages):
     for r in stages[5].select("doc_id", "length", "doc_tokens").collect():
         packed[r.doc_id] += r.length / r.doc_tokens
     assert all(abs(packed[d] - n) < 1e-9 for d, n in mixed.items())
+
+
+CLASHING = ["score", "predicted", "size", "target", "source_size", "class_id", "n_links", "stays", "copies", "_row", "_rank", "_mark", "label"]
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark, tmp_path_factory):
+    """Given documents with columns named like the operators' own, and null, empty, repeated and very long rows."""
+    given = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "text", "lang", "source")
+    rows = [(None, None, None, None), (None, "", "en", None), (5, None, "en", "a"), (5, None, "en", "a"), (90001, "long " * 200_000, "en", "b")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    path = str(tmp_path_factory.mktemp("docs") / "docs")
+    df = given.unionByName(odd)
+    df.selectExpr("*", *[f"concat('{c}', coalesce(doc_id, 0)) AS `{c}`" for c in CLASHING]).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_stages_keep_clashing_columns(spark, odd_docs):
+    docs = odd_docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.schema == docs.schema, name
+        path = f"{spark.conf.get('spark.checkpoint.dir')}/odd-{name}"
+        out.write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+        for r in docs.select("doc_id", *CLASHING).collect():
+            assert all(r[c] == f"{c}{r.doc_id or 0}" for c in CLASHING)
+    assert docs.count() > 50
+    assert corpus_pipeline.packing(spark, docs, SF).where("length < 1").count() == 0
+
+
+def test_stages_of_an_empty_table(spark, odd_docs):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd_docs.limit(0), SF).count() == 0
