@@ -14,10 +14,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from odflow.llm.common import ragged, run_sums, slices, starts_of, words
+from odflow.llm.common import ragged, release_memory, run_sums, slices, starts_of, words
 
 #: Text encoded at once, in bytes: each of its different words is encoded once.
-ENCODED_BYTES = 8 << 20
+ENCODED_BYTES = 4 << 20
 #: Pieces of more symbols are merged by a queue, whose time does not grow with the number of rounds.
 LONG_PIECE = 100
 NO_RANK = np.int32(np.iinfo(np.int32).max)
@@ -383,5 +383,6 @@ def _appended(docs: DataFrame, path: str, text: str, fields: str, columns) -> Da
             for part in slices(batch, text, ENCODED_BYTES):
                 ids, counts = encoder.encode(part.column(text))
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns(encoder, ids, counts)], names=[*part.schema.names, *new])
+        release_memory()
 
     return docs.select(*[F.col(f"`{c.replace('`', '``')}`") for c in kept]).mapInArrow(run, schema)

@@ -92,3 +92,23 @@ SELECT query_id, rank, vec_id, score FROM (
   SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id NULLS LAST, r) AS INTEGER) AS rank FROM pairs)
 WHERE rank <= 10
 """
+
+JACCARD = r"""
+WITH RECURSIVE worded AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w : w <> '') AS words
+  FROM documents),
+sets AS (
+  SELECT r, list_distinct(CASE WHEN len(words) >= 5 THEN list_transform(range(1, len(words) - 3), lambda i : array_to_string(words[i:i + 4], ' '))
+                               WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS grams
+  FROM worded),
+grams AS (SELECT r, len(grams) AS n, unnest(grams) AS gram FROM sets),
+links AS (
+  SELECT a.r AS x, b.r AS y FROM grams a JOIN grams b ON a.gram = b.gram AND a.r <> b.r
+  GROUP BY a.r, b.r, a.n, b.n HAVING CAST(count(*) AS DOUBLE) / (a.n + b.n - count(*)) >= 0.8),
+reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+heads AS (SELECT x, min(d.doc_id) AS least FROM reach JOIN worded d ON d.r = y GROUP BY x),
+counts AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT doc_id, CASE WHEN heads.x IS NULL THEN doc_id ELSE least END AS class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links
+FROM worded LEFT JOIN heads ON r = heads.x LEFT JOIN counts ON r = counts.x
+"""

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from odflow.llm.bpe import ENCODED_BYTES, new_encoder
-from odflow.llm.common import ragged, slices, starts_of
+from odflow.llm.common import ragged, release_memory, slices, starts_of
 
 # A sequence id: bucket, partition, count within both.
 BUCKET_SHIFT, PARTITION_SHIFT = 56, 32
@@ -83,6 +83,7 @@ def pack_power_of_two(
                     ],
                     names=[id_column, "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
                 )
+        release_memory()
 
     return docs.select(id_column, "text").mapInArrow(run, f"`{id_column}` {id_type}, {PIECES}")
 

@@ -13,7 +13,7 @@ from odflow.llm.extraction import extract_main_text
 from odflow.llm.language import identify_language
 from odflow.llm.lexical import lexical_search
 from odflow.llm.mixing import pareto_mix
-from odflow.llm.oracles import LEXICAL, MIXING, SEARCH
+from odflow.llm.oracles import JACCARD, LEXICAL, MIXING, SEARCH
 from odflow.llm.packing import pack_power_of_two
 from odflow.llm.quality import score_quality
 from odflow.llm.rules import outlier_rules
@@ -24,7 +24,12 @@ from odflow.llm.toxicity import score_toxicity
 from odflow.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {"op5_kd_tree_search": SEARCH, "op9_pareto_mixing": MIXING, "op12_limited_accumulators": LEXICAL}
+ORACLES: dict[str, str] = {
+    "op3_ngram_jaccard_join": JACCARD,
+    "op5_kd_tree_search": SEARCH,
+    "op9_pareto_mixing": MIXING,
+    "op12_limited_accumulators": LEXICAL,
+}
 
 
 def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from odflow.llm.common import distinct_of, shielded, slices, starts_of, words
+from odflow.llm.common import distinct_of, release_memory, shielded, slices, starts_of, words
 from odflow.session import materialise, small_side
 
 WIDTH = 5
@@ -110,6 +110,7 @@ def sketched(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     names=[*part.schema.names, "_row", "_mark", "_bands"],
                 )
                 row += len(sizes)
+        release_memory()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra]))
 

@@ -1,13 +1,15 @@
 from __future__ import annotations
 
 import collections
+import math
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
 
-from odflow.llm import extraction
+from odflow.llm import extraction, rules
 from odflow.llm.extraction import extract_main_text, page_blocks
 from odflow.llm.rules import chi2_cdf, chi2_quantile, outlier_rules
 
@@ -189,3 +191,49 @@ def test_long_pages_are_read_in_parts_with_the_same_result():
     whole = net.forward(featurer.page(page)[:, None, :], np.array([len(page)]))[0][:, 0]
     parts = net.read_long(lambda a, b: featurer.page(page[a:b], a, len(page)), len(page))
     assert len(page) > 2 * extraction.READ_BLOCKS and np.abs(whole - parts).max() < 1e-5
+
+
+def slow_distances(vectors, steps=4):
+    """Minimum covariance determinant by sorting: concentration steps from medians, on one group."""
+    names, floors = list(rules.FLOORS), np.array(list(rules.FLOORS.values()))
+    factor, h = rules.consistency(len(names)), int(np.ceil(rules.KEPT_SHARE * len(vectors)))
+    centre = np.median(vectors, axis=0)
+    spread = 1.4826 * np.median(np.abs(vectors - centre), axis=0)
+    inverse = np.diag(1 / (spread**2 + floors**2))
+    for _ in range(steps):
+        moved = vectors - centre
+        near = np.argsort(np.einsum("ij,jk,ik->i", moved, inverse, moved), kind="stable")[:h]
+        centre = vectors[near].mean(0)
+        cov = (vectors[near] - centre).T @ (vectors[near] - centre) / h * factor + np.diag(floors**2)
+        inverse = np.linalg.inv(cov)
+    moved = vectors - centre
+    return np.einsum("ij,jk,ik->i", moved, inverse, moved)
+
+
+def test_verdicts_agree_with_a_sorting_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = {r.doc_id: r for r in outlier_rules(docs, ("lang",)).collect()}
+    groups = collections.defaultdict(list)
+    for d in docs.collect():
+        text = d.text or ""
+        words, chars, symbols, dup, repeats = counts_of(text)
+        if out[d.doc_id].base_failed:
+            continue
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        capitals = sum(unicodedata.category(c) == "Lu" for c in text)
+        vector = [math.log(chars / words), math.log1p(100 * symbols / chars), math.log1p(100 * dup / len(lines)),
+                  math.log1p(100 * repeats / words), math.sqrt(capitals / chars)]
+        groups[d.lang].append((d.doc_id, vector))
+    cut = chi2_quantile(1 - rules.TAIL, 5)
+    checked = 0
+    for members in groups.values():
+        if len(members) < 40:
+            continue
+        want = slow_distances(np.array([v for _, v in members]))
+        got = np.array([out[i].distance for i, _ in members])
+        assert np.median(np.abs(got / want - 1)) < 0.1
+        clear = np.abs(np.log(want / cut)) > 0.3  # bins let a few texts more into the inner share
+        kept = np.array([out[i].kept for i, _ in members])
+        assert (kept == (want <= cut))[clear].all()
+        checked += len(members)
+    assert checked > 300
