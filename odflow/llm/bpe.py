@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from odflow.llm.common import ragged, release_memory, run_sums, slices, starts_of, words
 
 #: Text encoded at once, in bytes: each of its different words is encoded once.
-ENCODED_BYTES = 4 << 20
+ENCODED_BYTES = 2 << 20
 #: Pieces of more symbols are merged by a queue, whose time does not grow with the number of rounds.
 LONG_PIECE = 100
 NO_RANK = np.int32(np.iinfo(np.int32).max)
@@ -321,7 +321,9 @@ class Encoder:
 
 def new_encoder(path: str) -> Encoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel part
-    return Encoder(path)
+    encoder = Encoder(path)
+    release_memory()  # what reading the file took
+    return encoder
 
 
 def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:

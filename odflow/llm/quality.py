@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from odflow.llm.common import append_columns, distinct_of, drawn_by_key, labelled_sample, one_task, run_sums, slices, words
+from odflow.llm.common import append_columns, distinct_of, drawn_by_key, labelled_sample, one_task, release_memory, run_sums, slices, words
 
 #: Trusted positives and unlabelled texts used at most; all texts are scored.
 TRAINING_TEXTS = 8_000
@@ -210,6 +210,8 @@ def quality_network(docs: DataFrame, labels: DataFrame, train: Column, rule: PuR
                 ],
                 names=["part", "shape", "values"],
             )
+        rows.clear()
+        release_memory()
 
     task = one_task(sample, [F.xxhash64("doc_id", "label"), F.col("doc_id"), F.col("text")])
     found = sorted(task.mapInArrow(run, "part long, shape array<long>, values array<double>").collect())

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from odflow.llm.common import append_columns, distinct_of, labelled_sample, one_task, slices, starts_of, words
+from odflow.llm.common import append_columns, distinct_of, labelled_sample, one_task, release_memory, slices, starts_of, words
 
 #: Labelled training texts used at most; all texts are scored.
 TRAINING_TEXTS = 20_000
@@ -106,6 +106,8 @@ def toxicity_weights(docs: DataFrame, labels: DataFrame, train: Column, rule: Ft
             w = fit_ftrl(sets, np.array(marks[: len(sets)], np.float64), rule)
             at = np.flatnonzero(w)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(w[at])], names=["place", "weight"])
+        sets.clear()
+        release_memory()
 
     sample = labelled_sample(docs, labels, "toxic", train, bound)
     task = one_task(sample, [F.xxhash64("doc_id"), F.col("doc_id"), F.col("text")])
