@@ -40,11 +40,11 @@ class LblRule:
     classes: int = 64
     width: int = 16
     noise: int = 24
-    batch: int = 1024
+    batch: int = 2048
     rate: float = 0.05
     seed: int = 11
     rounds: int = 4
-    shard_tokens: int = 400_000
+    shard_tokens: int = 2_000_000
     most_shards: int = 2048
 
 
@@ -196,6 +196,8 @@ def dealt_symbols(texts: DataFrame, symbols: Symbols, shards: int, rule: LblRule
     a task that is run again deals alike.
     """
     shared = texts.sparkSession.sparkContext.broadcast(symbols)
+    short = symbols.size < 1 << 15  # what is shuffled is mostly symbols
+    kind, name = (np.int16, "smallint") if short else (np.int32, "int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, done = shared.value, 0
@@ -203,7 +205,7 @@ def dealt_symbols(texts: DataFrame, symbols: Symbols, shards: int, rule: LblRule
         for batch in batches:
             for part in slices(batch, "text"):
                 _, counts, s, _, _ = known.stream(part.column("text"))
-                padded = np.insert(s, np.repeat(starts_of(counts)[:-1], 2), 0).astype(np.int32)
+                padded = np.insert(s, np.repeat(starts_of(counts)[:-1], 2), 0).astype(kind)
                 pieces = -(-counts // PIECE_TOKENS)
                 owner = np.repeat(np.arange(len(counts)), pieces)
                 skip = (np.arange(len(owner)) - np.repeat(starts_of(pieces)[:-1], pieces)) * PIECE_TOKENS
@@ -222,7 +224,7 @@ def dealt_symbols(texts: DataFrame, symbols: Symbols, shards: int, rule: LblRule
                     names=["round", "shard", "key", "s"],
                 )
 
-    return texts.mapInArrow(run, "round int, shard int, key long, s array<int>")
+    return texts.mapInArrow(run, f"round int, shard int, key long, s array<{name}>")
 
 
 def train_lbl(docs: DataFrame, train: Column, symbols: Symbols, noise: np.ndarray, total: int, rule: LblRule) -> LogBilinear:
