@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from odflow.operators import congestion as signals
 from odflow.operators import demand as od
 from odflow.operators.covering import cover, zones_of_points
+from odflow.operators.gaps import gap_days, gap_ranges
 from odflow.session import materialise, small_side
 from odflow.sources import trips as trip_files
 from odflow.sources import upserts
@@ -63,14 +64,28 @@ def ingest_positions(
 
 
 def backfill_positions(
-    spark: SparkSession, positions: DataFrame, edges: DataFrame, span: DataFrame, warehouse: str, size: float = 0.005
+    spark: SparkSession,
+    positions: DataFrame,
+    edges: DataFrame,
+    span: DataFrame,
+    warehouse: str,
+    size: float = 0.005,
+    least_hours: int | None = None,
 ) -> DataFrame:
     """Ingest the days of ``span`` (start, end) that the stored ``congestion`` lacks, all in one job.
 
     The missing days are at most the days of the span; positions of other days are left out
-    before anything is placed. Run again, it finds nothing missing.
+    before anything is placed. Run again, it finds nothing missing. With ``least_hours`` a day also counts as
+    missing where no zone has a row for that many hours on end; its rows are then replaced.
     """
-    days = small_side(upserts.missing_days(span, read_table(spark, warehouse, "congestion"), "hour"))
+    stored = read_table(spark, warehouse, "congestion")
+    lacking = upserts.missing_days(span, stored, "hour")
+    if least_hours:
+        hours = span.select(F.col("start").cast("timestamp_ntz").alias("start"),
+                            (F.col("end").cast("timestamp_ntz") + F.expr("interval 23 hours")).alias("end"))
+        anywhere = stored.select("hour", F.lit(0).alias("_all"))
+        lacking = lacking.union(gap_days(gap_ranges(anywhere, "_all", hours), least_hours)).distinct()
+    days = small_side(lacking)
     samples = signals.position_samples(positions)
     wanted = samples.join(days, F.col("hour").cast("date") == F.col("day"), "left_semi")
     return ingest_positions(spark, wanted, edges, warehouse, size)
