@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from odflow.session import small_side
@@ -49,35 +49,36 @@ def _status(bad: Column, otherwise: str = "ok", label: str = "fail") -> Column:
     return F.when(bad, label).otherwise(otherwise)
 
 
-def column_checks(features: DataFrame) -> DataFrame:
-    """Every check that is an aggregate of the feature table, in one pass."""
-    started = since_start(features)
+def column_stats(columns: list[str]) -> list[Column]:
+    """The aggregates behind the column checks, over rows with ``start_hour``."""
     warm = F.col("hour") >= F.col("start_hour") + F.make_dt_interval(F.lit(0), F.lit(WARM_UP_HOURS))
-    signals = [c for c in features.columns if any(name in c for name in SIGNAL_NAMES)]
-    keys = [c for c in KEY_FEATURES if c in features.columns]
+    signals = [c for c in columns if any(name in c for name in SIGNAL_NAMES)]
+    keys = [c for c in KEY_FEATURES if c in columns]
     aggregates = [F.count(F.lit(1)).alias("n"), F.count_if(warm).alias("n_warm")]
     aggregates += [F.count(c).alias(f"have_{c}") for c in signals]
     aggregates += [f(c).alias(f"{name}_{c}") for c in keys for name, f in (("min", F.min), ("max", F.max))]
-    aggregates += [F.count_if(warm & F.col(c).isNull()).alias(f"gap_{c}") for c in features.columns]
-    has_flag = "origin_disruption_flag" in features.columns
-    if has_flag:
+    aggregates += [F.count_if(warm & F.col(c).isNull()).alias(f"gap_{c}") for c in columns]
+    if "origin_disruption_flag" in columns:
         aggregates.append(F.var_samp("origin_disruption_flag").alias("flag_variance"))
-    stats = started.agg(*aggregates)
+    return aggregates
 
+
+def column_report(stats: DataFrame, columns: list[str]) -> DataFrame:
+    """The column checks as rows, from the one row of :func:`column_stats`."""
     n, n_warm = F.col("n"), F.col("n_warm")
     entries: list[Entry] = [("rows", "features", n, F.lit("info"))]
-    for c in signals:
+    for c in [c for c in columns if any(name in c for name in SIGNAL_NAMES)]:
         bad = (n > 100) & (F.col(f"have_{c}") == 0)
         entries.append(("all_null", c, F.col(f"have_{c}"), _status(bad)))
-    if has_flag:
+    if "origin_disruption_flag" in columns:
         flat = (n > 200) & (F.coalesce("flag_variance", F.lit(0.0)) == 0)
         entries.append(
             ("variance", "origin_disruption_flag", F.col("flag_variance"), _status(flat, label="warn"))
         )
-    for c in keys:
+    for c in [c for c in KEY_FEATURES if c in columns]:
         entries.append(("min", c, F.col(f"min_{c}"), F.lit("info")))
         entries.append(("max", c, F.col(f"max_{c}"), F.lit("info")))
-    for c in features.columns:
+    for c in columns:
         rate = F.try_divide(F.col(f"gap_{c}"), n_warm)
         watched = "lag" in c or "rolling" in c
         status = _status(rate > NULL_RATE_LIMIT, label="warn") if watched else F.lit("info")
@@ -85,6 +86,31 @@ def column_checks(features: DataFrame) -> DataFrame:
     return _tidy(stats, entries)
 
 
+def column_checks(features: DataFrame) -> DataFrame:
+    """Every check that is an aggregate of the feature table, in one pass."""
+    return column_report(since_start(features).agg(*column_stats(features.columns)), features.columns)
+
+
+def watch(features: DataFrame, demand: DataFrame, observation: Observation) -> DataFrame:
+    """``features``, whose first action also fills ``observation`` with the aggregates of the column checks.
+
+    The first hours of the routes come from the narrow ``demand`` table, of whose rows the feature table has all of each
+    route that it has.
+    """
+    starts = demand.groupBy("route_id").agg(F.min("hour").alias("start_hour"))
+    started = features.join(small_side(starts), "route_id", "left")
+    return started.observe(observation, *column_stats(features.columns)).select(*features.columns)
+
+
+def observed_checks(features: DataFrame, observation: Observation) -> DataFrame:
+    """:func:`column_checks` from the metrics of a finished action; a plan that ended empty leaves none and is checked again."""
+    found = observation.get
+    if "n" not in found:
+        return column_checks(features)
+    one = features.sparkSession.range(1)
+    return column_report(one.select(*[F.lit(v).alias(c) for c, v in found.items()]), features.columns)
+
+
 def leakage(features: DataFrame, congestion: DataFrame) -> DataFrame:
     """Rows whose lag-1 value is not the congestion one hour before; too few rows to compare never fail."""
     before = congestion.select(
@@ -136,12 +162,14 @@ def key_checks(df: DataFrame, keys: list[str], name: str, non_negative: list[str
     return reduce(DataFrame.unionByName, parts)
 
 
-def report(features: DataFrame, congestion: DataFrame) -> DataFrame:
-    """The whole report. Pass a written (or materialised) table: it is read three times."""
-    return reduce(
-        DataFrame.unionByName,
-        [column_checks(features), leakage(features, congestion), largest_routes(features)],
-    )
+def report(features: DataFrame, congestion: DataFrame, observation: Observation | None = None) -> DataFrame:
+    """The whole report. Pass a written (or materialised) table: it is read three times.
+
+    With the ``observation`` of the table's own write (see :func:`watch`) the wide pass over all columns is
+    saved; what is left reads three narrow columns and one.
+    """
+    columns = observed_checks(features, observation) if observation else column_checks(features)
+    return reduce(DataFrame.unionByName, [columns, leakage(features, congestion), largest_routes(features)])
 
 
 def assert_clean(quality: DataFrame) -> None:

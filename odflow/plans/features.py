@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from odflow.functions.calendar import calendar_features
 from odflow.functions.scalars import zero_fill
@@ -43,8 +43,9 @@ def build_features(
     congestion = read_table(spark, warehouse, "congestion")
     if demand.isEmpty():
         raise ValueError("the demand table is empty")
-    features = materialise(
-        feature_table(demand, read_table(spark, warehouse, "routes"), congestion, events)
-    )
-    quality.assert_clean(quality.report(features, congestion))
+    table = feature_table(demand, read_table(spark, warehouse, "routes"), congestion, events)
+    # the checks that are aggregates of the table are taken while it is written
+    observation = Observation()
+    features = materialise(quality.watch(table, demand, observation))
+    quality.assert_clean(quality.report(features, congestion, observation))
     write_features(zero_fill(features), out, cutoff)

@@ -12,8 +12,8 @@ from odflow.operators import demand as od
 from odflow.operators.covering import cover, zones_of_points
 from odflow.operators.gaps import gap_days, gap_ranges
 from odflow.session import materialise, small_side
+from odflow.sources import drift, upserts
 from odflow.sources import trips as trip_files
-from odflow.sources import upserts
 from odflow.sources.tables import read_table
 from odflow.streaming import delays as live
 
@@ -106,6 +106,14 @@ def ingest_feeds(
     return live.read_delays(spark, log)
 
 
+def ingest_events(spark: SparkSession, path: str, warehouse: str) -> DataFrame:
+    """Distinct event dates of files that each hold one JSON list; what has no date is added to ``event_rejects``."""
+    rows = materialise(drift.read_events(spark.read.text(path, wholetext=True), "value"), "events")
+    good, rejects = drift.split_rejects(rows)
+    rejects.write.mode("append").parquet(f"{warehouse}/event_rejects")
+    return good.distinct()
+
+
 def refresh_flags(spark: SparkSession, warehouse: str) -> DataFrame:
     """Recompute the trailing disruption flags and store those that changed."""
     stored = spark.read.parquet(f"{warehouse}/congestion").drop("day")

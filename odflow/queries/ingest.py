@@ -12,7 +12,7 @@ from odflow.operators import demand as od
 from odflow.queries.base import DEMAND_COLUMNS, listed, query, sql_flag, with_tables
 from odflow.session import scratch_path
 from odflow.sources import driver_tables as src
-from odflow.sources import tables, trips as trip_files, upserts
+from odflow.sources import drift, tables, trips as trip_files, upserts
 
 SECONDS = "greatest(date_sub('second', pickup_datetime, dropoff_datetime), 0)"
 PAIRS = f"""
@@ -89,6 +89,30 @@ def event_dates(spark, folder):
     return tables.event_dates(event_payloads(spark, folder), "payload")
 
 
+@query(
+    "event_rejects",
+    """WITH k AS (SELECT event_id % 6 AS kind, CAST(ts AS DATE) + CAST(json_extract_string(props, '$.k') AS INTEGER) AS day FROM events)
+       SELECT CASE WHEN kind IN (0, 1) THEN day END AS event_date,
+              CASE kind WHEN 2 THEN 'wrong type' WHEN 3 THEN 'no date' WHEN 4 THEN 'not a list' WHEN 5 THEN 'not JSON' END AS reason,
+              count(*) AS items FROM k GROUP BY 1, 2""",
+)
+def event_rejects(spark, folder):
+    """Items of event documents of drifting shape by their date, or by the reason why they have none."""
+    key = F.get_json_object("props", "$.k").cast("int")
+    day = F.date_format(F.date_add(F.col("ts").cast("date"), key), "yyyy-MM-dd")
+    kind = F.pmod("event_id", F.lit(6))
+    text = (
+        F.when(kind == 0, F.format_string('[{"event_start_date": "%s"}]', day))
+        .when(kind == 1, F.format_string('[{"event_start_date": "%sT00:00:00.000", "venue": {"name": ["x"]}}]', day))
+        .when(kind == 2, F.format_string('[{"event_start_date": {"day": "%s"}}]', day))
+        .when(kind == 3, F.format_string('[{"event_start": "%s"}]', day))
+        .when(kind == 4, F.format_string('{"event_start_date": "%s"}', day))
+        .otherwise(F.format_string('[{"event_start_date": "%s"', day))
+    )
+    rows = drift.read_events(src.table(spark, folder, "events").select(text.alias("body")), "body")
+    return rows.groupBy("event_date", "reason").agg(F.count(F.lit(1)).alias("items"))
+
+
 def stored_routes(spark, folder):
     """A route from each nation to the next one."""
     nation = F.col("n_nationkey")

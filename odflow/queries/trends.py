@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from odflow.operators import bootstrap, stl
+from odflow.operators import bootstrap, sketches, stl
 from odflow.operators import validation as val
 from odflow.operators.gaps import gap_days, gap_ranges
 from odflow.operators.seasonal import seasonal_forecast
 from odflow.queries.base import query, with_tables
 from odflow.queries.validate import CUT, SEASONAL, naive_forecast, naive_sql, split_demand
-from odflow.session import materialise
+from odflow.session import materialise, scratch_path, small_side
 from odflow.sources import driver_tables as src
 
 
@@ -178,3 +178,34 @@ def loss_difference(spark, folder):
     """Loss of the same hour a day ago less that of a week ago, with its interval over drawn days."""
     demand = src.demand(spark, folder)
     return bootstrap.loss_difference(naive_forecast(demand, 24), naive_forecast(demand, 168))
+
+
+LEVELS = [0.1, 0.5, 0.9]
+
+
+@query(
+    "sketched_quantiles",
+    """WITH span AS (SELECT min(CAST(ts AS DATE)) AS a, max(CAST(ts AS DATE)) AS b FROM events),
+            part AS (SELECT * FROM events, span WHERE CAST(ts AS DATE) > a AND CAST(ts AS DATE) < b)
+       SELECT event_type, count(value) AS n, min(value) AS least, max(value) AS most, true AS in_bounds, true AS distinct_in_bounds
+       FROM part GROUP BY 1""",
+)
+def sketched_quantiles(spark, folder):
+    """All days but the first and last from stored sketches; whether the true ranks and distinct users are within the errors."""
+    path, events = scratch_path(spark, "sketches"), src.table(spark, folder, "events")
+    sketches.write_sketches(sketches.daily_sketches(events, ["event_type"], "ts", "value", "user_id"), path)
+    day = F.col("ts").cast("date")
+    first, last = events.agg(F.date_add(F.min(day), 1).cast("string"), F.date_sub(F.max(day), 1).cast("string")).first()
+    found = sketches.estimates(sketches.read_sketches(spark, path, first, last), ["event_type"], LEVELS)
+    rows = events.filter(day.between(F.lit(first).cast("date"), F.lit(last).cast("date"))).join(small_side(found), "event_type")
+    # equal values share a range of ranks; the level has to lie in it, give or take the error
+    error = 2 * sketches.RANK_ERROR
+    ranks = [
+        (F.avg((F.col("value") < F.col("quantiles")[i]).cast("double")) <= q + error)
+        & (F.avg((F.col("value") <= F.col("quantiles")[i]).cast("double")) >= q - error)
+        for i, q in enumerate(LEVELS)
+    ]
+    off = F.abs(F.col("distinct") / F.count_distinct("user_id") - 1) <= sketches.DISTINCT_ERROR
+    return rows.groupBy("event_type", "n", "least", "most", "distinct").agg(
+        (ranks[0] & ranks[1] & ranks[2]).alias("in_bounds"), off.alias("distinct_in_bounds")
+    ).drop("distinct")

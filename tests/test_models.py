@@ -4,6 +4,7 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from odflow.operators import serving
@@ -11,12 +12,13 @@ from odflow.operators import validation as val
 from odflow.operators.explore import _order_statistics, exact_quantiles, histogram
 from odflow.operators.boosting import QuantileBoost
 from odflow.operators.forest import QuantileForest
-from odflow.operators.quality import assert_clean, report
+from odflow.operators.quality import assert_clean, observed_checks, report, watch
 from odflow.operators.seasonal import seasonal_forecast
 from odflow.operators.sequences import sequence_windows
 from odflow.plans.features import build_features, feature_table
 from odflow.plans.forecast import answer_requests
 from odflow.plans.training import _part, ablation, cross_validate, train_forest
+from odflow.session import materialise
 from odflow.sources import tables
 
 START = dt.datetime(2024, 1, 1)
@@ -58,6 +60,28 @@ def test_leak_and_empty_columns_are_reported(spark, stored):
         assert_clean(report(empty, congestion))
 
 
+def test_checks_taken_while_writing_equal_those_of_a_pass(spark, stored):
+    demand, routes, congestion = stored
+    plan = feature_table(demand, routes, congestion)
+    observation = Observation()
+    features = materialise(watch(plan, demand, observation))
+    assert features.columns == plan.columns
+    order = ["check", "subject"]
+    plain = report(features, congestion).orderBy(order).collect()
+    assert report(features, congestion, observation).orderBy(order).collect() == plain
+    # the metrics are constants by now: no file of the feature table is read for them
+    assert "FileScan" not in observed_checks(features, observation)._jdf.queryExecution().toString()
+
+
+def test_checks_of_an_empty_feature_table(spark, stored):
+    demand, routes, congestion = stored
+    observation = Observation()
+    plan = feature_table(demand, routes.filter("route_id < 0"), congestion)
+    features = materialise(watch(plan, demand, observation))
+    got = {r["subject"]: r["value"] for r in report(features, congestion, observation).collect() if r["check"] == "rows"}
+    assert got == {"features": 0.0}
+
+
 def test_split_drops_the_boundary_hour(spark):
     rows = [(r, at(i), 10.0) for i in range(10) for r in (101, 202)]
     df = spark.createDataFrame(rows, "route_id int, hour timestamp_ntz, volume double")
