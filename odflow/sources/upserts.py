@@ -13,14 +13,22 @@ from pyspark.sql import functions as F
 from odflow.session import materialise
 
 
-def last_wins(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Stored rows, replaced by the incoming row wherever the key is the same.
+def last_per_key(incoming: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """One row per key, without the columns ``order``: the last by these, such as a file's date and a row's place in it.
 
-    Of several incoming rows of one key the largest in its other columns counts.
+    Nulls there come first. Rows that are equal in ``order``, or all where none is given, are settled by the largest in
+    the other columns, so that repeats agree.
     """
-    others = [c for c in incoming.columns if c not in keys]
-    largest = incoming.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_last"))
-    one = largest.select(*[c if c in keys else F.col(f"_last.{c}").alias(c) for c in incoming.columns])
+    order = order or []
+    kept = [c for c in incoming.columns if c not in order]
+    others = [c for c in kept if c not in keys]
+    last = incoming.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order, *others)).alias("_last"))
+    return last.select(*[c if c in keys else F.col(f"_last.{c}").alias(c) for c in kept])
+
+
+def last_wins(stored: DataFrame, incoming: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Stored rows, replaced by the incoming row of :func:`last_per_key` wherever the key is the same."""
+    one = last_per_key(incoming, keys, order)
     kept = stored.join(one.select(*keys), keys, "left_anti")
     return kept.unionByName(one)
 
@@ -115,15 +123,16 @@ def missing_days(span: DataFrame, present: DataFrame, ts: str) -> DataFrame:
 
 
 def upsert(
-    spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], day: Column
+    spark: SparkSession, path: str, incoming: DataFrame, keys: list[str], day: Column, order: list[str] | None = None
 ) -> None:
     """Last-wins merge of ``incoming`` into the day-partitioned table at ``path``.
 
     Only the days that occur in ``incoming`` are read and rewritten. Running the
     same batch again gives the same table. A day holds at most 24 rows per key,
-    so one file per day is written.
+    so one file per day is written. Repeated keys inside the batch are settled
+    by ``order`` (see :func:`last_per_key`), also in the first batch.
     """
-    batch = materialise(incoming.withColumn("day", day.cast("date")), "batch")
+    batch = materialise(last_per_key(incoming.withColumn("day", day.cast("date")), keys, order), "batch")
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     exists = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
@@ -132,7 +141,8 @@ def upsert(
         # A batch has at most one day per calendar day; the list prunes the partitions.
         days = [row["day"] for row in batch.select("day").distinct().collect()]
         stored = spark.read.parquet(path).filter(F.col("day").isin(days))
-        merged = last_wins(stored.select(*batch.columns), batch, keys)
+        kept = stored.select(*batch.columns).join(batch.select(*keys), keys, "left_anti")
+        merged = kept.unionByName(batch)
     (
         merged.repartition("day")
         .write.mode("overwrite")

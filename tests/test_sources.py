@@ -343,3 +343,20 @@ def test_last_wins_settles_repeated_keys(spark):
     stored = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     incoming = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e"), (3, "e")], "k int, v string")
     assert sorted(map(tuple, last_wins(stored, incoming, ["k"]).collect())) == [(1, "a"), (2, "d"), (3, "e")]
+
+
+def test_the_last_write_of_a_batch_counts(spark, tmp_path):
+    path = str(tmp_path / "demand")
+    schema = "route_id int, hour timestamp_ntz, volume int, written date, place int"
+    hour, days = T(2024, 1, 1), [dt.date(2024, 2, d) for d in (1, 2)]
+    keys, order = ["route_id", "hour"], ["written", "place"]
+
+    def write(data):
+        upserts.upsert(spark, path, spark.createDataFrame(data, schema), keys, F.col("hour"), order)
+        return {(r["route_id"]): r["volume"] for r in spark.read.parquet(path).collect()}
+
+    first = [(1, hour, 90, days[0], 5), (1, hour, 10, days[1], 1), (1, hour, 20, days[1], 0), (2, hour, 7, None, 1), (2, hour, 3, days[0], 1)]
+    assert write(first) == {1: 10, 2: 3}
+    assert set(spark.read.parquet(path).columns) == {"route_id", "hour", "volume", "day"}
+    again = [(1, hour, 4, days[0], 0), (1, hour, 5, days[0], 0), (3, hour, None, days[0], 0)]
+    assert write(again) == {1: 5, 2: 3, 3: None} and write(again) == {1: 5, 2: 3, 3: None}
